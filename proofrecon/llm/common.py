@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that a Python worker holds as NumPy arrays at a time (a longer document is a chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -65,13 +66,8 @@ def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     sorted_rows = cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_pos", pos))
     sorted_rows = sorted_rows.withColumn("_part", F.shiftright("_pos", 33))
     runs = sorted_rows.groupBy(group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_run"))
-    runs = cut(runs)
-    before = runs.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.col("_run").alias("_n"))
-    base = (
-        runs.join(before, runs[group].eqNullSafe(before["_g"]) & (before["_p"] < runs["_part"]), "left")
-        .groupBy(runs[group].alias("_g"), runs["_part"].alias("_p"), "_first")
-        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_base"))
-    )
-    base = cut(base)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = runs.withColumn("_base", F.coalesce(F.sum("_run").over(before), F.lit(0)))
+    base = cut(base.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_first", "_base"))
     joined = sorted_rows.join(base, sorted_rows[group].eqNullSafe(base["_g"]) & (sorted_rows["_part"] == base["_p"]))
     return joined.withColumn("rank", F.col("_pos") - F.col("_first") + F.col("_base") + 1).drop("_pos", "_part", "_g", "_p", "_first", "_base")

@@ -79,8 +79,48 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more links (u, v) between nodes, some of which have no label yet."""
+    ends = cut(links)
+    if ends.isEmpty():
+        return labels
+    nodes = ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct()
+    labels = cut(nodes.join(labels, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
+    at_u = ends.join(labels.select(F.col("node").alias("u"), F.col("component").alias("a")), "u")
+    at_v = at_u.join(labels.select(F.col("node").alias("v"), F.col("component").alias("b")), "v")
+    over = connected_components(at_v.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return cut(labels.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _by_rare_shingles(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of ``members`` (doc_id, n_shingles, component) in different components that can still be similar enough.
+
+    Shingles are ordered from the rarest on. Two sets of at least ``percent`` similarity share a shingle of the larger
+    one's first n - ceil(t n) + 1 and of the smaller one's first n - ceil(2 t n / (1 + t)) + 1, t = percent / 100; a
+    shingle that one member alone has meets nothing. So members that share only what a whole family shares don't pair.
+    """
+    members = cut(members)
+    sets = cut(_sets(docs.join(members.select("doc_id").distinct(), "doc_id"), words).distinct())
+    entries = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    common = cut(entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    held = entries.join(common, "shingle", "left").select("doc_id", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("s"))
+    rare_first = held.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("order"))
+    size = F.col("n_shingles")
+    longer = (size - F.ceil(size * percent / 100) + 1).cast("int")
+    shorter = size - F.ceil(size * (2 * percent) / (100 + percent)) + 1
+    rows = rare_first.join(members, "doc_id").select("doc_id", size.alias("n"), "component", shorter.alias("_short"), F.posexplode(F.slice("order", F.lit(1), longer)))
+    rows = cut(rows.where("col.n > 1").select("doc_id", "n", "component", F.col("col.shingle").alias("shingle"), "pos", (F.col("pos") < F.col("_short")).alias("short")))
+    x = rows.select("shingle", F.col("doc_id").alias("u"), "n", F.col("pos").alias("i"), F.col("component").alias("cu"))
+    y = rows.where("short").select("shingle", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("component").alias("cv"))
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("v") < F.col("u")))
+    near = smaller & (F.col("m") * 100 >= F.col("n") * percent) & (F.col("cu") != F.col("cv"))
+    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    return x.join(y, (x["shingle"] == y["shingle"]) & near & rest).select("u", "v").distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, *, words: int = 5, percent: int = 80, bits: int = 16, chunks: int = 10, width: int = 6
+    docs: DataFrame, *, words: int = 5, percent: int = 80, bits: int = 16, chunks: int = 10, width: int = 6, rounds: int = 1
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id linked, itself included), kept.
 
@@ -89,9 +129,10 @@ def near_duplicates(
     links, a null component and is kept. Other columns are ignored.
 
     Equal sets meet by a 128-bit set hash, not pairwise. In an index bucket, members are first compared with its
-    smallest and largest member only; the links join what belongs together, however large the bucket. Only buckets
-    whose members still lie in different components are compared pair by pair across them, so no link is lost and no
-    group of copies is expanded. With the default 60 symbols, all pairs that differ in 19 symbols at most are
+    smallest and largest member only; the links join what belongs together, however large the bucket. In ``rounds``
+    further rounds, members outside a bucket's random pivot's component are compared with that pivot. What then still
+    lies in different components of a bucket is compared across them where rare shingles allow a link, so no link is
+    lost and no group of copies is expanded. With the default 60 symbols, all pairs that differ in 19 symbols at most are
     candidates, and of pairs at a Jaccard index of 0.8 one in about 40,000 shares no key.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -118,24 +159,28 @@ def near_duplicates(
         right = sizes.select(F.col("doc_id").alias("v"), F.col("n").alias("m"))
         return pairs.distinct().join(left, "u").join(right, "v").where(near).select("u", "v")
 
-    first = cut(sized(ends.union(spokes)))
-    links = cut(_confirmed(first, docs, words, percent))
+    links = _confirmed(sized(ends.union(spokes)), docs, words, percent)
     labels = connected_components(links.union(copies))
-
+    crowded = crowded.drop("lo", "hi")
+    for attempt in range(rounds + 1):
+        of = labels.select(F.col("node").alias("doc_id"), "component")
+        placed = crowded.join(of, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+        placed = cut(placed)
+        mixed = cut(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"))
+        crowded = placed.join(mixed, "key")
+        if mixed.isEmpty():
+            break
+        if attempt < rounds:
+            order = F.struct(F.xxhash64("key", "doc_id", F.lit(attempt)).alias("h"), F.col("doc_id").alias("u"), F.col("component").alias("cu"))
+            pivot = cut(crowded.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.u", "p.cu"))
+            across = crowded.join(pivot, "key").where("component <> cu").select("u", F.col("doc_id").alias("v"))
+            across = sized(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        else:
+            members = crowded.select("doc_id", "n_shingles", "component").distinct()
+            across = _by_rare_shingles(members, docs, words, percent)
+        labels = _merged(labels, _confirmed(across, docs, words, percent))
+        crowded = crowded.drop("component")
     of = labels.select(F.col("node").alias("doc_id"), "component")
-    placed = crowded.join(of, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    placed = cut(placed)
-    mixed = cut(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"))
-    if not mixed.isEmpty():
-        open_rows = placed.join(mixed, "key")
-        left = open_rows.select("key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("n"), F.col("component").alias("cu"))
-        right = open_rows.select("key", F.col("doc_id").alias("v"), F.col("n_shingles").alias("m"), F.col("component").alias("cv"))
-        across = left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & near)
-        rest = across.select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
-        more = cut(_confirmed(rest, docs, words, percent))
-        if not more.isEmpty():
-            labels = connected_components(links.union(copies).union(more))
-            of = labels.select(F.col("node").alias("doc_id"), "component")
     return (
         signed.select("doc_id", "n_shingles")
         .join(of, "doc_id", "left")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proofrecon.llm.common import table
+from proofrecon.llm import line_crf
+from proofrecon.llm.common import scratch, table
 from proofrecon.llm.minhash_dedup import near_duplicates
+from proofrecon.llm.mixing import mix_sources
+from proofrecon.llm.packing import pack
+from proofrecon.llm.secret_scan import BASE_RULES, find_secrets, listed, of_kind
+from proofrecon.llm.token_files import read_token_files, write_token_files
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +20,38 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    path = scratch(spark)
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(spark, path)
+
+
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens along the curve."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048).drop("ids")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to target weights 1, 2, 3 with at most three repeats."""
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = of_kind(F.col("secrets"), *(r.kind for r in BASE_RULES))
+    counts = [F.size(of_kind(F.col("secrets"), kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdicts on all documents by a field fitted to labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.quality(docs, field).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_simple8b_tokens, op5_hilbert_packing, op7_source_mixing, op8_secret_scan, op9_line_crf_quality)}
 ORACLES: dict[str, str] = {}
