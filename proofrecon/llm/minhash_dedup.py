@@ -67,11 +67,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = cut(_sets(docs.join(ids, "doc_id"), words))
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(
         sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v"
     )
@@ -93,7 +90,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(over, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
-def _by_rare_shingles(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of ``members`` (doc_id, n_shingles, component) in different components that can still be similar enough.
 
     Shingles are ordered from the rarest on. Two sets of at least ``percent`` similarity share a shingle of the larger
@@ -101,8 +98,7 @@ def _by_rare_shingles(members: DataFrame, docs: DataFrame, words: int, percent:
     shingle that one member alone has meets nothing. So members that share only what a whole family shares don't pair.
     """
     members = cut(members)
-    sets = cut(_sets(docs.join(members.select("doc_id").distinct(), "doc_id"), words).distinct())
-    entries = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    entries = sets.join(members.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.explode("shingles").alias("shingle"))
     common = cut(entries.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
     held = entries.join(common, "shingle", "left").select("doc_id", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("s"))
     rare_first = held.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("order"))
@@ -143,7 +139,7 @@ def near_duplicates(
         full.join(classes.where("copies > 1"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     )
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    entries = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    entries = reps.select("doc_id", F.explode("keys").alias("key"))
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     buckets = cut(
         entries.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
@@ -152,19 +148,21 @@ def near_duplicates(
     crowded = entries.join(buckets.where("members > 2").select("key", "lo", "hi"), "key")
     crowded = cut(crowded)
     spokes = crowded.where("doc_id <> lo").select(F.col("lo").alias("u"), F.col("doc_id").alias("v"))
-    sizes = cut(reps.select("doc_id", F.col("n_shingles").alias("n")).dropDuplicates(["doc_id"]))
+    met = ends.select(F.col("u").alias("doc_id")).union(ends.select("v")).union(crowded.select("doc_id")).distinct()
+    sets = cut(_sets(docs.join(met, "doc_id"), words))
+    sizes = cut(sets.select("doc_id", F.size("shingles").cast("long").alias("n")).dropDuplicates(["doc_id"]))
 
     def sized(pairs: DataFrame) -> DataFrame:
         left = sizes.withColumnRenamed("doc_id", "u")
         right = sizes.select(F.col("doc_id").alias("v"), F.col("n").alias("m"))
         return pairs.distinct().join(left, "u").join(right, "v").where(near).select("u", "v")
 
-    links = _confirmed(sized(ends.union(spokes)), docs, words, percent)
+    links = _confirmed(sized(ends.union(spokes)), sets, percent)
     labels = connected_components(links.union(copies))
     crowded = crowded.drop("lo", "hi")
     for attempt in range(rounds + 1):
         of = labels.select(F.col("node").alias("doc_id"), "component")
-        placed = crowded.join(of, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+        placed = crowded.join(of, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         placed = cut(placed)
         mixed = cut(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"))
         crowded = placed.join(mixed, "key")
@@ -176,9 +174,9 @@ def near_duplicates(
             across = crowded.join(pivot, "key").where("component <> cu").select("u", F.col("doc_id").alias("v"))
             across = sized(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         else:
-            members = crowded.select("doc_id", "n_shingles", "component").distinct()
-            across = _by_rare_shingles(members, docs, words, percent)
-        labels = _merged(labels, _confirmed(across, docs, words, percent))
+            members = crowded.select("doc_id", "component").distinct().join(sizes.withColumnRenamed("n", "n_shingles"), "doc_id")
+            across = _by_rare_shingles(members, sets, percent)
+        labels = _merged(labels, _confirmed(across, sets, percent))
         crowded = crowded.drop("component")
     of = labels.select(F.col("node").alias("doc_id"), "component")
     return (
