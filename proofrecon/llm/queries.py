@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofrecon.llm import line_crf
+from proofrecon.llm import language_id, line_crf
 from proofrecon.llm.common import scratch, table
 from proofrecon.llm.minhash_dedup import near_duplicates
 from proofrecon.llm.mixing import mix_sources
 from proofrecon.llm.packing import pack
+from proofrecon.llm.repeated_passages import remove_repeats
 from proofrecon.llm.secret_scan import BASE_RULES, find_secrets, listed, of_kind
 from proofrecon.llm.token_files import read_token_files, write_token_files
+from proofrecon.llm.vantage_point import nearest
+from proofrecon.llm.warc_archive import read_records, write_archive
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as records of a content-addressed archive and read back."""
+    path = scratch(spark)
+    write_archive(table(spark, sf_dir, "pages"), path, least=0)
+    return read_records(spark, path)
+
+
 def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, read back."""
     path = scratch(spark)
@@ -27,11 +37,24 @@ def op3_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op4_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by profiles of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    profiles = language_id.learn(docs.where(~held_out))
+    return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).drop("text")
+
+
 def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens along the curve."""
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048).drop("ids")
 
 
+def op6_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that occur elsewhere."""
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to target weights 1, 2, 3 with at most three repeats."""
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -53,5 +76,25 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(docs, field).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_simple8b_tokens, op5_hilbert_packing, op7_source_mixing, op8_secret_scan, op9_line_crf_quality)}
+def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_warc_archive,
+        op3_simple8b_tokens,
+        op4_rank_order_language,
+        op5_hilbert_packing,
+        op6_radix_dedup,
+        op7_source_mixing,
+        op8_secret_scan,
+        op9_line_crf_quality,
+        op10_vantage_point_search,
+    )
+}
 ORACLES: dict[str, str] = {}
