@@ -44,15 +44,17 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), mo
     return weighed.select("source", "source_size", F.when(cap < share, cap.cast("double")).otherwise(share).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20_011) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20_011, texts: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, source and more) with size, source_size, target double, copies and taken (= copies * size).
 
     A size is the number of words. The order is md5(doc_id), doc_id, size, so reruns agree; rows that repeat a doc_id count as
     documents of their own. A null or blank text has size 0 and takes part without weight; an empty
-    source has target 0. copies is at most ``most``. Input columns named like the results are replaced.
+    source has target 0. copies is at most ``most``. Without ``texts``
+    the text column is left out, so that only sizes are sorted. Input columns named like the results are replaced.
     """
     made = ("size", "source_size", "target", "copies", "taken", "rank")
     sized = docs.drop(*made).withColumn("size", word_count(F.col("text"))).withColumn("_key", F.md5(F.col("doc_id").cast("string")))
+    sized = sized if texts else sized.drop("text")
     rows = ranked(sized, "source", ["_key", "doc_id", "size"])
     targets = cut(source_targets(rows.select("source", "size"), weights=weights, most=most).withColumnRenamed("source", "_source"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

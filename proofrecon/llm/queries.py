@@ -10,6 +10,7 @@ from proofrecon.llm import language_id, line_crf
 from proofrecon.llm.common import scratch, table
 from proofrecon.llm.minhash_dedup import near_duplicates
 from proofrecon.llm.mixing import mix_sources
+from proofrecon.llm.oracles import ORACLES
 from proofrecon.llm.packing import pack
 from proofrecon.llm.repeated_passages import remove_repeats
 from proofrecon.llm.secret_scan import BASE_RULES, find_secrets, listed, of_kind
@@ -18,6 +19,9 @@ from proofrecon.llm.vantage_point import nearest
 from proofrecon.llm.warc_archive import read_records, write_archive
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on two-word shingles at a Jaccard index of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -57,7 +61,7 @@ def op6_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to target weights 1, 2, 3 with at most three repeats."""
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), texts=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -97,4 +101,3 @@ QUERIES = {
         op10_vantage_point_search,
     )
 }
-ORACLES: dict[str, str] = {}

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofrecon.llm.common import chunks, cut, encoded
+from proofrecon.llm.common import broadcast_if_small, chunks, cut, encoded
 from proofrecon.llm.textarrays import joined, mix, prefix, spans
 
 
@@ -173,6 +173,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, digit: int = 150) -> t
     anchors = cut(anchors.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")))
     live = cut(runs.join(anchors, "anchor"))
     owners = cut(live.select(*key).distinct()).withColumnsRenamed({"doc_id": "_d", "content": "_c"})
+    owners = broadcast_if_small(owners)
     held = docs.join(owners, docs["doc_id"].eqNullSafe(owners["_d"]) & (docs["content"] == owners["_c"])).select(*key, "text")
     held = cut(held.dropDuplicates(key))
 
