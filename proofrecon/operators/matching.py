@@ -21,6 +21,7 @@ from proofrecon.functions.amounts import paise
 from proofrecon.functions.names import all_tokens_in, name_similarity
 from proofrecon.functions.references import near_reference, normal_reference, reference_set
 from proofrecon.functions.text import clean_text
+from proofrecon.storage import settle
 
 
 @dataclass(frozen=True)
@@ -382,12 +383,12 @@ def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig
     Statuses: Verified, Likely Match, Contradicted, Duplicate, Not found, Can't verify yet.
     """
     key = ["batch_id", "claim_id"]
-    c, r = prepared_claims(claims), prepared_rows(rows)
+    c, r = settle(prepared_claims(claims)), settle(prepared_rows(rows))
     readable = F.col("c_currency").isNull() | (F.col("c_currency") == "INR")
     sound = c.where(readable & F.col("c_paise").isNotNull())
     barred = c.where(~readable | F.col("c_paise").isNull()).select(*key, F.when(readable, "no_amount").otherwise("currency").alias("reason"))
-    hits = with_evidence(reference_hits(sound, r), names).withColumn("diffs", conflicts(cfg))
-    debits = debit_hits(sound, r, hits)
+    hits = settle(with_evidence(reference_hits(sound, r), names).withColumn("diffs", conflicts(cfg)))
+    debits = settle(debit_hits(sound, r, hits))
     against = contradicted(hits)
     sure = hits.where(F.size("diffs") == 0).withColumn("tier", F.lit(1)).withColumn("points", points(cfg))
     routed = hits.select(*key).unionByName(debits.select(*key)).distinct()
@@ -396,7 +397,8 @@ def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig
     soft = with_ambiguity(judged.where("why is null"), cfg)
     common = [*key, "c_paise", "row_id", "tier", "points", "confidence"]
     edges = sure.withColumn("confidence", verified_confidence(cfg)).select(*common).unionByName(soft.withColumn("confidence", likely_confidence(cfg)).select(*common))
-    won = assign(edges, cfg)
+    edges = settle(edges)
+    won = settle(assign(edges, cfg))
     best = edges.join(won.where("row_id is not null"), [*key, "row_id"])
     outs = [
         barred.select(*key, F.lit("Can't verify yet").alias("status"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("string").alias("row_id"), F.lit(0.0).alias("confidence"), "reason"),
@@ -405,7 +407,7 @@ def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig
         debits.select(*key, F.lit("Contradicted").alias("status"), F.lit(4).alias("tier"), "row_id", F.lit(0.70).alias("confidence"), F.lit("direction").alias("reason")),
         won.where("too_large").select(*key, F.lit("Can't verify yet").alias("status"), F.lit(None).cast("int").alias("tier"), "row_id", F.lit(0.0).alias("confidence"), F.lit("too_large").alias("reason")),
     ]
-    decided = reduce(DataFrame.unionByName, outs)
+    decided = settle(reduce(DataFrame.unionByName, outs))
     lost = edges.select(*key).distinct().join(decided.select(*key), key, "left_anti")
     decided = decided.unionByName(_contests(lost, edges, won, c, cfg, names))
     covered = meta.join(rows.groupBy("batch_id").agg(F.count("*").alias("n_rows")), "batch_id", "full")
@@ -421,7 +423,7 @@ def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig
     )
     out = decided.unionByName(absent)
     if duplicates:
-        out = _demoted(out, best.select(*key, F.col("tier").alias("won_tier")), claim_links(c, cfg))
+        out = _demoted(settle(out), best.select(*key, F.col("tier").alias("won_tier")), claim_links(c, cfg))
     later = F.when(F.col("reason").isin("after_end", "near_end"), F.col("c_ts") + F.make_dt_interval(hours=F.lit(cfg.follow_up_hours)))
     return out.join(c.select(*key, "c_ts"), key).withColumn("follow_up_after", later).drop("c_ts")
 

@@ -214,11 +214,11 @@ def q76_reading_order(spark, sf_dir):
 
 
 @query(f"""
-SELECT batch_id, round(greatest(0.0, CASE WHEN status = 'pass' AND evidence = 'weak' THEN 0.85 WHEN status = 'pass' THEN 0.97 WHEN status = 'partial' THEN 0.70 WHEN status = 'unavailable' THEN 0.60 ELSE 0.30 END * (n_rows / (n_rows + batch_id % 3)) - 0.05)::DOUBLE, 3) AS confidence FROM ({_CHAIN}) c""")
+SELECT batch_id, round(greatest(0.0, CASE WHEN status = 'pass' AND evidence = 'weak' THEN 0.85 WHEN status = 'pass' THEN 0.97 WHEN status = 'partial' THEN 0.70 WHEN status = 'unavailable' THEN 0.60 ELSE 0.30 END * (n_rows / (n_rows + batch_id % 3)) - 0.05)::DOUBLE, 2) AS confidence FROM ({_CHAIN}) c""")
 def q77_parse_confidence(spark, sf_dir):
     chain = ledger.balance_chain(_dented(spark, sf_dir))
     rate = F.col("n_rows") / (F.col("n_rows") + F.col("batch_id") % 3)
-    return chain.select("batch_id", F.round(ledger.parse_confidence(F.col("status"), F.col("evidence"), rate, F.lit(0.05)), 3).alias("confidence"))
+    return chain.select("batch_id", F.round(ledger.parse_confidence(F.col("status"), F.col("evidence"), rate, F.lit(0.05)), 2).alias("confidence"))
 
 
 @query("""
