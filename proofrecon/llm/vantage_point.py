@@ -56,6 +56,7 @@ def search(tree: dict[str, np.ndarray], vectors: np.ndarray, ids: np.ndarray, qu
     norm, query_norm = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
     order, nodes = tree["order"], tree["nodes"]
     score, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    known = np.full(len(queries), -np.inf)  # the k-th best score of the greedy pass
 
     def offer(rows: np.ndarray, which: np.ndarray) -> None:
         for part in np.array_split(which, max(1, len(which) * len(rows) * queries.shape[1] // 4_000_000)):
@@ -84,13 +85,16 @@ def search(tree: dict[str, np.ndarray], vectors: np.ndarray, ids: np.ndarray, qu
         offer(order[int(a) : int(a) + 1], which)
         for child, lo, hi in ((left, l0, l1), (right, r0, r1)):
             bound = np.maximum(lo - d, d - hi)
-            reach = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(score[which, -1], -1)))
-            own = which[(bound <= factor * reach + 1e-9) | (score[which, -1] == -np.inf)]
+            worst = np.maximum(score[which, -1], known[which])
+            reach = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(worst, -1)))
+            own = which[(bound <= factor * reach + 1e-7) | (worst == -np.inf)]
             if len(own):
                 visit(int(child), own, False)
 
     if len(queries) and len(vectors):
         visit(0, np.arange(len(queries)), True)
+        known[:] = score[:, -1]
+        score[:], found[:] = -np.inf, np.iinfo(np.int64).max
         visit(0, np.arange(len(queries)), False)
     return score, found
 
