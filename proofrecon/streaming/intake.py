@@ -10,15 +10,20 @@ from proofrecon.operators.intake import policy
 from proofrecon.operators.matching import verify
 
 
+def _timed(messages: DataFrame) -> DataFrame:
+    """Watermarks need a timestamp with a zone; zone-free times are read in the session's."""
+    return messages.withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
 def screened(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     """A message stream with policy columns, each id once within the watermark."""
-    once = messages.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+    once = _timed(messages).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
     return policy(once)
 
 
 def daily_counts(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     """Decisions per day, late messages within the watermark included."""
-    out = policy(messages.withWatermark("created_at", delay))
+    out = policy(_timed(messages).withWatermark("created_at", delay))
     return out.groupBy(F.window("created_at", "1 day").alias("day"), "decision").agg(F.count("*").alias("n"))
 
 

@@ -1,0 +1,56 @@
+"""Statement files in several layouts, read, mapped and proved by their balance chain."""
+
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from proofrecon.operators import ledger, tables
+from proofrecon.sources.statements import read_statements, without_spacers
+
+ROWS = [(f"{d:02d}/01/2026 10:0{d}", f"UPI/12345678900{d}/Asha Rao", "" if d % 2 else "10.50", "1,200.00" if d % 2 else "") for d in range(1, 8)]
+
+
+def lines(sep, money=lambda x: x):
+    balance, out = 5000.0, [sep.join(["Date", "Narration", "", "Withdrawal Amt", "Deposit Amt", "Closing Balance"])]
+    for d, n, o, i in ROWS:
+        balance += float(i.replace(",", "") or 0) - float(o or 0)
+        cells = [d, n, "", money(o), money(i), money(f"{balance:.2f}")]
+        out.append(sep.join(f'"{c}"' if sep in c else c for c in cells))
+    return out
+
+
+def xlsx(path, rows):
+    body = "".join(f'<row r="{k}">' + "".join(f'<c r="{chr(65 + j)}{k}" t="inlineStr"><is><t>{c}</t></is></c>' for j, c in enumerate(r)) + "</row>" for k, r in enumerate(rows, 1))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+
+
+@pytest.fixture
+def files(tmp_path):
+    (tmp_path / "a.csv").write_text("Statement of account\n\n" + "\n".join(lines(",")), encoding="utf-8-sig")
+    (tmp_path / "b.txt").write_bytes("\n".join(lines(";")).encode("cp1252"))
+    (tmp_path / "c.tsv").write_text("\n".join(lines("\t", lambda x: f"₹ {x}" if x else x)))
+    xlsx(tmp_path / "d.xlsx", [line.split("|") for line in lines("|")])
+    (tmp_path / "f.pdf").write_bytes(b"%PDF-1.4")
+    return str(tmp_path)
+
+
+def test_layouts(spark, files):
+    raw = read_statements(spark, files)
+    bad = {r["file"].rsplit("/", 1)[1]: r["error"] for r in raw.where("error is not null").collect()}
+    assert bad == {"f.pdf": "unsupported"}
+    cells = without_spacers(raw.where("error is null"))
+    words = ("date", "narration", "withdrawal", "deposit", "balance")
+    heads = tables.header_scores(cells, words)
+    data = cells.join(heads, "file").where(F.col("line") > F.col("header_line"))
+    rows = tables.parse_rows(data.select("file", "line", "cells"), {"date": 0, "narration": 1, "debit": 2, "credit": 3, "balance": 4}).where("kind = 'transaction'")
+    chain = ledger.balance_chain(rows, file="file", order="line").collect()
+    assert len(chain) == 4 and {(r["status"], r["checked"], r["n_rows"]) for r in chain} == {("pass", 6, 7)}
+
+
+def test_footer_and_continuation(spark):
+    made = [(1, ["01/01/2026", "a", "5", "", "10"]), (2, ["", "more", "", "", ""]), (3, ["", "Total", "5", "", ""]), (4, ["", "x", "", "", ""]), (5, ["02/01/2026", "b", "", "7", "17"])]
+    cells = spark.createDataFrame([("f", n, c) for n, c in made], "file string, line long, cells array<string>")
+    got = tables.parse_rows(cells, {"date": 0, "narration": 1, "debit": 2, "credit": 3, "balance": 4}).orderBy("line").collect()
+    assert [r["kind"] for r in got] == ["transaction", "continuation", "footer", "footer", "transaction"]
