@@ -275,6 +275,14 @@ def q27_reference_set(spark, sf_dir):
     return rows.select("row_id", "r.*")
 
 
+@query("SELECT row_id, CASE WHEN pos % 3 <> 1 THEN ref END AS reference FROM v_stmt")
+def q26_normal_reference(spark, sf_dir):
+    spaced = F.concat_ws(" ", F.substring("ref", 1, 4), F.substring("ref", 5, 4), F.substring("ref", 9, 4))
+    told = F.when(F.col("pos") % 3 == 0, spaced).when(F.col("pos") % 3 == 1, F.lit("777777777777")).otherwise(F.col("ref"))
+    told = F.when(F.col("ref").isNotNull(), told)
+    return view(spark, sf_dir, "v_stmt").select("row_id", references.normal_reference(told).alias("reference"))
+
+
 @query("SELECT row_id, lower(upi) AS upi, name, CASE CAST(pos % 4 AS INT) WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'success' END AS status FROM v_stmt")
 def q30_identity_fields(spark, sf_dir):
     shown = F.element_at(F.array(*map(F.lit, ("Payment FAILED", "Processing...", "Paid successfully", "Hello"))), (F.col("pos") % 4 + 1).cast("int"))
@@ -530,6 +538,12 @@ def q60_export(spark, sf_dir):
     return followup.export_rows(rows).select("claim_id", "payer", "reasons")
 
 
+@query("SELECT concat('st-', row_id) AS row_id, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, strftime(dt, '%Y-%m-%dT%H:%M:%S') AS dt FROM v_stmt")
+def q62_adapter(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_stmt")
+    return rows.select(F.concat(F.lit("st-"), "row_id").alias("row_id"), F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"), F.date_format("dt", "yyyy-MM-dd'T'HH:mm:ss").alias("dt"))
+
+
 @query(f"SELECT status, count(*) AS n, count(r.row_id) AS on_statement FROM (SELECT *, {_OLD} AS status FROM v_claims) c LEFT JOIN v_stmt r ON r.batch_id = c.batch_id AND r.pos = c.pos AND c.pos % 2 = 0 GROUP BY status")
 def q61_report(spark, sf_dir):
     rows = view(spark, sf_dir, "v_stmt").select("batch_id", "pos", "row_id").where("pos % 2 = 0")
