@@ -22,7 +22,7 @@ _SPLIT = {
     "word_bpe_49k.json": (False, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
 }
 #: Most pieces and parts that a worker keeps (beyond it they are encoded anew), and the longest that are kept.
-PIECES, PARTS, LONGEST = 600_000, 1_000_000, 48
+PIECES, PARTS, LONGEST = 1_000_000, 1_500_000, 48
 
 
 class Encoder:
