@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,6 @@ class MatchConfig:
     corroboration_seconds: int = 60
     follow_up_hours: int = 24
     min_parse_confidence: float = 0.50
-    largest_component: int = 2000
 
 
 DEFAULT = MatchConfig()
@@ -183,82 +183,87 @@ def with_ambiguity(edges: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     return out.withColumn("ambiguous", F.when(close, F.count_if(close).over(mine)).otherwise(0)).drop("_top", "_best")
 
 
-def _heaviest(weight: np.ndarray) -> list[int]:
-    """The partner of each left vertex in a heaviest matching (-1: none), by shortest augmenting paths with prices."""
-    n, size = len(weight), max(weight.shape)
-    cost = np.zeros((size, size), object)
-    cost[: weight.shape[0], : weight.shape[1]] = -weight
-    row_price, col_price = np.zeros(size, object), np.zeros(size, object)
-    owner = np.full(size, -1)
-    for start in range(size):
-        reach, via, done = np.full(size, None, object), np.full(size, -1), np.zeros(size, bool)
-        row, col, travelled = start, -1, 0
+def _heaviest_sparse(edges: list[list[tuple[int, int]]], n_right: int) -> list[int]:
+    """The partner of each left vertex in a heaviest matching (-1: none); ``edges`` has (right, positive weight) per left vertex.
+
+    Shortest augmenting paths with prices over the given edges only. Each left vertex has one more partner of weight 0,
+    its own, so that it may stay alone; time and memory follow the edges, not left times right.
+    """
+    row_price, col_price = [0] * len(edges), [0] * (n_right + len(edges))
+    owner, partner = [-1] * (n_right + len(edges)), [-1] * len(edges)
+    for start in range(len(edges)):
+        reach: dict[int, int] = {}
+        via: dict[int, int] = {}
+        done: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
+        row, travelled = start, 0
         while True:
-            for j in np.flatnonzero(~done):
-                d = travelled + cost[row, j] - row_price[row] - col_price[j]
-                if reach[j] is None or d < reach[j]:
-                    reach[j], via[j] = d, col
-            col = min(np.flatnonzero(~done), key=lambda j: reach[j])
-            done[col], travelled = True, reach[col]
+            base = travelled - row_price[row]
+            for j, w in (*edges[row], (n_right + row, 0)):
+                d = base - w - col_price[j]
+                if j not in done and (j not in reach or d < reach[j]):
+                    reach[j], via[j] = d, row
+                    heappush(heap, (d, j))
+            travelled, col = heappop(heap)
+            while col in done:
+                travelled, col = heappop(heap)
+            done[col] = travelled
             if owner[col] < 0:
                 break
             row = owner[col]
-        for j in np.flatnonzero(done):
+        for j, d in done.items():
             if owner[j] >= 0:
-                row_price[owner[j]] += travelled - reach[j]
-            col_price[j] -= travelled - reach[j]
+                row_price[owner[j]] += travelled - d
+            col_price[j] -= travelled - d
         row_price[start] += travelled
-        while via[col] >= 0:
-            owner[col] = owner[via[col]]
-            col = via[col]
-        owner[col] = start
-    partner = [-1] * n
-    for j, i in enumerate(owner):
-        if i < n and j < weight.shape[1] and weight[i, j] > 0:
-            partner[i] = j
-    return partner
-
-
-def _assigned(cfg: MatchConfig):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One batch and amount: split into connected components, each solved alone."""
-        parent: dict[tuple, tuple] = {}
-
-        def root(x: tuple) -> tuple:
-            while parent.setdefault(x, x) != x:
-                x = parent[x] = parent[parent[x]]
-            return x
-
-        for c, r in zip(pdf["claim_id"], pdf["row_id"], strict=True):
-            a, b = root((0, c)), root((1, r))
-            parent[max(a, b)] = min(a, b)
-        pdf = pdf.assign(_root=[root((0, c))[1] for c in pdf["claim_id"]])
-        out = []
-        for _, part in pdf.groupby("_root", sort=True):
-            left, right = sorted(set(part["claim_id"])), sorted(set(part["row_id"]))
-            if max(len(left), len(right)) > cfg.largest_component:
-                out += [(part["batch_id"].iloc[0], c, None, True) for c in left]
-                continue
-            at_l, at_r = {c: i for i, c in enumerate(left)}, {r: j for j, r in enumerate(right)}
-            scale = len(left) * (len(right) + 1) + 1
-            weight = np.zeros((len(left), len(right)), object)
-            for c, r, tier, pts in zip(part["claim_id"], part["row_id"], part["tier"], part["points"], strict=True):
-                i, j = at_l[c], at_r[r]
-                weight[i, j] = ((4 - int(tier)) * 10_000_000 + round(pts * 1000)) * scale - (i * (len(right) + 1) + j)
-            out += [(part["batch_id"].iloc[0], c, right[j], False) for c, j in zip(left, _heaviest(weight), strict=True) if j >= 0]
-        return pd.DataFrame(out, columns=["batch_id", "claim_id", "row_id", "too_large"])
-
-    return solve
-
-
-def assign(edges: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """One-to-one assignment of greatest weight: batch_id, claim_id, row_id, too_large.
+        while True:
+            row = owner[col] = via[col]
+            partner[row], col = col, partner[row]
+            if row == start:
+                break
+    return [j if j < n_right else -1 for j in partner]
+
+
+def _heaviest(weight: np.ndarray) -> list[int]:
+    """The same from a matrix; what isn't positive is no edge."""
+    return _heaviest_sparse([[(int(j), row[j]) for j in np.flatnonzero(row > 0)] for row in weight], weight.shape[1])
+
+
+def _assigned(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One batch and amount: split into connected components, each solved alone."""
+    parent: dict[tuple, tuple] = {}
+
+    def root(x: tuple) -> tuple:
+        while parent.setdefault(x, x) != x:
+            x = parent[x] = parent[parent[x]]
+        return x
+
+    for c, r in zip(pdf["claim_id"], pdf["row_id"], strict=True):
+        a, b = root((0, c)), root((1, r))
+        parent[max(a, b)] = min(a, b)
+    pdf = pdf.assign(_root=[root((0, c))[1] for c in pdf["claim_id"]])
+    out = []
+    for _, part in pdf.groupby("_root", sort=True):
+        left, right = sorted(set(part["claim_id"])), sorted(set(part["row_id"]))
+        at_l, at_r = {c: i for i, c in enumerate(left)}, {r: j for j, r in enumerate(right)}
+        scale = len(left) * (len(right) + 1) + 1
+        weights: list[dict[int, int]] = [{} for _ in left]
+        for c, r, tier, pts in zip(part["claim_id"], part["row_id"], part["tier"], part["points"], strict=True):
+            i, j = at_l[c], at_r[r]
+            weights[i][j] = ((4 - int(tier)) * 10_000_000 + round(pts * 1000)) * scale - (i * (len(right) + 1) + j)
+        partner = _heaviest_sparse([sorted(w.items()) for w in weights], len(right))
+        out += [(part["batch_id"].iloc[0], c, right[j]) for c, j in zip(left, partner, strict=True) if j >= 0]
+    return pd.DataFrame(out, columns=["batch_id", "claim_id", "row_id"])
+
+
+def assign(edges: DataFrame) -> DataFrame:
+    """One-to-one assignment of greatest weight: batch_id, claim_id, row_id.
 
     Weight: (4 - tier) * 10**7 + 1000 * points, ties to smaller ids. Edges join equal amounts only, so (batch, amount)
-    holds whole components; a component beyond ``largest_component`` is told as too_large instead of being solved.
+    holds whole components. Each is solved exactly, whatever its size.
     """
-    schema = f"batch_id {edges.schema['batch_id'].dataType.simpleString()}, claim_id string, row_id string, too_large boolean"
-    return edges.select("batch_id", "c_paise", "claim_id", "row_id", "tier", "points").groupBy("batch_id", "c_paise").applyInPandas(_assigned(cfg), schema)
+    schema = f"batch_id {edges.schema['batch_id'].dataType.simpleString()}, claim_id string, row_id string"
+    return edges.select("batch_id", "c_paise", "claim_id", "row_id", "tier", "points").groupBy("batch_id", "c_paise").applyInPandas(_assigned, schema)
 
 
 def verified_confidence(cfg: MatchConfig = DEFAULT) -> Column:
@@ -398,14 +403,13 @@ def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig
     common = [*key, "c_paise", "row_id", "tier", "points", "confidence"]
     edges = sure.withColumn("confidence", verified_confidence(cfg)).select(*common).unionByName(soft.withColumn("confidence", likely_confidence(cfg)).select(*common))
     edges = settle(edges)
-    won = settle(assign(edges, cfg))
-    best = edges.join(won.where("row_id is not null"), [*key, "row_id"])
+    won = settle(assign(edges))
+    best = edges.join(won, [*key, "row_id"])
     outs = [
         barred.select(*key, F.lit("Can't verify yet").alias("status"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("string").alias("row_id"), F.lit(0.0).alias("confidence"), "reason"),
         best.select(*key, F.when(F.col("tier") == 1, "Verified").otherwise("Likely Match").alias("status"), "tier", "row_id", "confidence", F.lit("assigned").alias("reason")),
         against.select(*key, F.lit("Contradicted").alias("status"), F.lit(4).alias("tier"), "row_id", "confidence", F.col("fields").alias("reason")),
         debits.select(*key, F.lit("Contradicted").alias("status"), F.lit(4).alias("tier"), "row_id", F.lit(0.70).alias("confidence"), F.lit("direction").alias("reason")),
-        won.where("too_large").select(*key, F.lit("Can't verify yet").alias("status"), F.lit(None).cast("int").alias("tier"), "row_id", F.lit(0.0).alias("confidence"), F.lit("too_large").alias("reason")),
     ]
     decided = settle(reduce(DataFrame.unionByName, outs))
     lost = edges.select(*key).distinct().join(decided.select(*key), key, "left_anti")
@@ -432,7 +436,7 @@ def _contests(lost: DataFrame, edges: DataFrame, won: DataFrame, claims: DataFra
     """Claims whose rows went to others: Duplicate of a winner with a similar name and near time, else Not found."""
     key = ["batch_id", "claim_id"]
     who = claims.select(*key, "c_name", "c_ts")
-    winner = won.where("row_id is not null").select("batch_id", "row_id", F.col("claim_id").alias("winner"))
+    winner = won.select("batch_id", "row_id", F.col("claim_id").alias("winner"))
     rivals = lost.join(edges.select(*key, "row_id"), key).join(winner, ["batch_id", "row_id"]).join(who, key)
     rivals = rivals.join(who.select("batch_id", F.col("claim_id").alias("winner"), F.col("c_name").alias("w_name"), F.col("c_ts").alias("w_ts")), ["batch_id", "winner"])
     sim = name_similarity(F.col("c_name"), F.col("w_name")) if names else F.lit(None).cast("double")

@@ -91,3 +91,14 @@ def test_order_does_not_matter(spark):
     claims = [claim(f"c{k}", ts=T + timedelta(minutes=3 * k)) for k in range(5)]
     a, b = run(spark, claims, rows), run(spark, claims[::-1], rows[::-1])
     assert {k: (v["status"], v["row_id"]) for k, v in a.items()} == {k: (v["status"], v["row_id"]) for k, v in b.items()}
+
+
+def test_large_component(spark):
+    """One fee at high density joins 2,101 claims and rows into one component: each still gets its row."""
+    n, ref = 2100, "123456789012"
+    at = [T + timedelta(minutes=20 * k) for k in range(n + 1)]
+    rows = [row(f"R{k:05d}", dt=at[k], ref=ref if k == n else None) for k in range(n + 1)]
+    claims = [claim(f"c{k:05d}", ts=at[k], ref=ref if k == n else None) for k in range(n + 1)]
+    got = run(spark, claims, rows, [(1, T - timedelta(days=5), at[-1] + timedelta(days=5), 0.95)])
+    assert {k: v["row_id"] for k, v in got.items()} == {f"c{k:05d}": f"R{k:05d}" for k in range(n + 1)}
+    assert got[f"c{n:05d}"]["status"] == "Verified" and {v["status"] for k, v in got.items() if k != f"c{n:05d}"} == {"Likely Match"}
