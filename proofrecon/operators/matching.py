@@ -427,7 +427,7 @@ def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig
     )
     out = decided.unionByName(absent)
     if duplicates:
-        out = _demoted(settle(out), best.select(*key, F.col("tier").alias("won_tier")), claim_links(c, cfg))
+        out = _demoted(settle(out), best.select(*key, F.col("tier").alias("won_tier")), claim_links(c, cfg), c, hits, cfg, names)
     later = F.when(F.col("reason").isin("after_end", "near_end"), F.col("c_ts") + F.make_dt_interval(hours=F.lit(cfg.follow_up_hours)))
     return out.join(c.select(*key, "c_ts"), key).withColumn("follow_up_after", later).drop("c_ts")
 
@@ -454,24 +454,60 @@ def _contests(lost: DataFrame, edges: DataFrame, won: DataFrame, claims: DataFra
     )
 
 
-def _demoted(out: DataFrame, best: DataFrame, links: DataFrame) -> DataFrame:
-    """Of each duplicate group the best member stays; other members that aren't Contradicted become Duplicate."""
+def _conflicting(members: DataFrame, hits: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """batch_id, group_id of groups in which two members give one reference but payer names that are hardly alike.
+
+    The statement resolves a pair where one name is like a name hint of the reference's rows and the other isn't.
+    Distinct names of a reference meet its first name; all pairs of them only where that finds nothing.
+    """
+    at = ["batch_id", "c_ref", "c_name"]
+    named = members.where("c_ref is not null and c_name is not null").groupBy(*at).agg(F.first("group_id").alias("group_id"), F.bool_or(F.col("ref_row").isNull()).alias("bare"))
+    hints = hits.where(F.length("name_hint") > 0).select("batch_id", "c_ref", "name_hint").distinct()
+    told = named.join(hints, ["batch_id", "c_ref"]).groupBy(*at).agg(F.max(F.coalesce(name_similarity(F.col("c_name"), F.col("name_hint")), F.lit(0.0))).alias("told"))
+    named = settle(named.join(told, at, "left"))
+
+    def clashes(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.alias("a").join(b.alias("b"), (F.col("a.batch_id") == F.col("b.batch_id")) & (F.col("a.c_ref") == F.col("b.c_ref")) & (F.col("a.c_name") < F.col("b.c_name")))
+        one = lambda x, y: (F.col(f"{x}.told") >= cfg.name_similar) & (F.col(f"{y}.told") < cfg.claim_name_conflict)
+        resolved = F.coalesce(one("a", "b") | one("b", "a"), F.lit(False)) & ~(F.col("a.bare") & F.col("b.bare"))
+        unlike = name_similarity(F.col("a.c_name"), F.col("b.c_name")) < cfg.claim_name_conflict
+        return pairs.where(~resolved).where(unlike).select("a.batch_id", "a.group_id").distinct()
+
+    first = named.join(named.groupBy("batch_id", "c_ref").agg(F.min("c_name").alias("c_name")), at, "left_semi")
+    quick = settle(clashes(first, named))
+    rest = named.join(quick, ["batch_id", "group_id"], "left_anti")
+    return quick.unionByName(clashes(rest, rest))
+
+
+def _demoted(out: DataFrame, best: DataFrame, links: DataFrame, claims: DataFrame, hits: DataFrame, cfg: MatchConfig, names: bool) -> DataFrame:
+    """Of each duplicate group the best member stays; other members that aren't Contradicted become Duplicate.
+
+    No member stays where two of them give one reference and conflicting names: a credit belongs to one payer only.
+    """
     key = ["batch_id", "claim_id"]
     strength = reduce(lambda rest, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(rest), STRENGTH.items(), F.lit(0.5))
     each = links.select("batch_id", F.col("a").alias("claim_id"), "kind").unionByName(links.select("batch_id", F.col("b").alias("claim_id"), "kind"))
     each = each.groupBy(*key).agg(F.max(strength).alias("strength"))
     members = out.join(duplicate_groups(links), key).join(best, key, "left").join(each, key)
+    members = members.join(claims.select(*key, "c_ref", "c_name"), key).join(hits.groupBy(*key).agg(F.min("row_id").alias("ref_row")), key, "left")
+    members = settle(members.where("status <> 'Contradicted'"))
+    groups = ["batch_id", "group_id"]
+    clash = _conflicting(members, hits, cfg) if names else members.select(*groups).limit(0)
+    members = members.join(clash.withColumn("clash", F.lit(True)), groups, "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
     rank = F.when(F.col("won_tier") == 1, 0).when(F.col("won_tier").isNotNull(), 1).otherwise(2)
-    order = Window.partitionBy("batch_id", "group_id").orderBy(rank, "claim_id")
-    eligible = members.where("status <> 'Contradicted'").withColumn("place", F.row_number().over(order)).withColumn("kept_row", F.first("row_id").over(order))
-    losers = eligible.where("place > 1").select(*key, F.col("strength").alias("_s"), F.col("kept_row").alias("_row"), F.lit(True).alias("_dup"))
+    order = Window.partitionBy(*groups).orderBy(rank, "claim_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    contested = F.coalesce(F.first(F.when(F.col("won_tier") == 1, F.col("row_id")), True).over(whole), F.first("ref_row", True).over(whole))
+    kept = F.when(F.col("clash"), contested).otherwise(F.first("row_id").over(order))
+    eligible = members.withColumn("place", F.row_number().over(order)).withColumn("kept_row", kept)
+    losers = eligible.where("place > 1 or clash").select(*key, F.when(F.col("clash"), 0.65).otherwise(F.col("strength")).alias("_s"), F.col("kept_row").alias("_row"), F.when(F.col("clash"), "conflicting_names").otherwise("duplicate").alias("_dup"))
     joined = out.join(losers, key, "left")
-    dup = F.coalesce("_dup", F.lit(False))
+    dup = F.col("_dup").isNotNull()
     return joined.select(
         *key,
         F.when(dup, "Duplicate").otherwise(F.col("status")).alias("status"),
         F.when(~dup, F.col("tier")).alias("tier"),
         F.when(dup, F.col("_row")).otherwise(F.col("row_id")).alias("row_id"),
         F.when(dup, F.col("_s")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(dup, "duplicate").otherwise(F.col("reason")).alias("reason"),
+        F.coalesce("_dup", "reason").alias("reason"),
     )

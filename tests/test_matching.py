@@ -102,3 +102,17 @@ def test_large_component(spark):
     got = run(spark, claims, rows, [(1, T - timedelta(days=5), at[-1] + timedelta(days=5), 0.95)])
     assert {k: v["row_id"] for k, v in got.items()} == {f"c{k:05d}": f"R{k:05d}" for k in range(n + 1)}
     assert got[f"c{n:05d}"]["status"] == "Verified" and {v["status"] for k, v in got.items() if k != f"c{n:05d}"} == {"Likely Match"}
+
+
+def test_conflicting_names(spark):
+    """Two payers with one reference: none is verified, unless the statement's name hint tells which one it is."""
+    one, two, three = "123456789012", "223456789012", "323456789012"
+    claims = [
+        claim("a", ref=one, name="Asha Rao"), claim("b", ref=one, name="Vikram Singh"), claim("c", ref=one, name="Asha Rao"),
+        claim("d", ref=two, name="Asha Rao"), claim("e", ref=two, name="Asha Rao"),
+        claim("f", ref=three, name="Asha Rao", upi="asha@bank"), claim("g", ref=three, name="Vikram Singh", upi="asha@bank"),
+    ]
+    got = run(spark, claims, [row("R", ref=one), row("S", ref=two), row("U", ref=three, hint="Asha Rao", narration="UPI asha@bank")])
+    assert [got[k]["status"] for k in "abcdefg"] == ["Duplicate"] * 3 + ["Verified", "Duplicate"] * 2
+    assert {(got[k]["confidence"], got[k]["row_id"], got[k]["reason"], got[k]["tier"]) for k in "abc"} == {(0.65, "R", "conflicting_names", None)}
+    assert got["e"]["reason"] == got["g"]["reason"] == "duplicate"
