@@ -385,7 +385,8 @@ def duplicate_groups(links: DataFrame) -> DataFrame:
 def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig = DEFAULT, *, names: bool = True, duplicates: bool = True) -> DataFrame:
     """One verdict per claim: batch_id, claim_id, status, tier, row_id, confidence, reason (a code), follow_up_after.
 
-    Statuses: Verified, Likely Match, Contradicted, Duplicate, Not found, Can't verify yet.
+    Statuses: Verified, Likely Match, Contradicted, Duplicate, Not found, Can't verify yet. ``meta`` may have n_rows where
+    ``rows`` is only a part of the statement.
     """
     key = ["batch_id", "claim_id"]
     c, r = settle(prepared_claims(claims)), settle(prepared_rows(rows))
@@ -414,7 +415,7 @@ def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig
     decided = settle(reduce(DataFrame.unionByName, outs))
     lost = edges.select(*key).distinct().join(decided.select(*key), key, "left_anti")
     decided = decided.unionByName(_contests(lost, edges, won, c, cfg, names))
-    covered = meta.join(rows.groupBy("batch_id").agg(F.count("*").alias("n_rows")), "batch_id", "full")
+    covered = meta if "n_rows" in meta.columns else meta.join(rows.groupBy("batch_id").agg(F.count("*").alias("n_rows")), "batch_id", "full")
     rest = c.join(decided.select(*key), key, "left_anti").join(covered, "batch_id", "left").withColumn("reason", coverage_status(cfg))
     missing = F.col("reason") == "not_found"
     absent = rest.select(

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from proofrecon.operators.followup import RESOLVED, to_recheck, unconsumed_rows
 from proofrecon.operators.intake import policy
-from proofrecon.operators.matching import verify
+from proofrecon.operators.matching import prepared_claims, prepared_rows, verify
+from proofrecon.storage import settle
 
 
 def _timed(messages: DataFrame) -> DataFrame:
@@ -39,13 +41,38 @@ def start_intake(messages: DataFrame, records: str, alerts: str, checkpoint: str
     return screened(messages).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).start()
 
 
+def latest_verdicts(verdicts: DataFrame) -> DataFrame:
+    """Of the stored verdicts (with the number of their micro-batch) each claim's last one."""
+    whole = F.struct(*(c for c in verdicts.columns if c != "batch"))
+    return verdicts.groupBy("batch_id", "claim_id").agg(F.max_by(whole, "batch").alias("v")).select("v.*")
+
+
 def start_recheck(rows: DataFrame, claims: DataFrame, verdicts: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of statement rows judges the claims of its batches anew; a claim never expires into a verdict."""
+    """Each micro-batch of statement rows judges the unresolved claims of its statements anew; a claim never expires into a verdict.
+
+    Rows are kept beside the verdicts (``verdicts``_rows), as a statement may arrive in parts: claims meet all stored rows
+    that no resolved claim has used, and coverage spans all stored rows. The statement's parse_confidence may come as a
+    column of ``rows``; the least of its parts counts. A folder per micro-batch holds the verdicts that are new in it;
+    ``latest_verdicts`` merges them. A repeated micro-batch sees what it saw before and replaces itself.
+    """
+    kept = f"{verdicts}_rows"
 
     def judge(batch: DataFrame, number: int) -> None:
-        meta = batch.groupBy("batch_id").agg(F.min("dt").alias("coverage_start"), F.max("dt").alias("coverage_end")).withColumn("parse_confidence", F.lit(None).cast("double"))
-        mine = claims.join(meta.select("batch_id"), "batch_id", "left_semi")
-        verify(mine, batch, meta).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        stored = spark.read.parquet(kept).where(F.col("batch") <= number)
+        touched = stored.where(F.col("batch") == number).select("batch_id").distinct()
+        stored = settle(stored.drop("batch").join(touched, "batch_id", "left_semi").distinct())
+        read = F.min("parse_confidence") if "parse_confidence" in stored.columns else F.lit(None).cast("double")
+        meta = stored.groupBy("batch_id").agg(F.min("dt").alias("coverage_start"), F.max("dt").alias("coverage_end"), read.alias("parse_confidence"), F.count("*").alias("n_rows"))
+        mine, left = claims.join(touched, "batch_id", "left_semi"), stored
+        if number > 0:
+            old = settle(latest_verdicts(spark.read.parquet(verdicts).where(F.col("batch") < number)))
+            free = unconsumed_rows(prepared_rows(stored), prepared_claims(mine), old)
+            used = old.where(F.col("status").isin(*RESOLVED)).select("batch_id", "row_id")
+            left = stored.join(free.join(used, ["batch_id", "row_id"], "left_anti"), ["batch_id", "row_id"], "left_semi")
+            mine = to_recheck(mine, old)
+        verify(mine, left, meta).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
 
     return rows.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).start()
 
