@@ -58,7 +58,8 @@ def payment_link(payee: Column, name: Column, amount: Column, tag: Column) -> Co
 def near_hash_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
     """Pairs of (id, h: 64 hex digits) within ``most`` (under 7) bits: they share two of eight words, so an equi-join finds them.
 
-    A pair is told at its first shared word only. Equal hashes meet at their group's first id, not pairwise.
+    A pair is told at its first shared word only. Equal hashes meet at their group's first id, not pairwise:
+    ``hash_members`` tells the others.
     """
     first = hashes.groupBy("h").agg(F.min("id").alias("rep"))
     words = first.select("rep", "h", F.posexplode(F.array(*(F.substring("h", 8 * k + 1, 8) for k in range(8)))).alias("k", "word"))
@@ -68,6 +69,12 @@ def near_hash_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
     return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), bits.alias("bits")).where(F.col("bits") <= most).distinct()
 
 
+def hash_members(hashes: DataFrame) -> DataFrame:
+    """Each (id, h)'s id with rep, the first id of the same hash: with ``near_hash_pairs`` every equal or near pair is told."""
+    first = hashes.groupBy("h").agg(F.min("id").alias("rep"))
+    return hashes.join(first, "h").select("id", "rep")
+
+
 #: Follow-up order of statuses and our own wording by status and tone.
 ORDER = ("Contradicted", "Duplicate", "Not found", "Can't verify yet", "Likely Match", "Verified")
 REPLIES = {

@@ -316,6 +316,20 @@ def q37_near_hashes(spark, sf_dir):
     return followup.near_hash_pairs(view(spark, sf_dir, "v_hash")).select("a", "b", F.col("bits").cast("long").alias("bits"))
 
 
+@query("SELECT id, min(id) OVER (PARTITION BY h) AS rep FROM v_prints")
+def q37b_hash_members(spark, sf_dir):
+    return followup.hash_members(view(spark, sf_dir, "v_prints"))
+
+
+@query("""
+WITH r AS (SELECT h, min(id) AS rep FROM v_prints GROUP BY h)
+SELECT a.rep AS a, b.rep AS b, bit_count(xor(CAST(concat('0x', substr(a.h, 1, 2)) AS BIGINT), CAST(concat('0x', substr(b.h, 1, 2)) AS BIGINT))) AS bits
+FROM r a JOIN r b ON substr(a.h, 3) = substr(b.h, 3) AND a.rep < b.rep""")
+def q37c_near_prints(spark, sf_dir):
+    """Near hashes where distinct hashes grow with documents."""
+    return followup.near_hash_pairs(view(spark, sf_dir, "v_prints")).select("a", "b", F.col("bits").cast("long").alias("bits"))
+
+
 @query("SELECT doc_id, concat('sha256:', sha256(text)) AS image_hash FROM documents")
 def q38_file_hash(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("image_hash"))

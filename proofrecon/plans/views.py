@@ -63,6 +63,8 @@ FROM (SELECT *, lpad(CAST(d AS STRING), 2, '0') AS dd, lpad(CAST(m AS STRING), 2
                    CAST(o_orderkey % 24 AS INT) AS h, CAST(o_orderkey % 60 AS INT) AS mi FROM orders) a) b""",
     "v_hash": """
 SELECT doc_id AS id, concat(lpad(CAST(doc_id % 16 AS STRING), 2, '0'), repeat('0', 30), substr(md5(CAST(CAST(floor(doc_id / 16) AS BIGINT) % 40 AS STRING)), 1, 32)) AS h FROM documents WHERE doc_id IS NOT NULL""",
+    "v_prints": """
+SELECT doc_id AS id, concat(lpad(CAST(doc_id % 16 AS STRING), 2, '0'), substr(md5(CAST(CAST(floor(doc_id / 32) AS BIGINT) AS STRING)), 1, 30), md5(concat('p', CAST(CAST(floor(doc_id / 32) AS BIGINT) AS STRING)))) AS h FROM documents WHERE doc_id IS NOT NULL""",
     "v_msgs": """
 SELECT event_id AS id, ts AS created_at, CAST(event_id % 17 AS INT) AS k, (event_id % 21) / 20.0 AS injection, (event_id % 13) / 12.0 AS phishing,
        CASE WHEN event_id % 11 = 0 THEN 'blocked' WHEN event_id % 7 = 0 THEN 'spf_fail' ELSE 'inbox' END AS label, event_id % 19 = 0 AS held, event_id % 23 = 0 AS hidden_text,
