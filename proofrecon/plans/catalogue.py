@@ -482,6 +482,26 @@ def q48_duplicate_links(spark, sf_dir):
     return matching.claim_links(_copied(spark, sf_dir))
 
 
+@query()
+def verify_all_claims(spark, sf_dir):
+    """The whole engine over a claim per credit, with file and image hashes."""
+    rows = view(spark, sf_dir, "v_stmt").withColumn("name_hint", F.col("name"))
+    out = matching.verify(view(spark, sf_dir, "v_all_claims"), rows, view(spark, sf_dir, "v_meta"))
+    return out.select("batch_id", "claim_id", "status", "tier", "row_id", F.round("confidence", 4).alias("confidence"), "reason", "follow_up_after")
+
+
+@query("""
+WITH c AS (SELECT batch_id, claim_id, pos, CAST(floor(pos / 600) AS BIGINT) AS g, CAST(floor(pos / 3000) AS BIGINT) AS f FROM v_all_claims)
+SELECT batch_id, a, claim_id AS b, 'reference' AS kind FROM (SELECT *, first(claim_id) OVER (PARTITION BY batch_id, g ORDER BY claim_id) AS a FROM c) x WHERE a <> claim_id
+UNION ALL SELECT batch_id, a, claim_id, 'file' FROM (SELECT *, first(claim_id) OVER (PARTITION BY batch_id, f ORDER BY claim_id) AS a FROM c WHERE pos % 5 = 0) x WHERE a <> claim_id
+UNION ALL SELECT a.batch_id, a.claim_id, b.claim_id, CASE WHEN a.pos % 16 = b.pos % 16 THEN 'image_identical' ELSE 'image_near' END
+FROM c a JOIN c b ON a.batch_id = b.batch_id AND a.g = b.g AND a.claim_id < b.claim_id WHERE a.pos % 5 = 1 AND b.pos % 5 = 1""")
+def q48b_all_duplicate_links(spark, sf_dir):
+    """Links of every kind over a claim per credit; references are shared by claims that are near in time."""
+    c = view(spark, sf_dir, "v_all_claims").withColumn("reference", F.format_string("7%011d", F.floor(F.col("pos") / 600)))
+    return matching.claim_links(matching.prepared_claims(c))
+
+
 # ---------------------------------------------------------------- after the verdicts
 
 _OLD = "CASE CAST(pos % 6 AS INT) WHEN 0 THEN 'Verified' WHEN 1 THEN 'Likely Match' WHEN 2 THEN 'Contradicted' WHEN 3 THEN 'Not found' WHEN 4 THEN 'Can''t verify yet' ELSE 'Duplicate' END"

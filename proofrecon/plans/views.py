@@ -72,7 +72,17 @@ SELECT event_id AS id, ts AS created_at, CAST(event_id % 17 AS INT) AS k, (event
        concat('File', CAST(event_id AS STRING), CASE CAST(event_id % 6 AS INT) WHEN 0 THEN '.CSV' WHEN 1 THEN '.pdf' WHEN 2 THEN '.PNG' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.exe' ELSE '' END) AS filename, event_id % 5 = 0 AS inline
 FROM events""",
 }
-_NEEDS = {"v_claims": ("v_stmt",), "v_meta": ("v_stmt",)}
+#: One claim per credit; every fifth has a file hash, every fifth a near image hash.
+VIEWS["v_all_claims"] = (
+    VIEWS["v_claims"]
+    .replace(" AND pos % 3 = 0", "")
+    .replace(
+        "CAST(NULL AS STRING) AS image_hash",
+        """CASE WHEN pos % 5 = 0 THEN concat('sha256:', md5(CAST(CAST(floor(pos / 3000) AS BIGINT) AS STRING)), md5(concat('f', CAST(CAST(floor(pos / 3000) AS BIGINT) AS STRING))))
+            WHEN pos % 5 = 1 THEN concat('dhash256:', lpad(CAST(pos % 16 AS STRING), 2, '0'), substr(md5(CAST(CAST(floor(pos / 600) AS BIGINT) AS STRING)), 1, 30), md5(concat('p', CAST(CAST(floor(pos / 600) AS BIGINT) AS STRING)))) END AS image_hash""",
+    )
+)
+_NEEDS = {"v_claims": ("v_stmt",), "v_all_claims": ("v_stmt",), "v_meta": ("v_stmt",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
