@@ -64,7 +64,7 @@ STAGES = [
     ("source_mixing", source_mixing),
     ("packing", packing),
 ]
-#: The fitted field and the token ids can't be expressed in SQL; tests/llm hold a brute-force version against run().
+#: The fitted field and the token ids can't be expressed in SQL; tests/llm run the stages and ask run() for rows only.
 ORACLE_SQL = None
 
 
