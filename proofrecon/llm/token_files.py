@@ -29,23 +29,36 @@ ESCAPE = 15
 BLOCK = 1024
 
 
+#: Bits of each 16-bit number; 0 takes one.
+_BITS = np.maximum(np.ceil(np.log2(np.arange(1 << 16) + 1)), 1).astype(np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, at least one."""
+    out = _BITS[ids & np.uint64(0xFFFF)]
+    for low in (16, 32, 48):
+        over = np.flatnonzero(ids >> np.uint64(low))
+        if len(over):
+            out[over] = _BITS[(ids[over] >> np.uint64(low)) & np.uint64(0xFFFF)] + low
+    return out
+
+
 def simple8b(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of unsigned 64-bit ids, and each block's first word's index, with the number of words at last."""
+    """The words of unsigned 64-bit ids, and each block's first word's index, with the number of words at last.
+
+    Every place gets the selector that a word which begins there would have; then all blocks step from word to word
+    together.
+    """
     ids = ids.astype(np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    width = np.ones(n + 64, np.uint8)
-    for b in range(1, 64):
-        more = ids >= np.uint64(1 << b)
-        if not more.any():
-            break
-        width[:n][more] = b + 1
-    widest = {1: width}
+    widest = {1: np.append(_widths(ids), np.ones(64, np.uint8))}
     while (k := max(widest)) < 32:
         widest[2 * k] = np.maximum(widest[k], np.append(widest[k][k:], np.full(k, 255, np.uint8)))
-    room = BLOCK - np.arange(n) % BLOCK
-    room[n - n % BLOCK :] = n % BLOCK - np.arange(n % BLOCK)
+    blocks = np.arange(0, n, BLOCK)
+    room = np.tile(np.arange(BLOCK, 0, -1, dtype=np.int16), len(blocks))[:n]
+    room[blocks[-1] :] = np.arange(n - blocks[-1], 0, -1)
     selector = np.full(n, ESCAPE, np.uint8)
     for s in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[s]
@@ -53,23 +66,28 @@ def simple8b(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = np.maximum(widest[k][:n], widest[k][count - k : count - k + n])
         selector[(most <= bits) & (room >= count)] = s
     counts = np.array([c for c, _ in LAYOUT] + [0, 1])
-    after, at, i = (np.arange(n) + counts[selector]).tolist(), [], 0
-    while i < n:
-        at.append(i)
-        i = after[i]
-    at = np.array(at)
+    begins, here, ends = np.zeros(n, bool), blocks, np.append(blocks[1:], n)
+    while len(here):
+        begins[here] = True
+        here = here + counts[selector[here]]
+        on = here < ends
+        here, ends = here[on], ends[on]
+    at = np.flatnonzero(begins)
     chosen = selector[at]
-    place = np.cumsum(1 + (chosen == ESCAPE)) - 1 - (chosen == ESCAPE)
-    words = np.zeros(int(place[-1]) + 1 + int(chosen[-1] == ESCAPE), np.uint64)
+    escaped = chosen == ESCAPE
+    place = np.cumsum(1 + escaped) - 1 - escaped
+    words = np.zeros(int(place[-1]) + 1 + int(escaped[-1]), np.uint64)
     words[place] = chosen.astype(np.uint64) << np.uint64(60)
     for s, (count, bits) in enumerate(LAYOUT):
         own = np.flatnonzero(chosen == s)
-        for j in range(count if len(own) else 0):
-            words[place[own]] |= ids[at[own] + j] << np.uint64(j * bits)
-    own = np.flatnonzero(chosen == ESCAPE)
+        if len(own):
+            packed = words[place[own]]
+            for j in range(count):
+                packed |= ids[at[own] + j] << np.uint64(j * bits)
+            words[place[own]] = packed
+    own = np.flatnonzero(escaped)
     words[place[own] + 1] = ids[at[own]]
-    first = place[np.flatnonzero(at % BLOCK == 0)]
-    return words, np.append(first, len(words))
+    return words, np.append(place[np.searchsorted(at, blocks)], len(words))
 
 
 def decoded(words: np.ndarray) -> np.ndarray:

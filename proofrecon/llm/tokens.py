@@ -2,47 +2,56 @@
 
 Both vocabularies split a text before they merge bytes, and always between a non-space and a single space that a
 non-space follows. A text without two white-space characters in a row is therefore the concatenation of its pieces
-between spaces, each encoded alone. Any other text is encoded as a whole.
+between spaces, each encoded alone. Any other text, and one that may hold a special token, is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 _TWO_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
-#: How each vocabulary's tokenizer file splits a text, and whether a word takes the space before it.
-_SPLIT = {
-    "byte_bpe_50k.json": (True, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
-    "word_bpe_49k.json": (False, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
-}
+#: Marks that both vocabularies split off from the letters before them, if nothing follows.
+_MARKS = frozenset(".,;:!?")
 #: Most pieces and parts that a worker keeps (beyond it they are encoded anew), and the longest that are kept.
-PIECES, PARTS, LONGEST = 1_000_000, 1_500_000, 48
+PIECES, PARTS, LONGEST = 750_000, 750_000, 48
 
 
 class Encoder:
     """``encode(texts)``: the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` of a column of texts.
 
-    Special tokens' strings in a text are ordinary text. Kept per worker: ids of pieces between spaces and of their
-    parts, which the vocabulary's own split pattern gives; new parts go to the tokenizer in batches.
+    A special token's string in a text is that token, as the library has it; with ``special_as_text`` it is ordinary
+    text. Kept per worker: ids of pieces between spaces and of their parts. A piece of letters, or of letters and a mark,
+    is split here; any other goes through the file's own normalizer and pre-tokenizer. The model encodes each new part.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need 16 bits")
-        spaced, split = _SPLIT.get(os.path.basename(path), (None, None))
-        self.lead, self.lower = " " if spaced else "", not spaced
-        self.split = regex.compile(split).findall if split else None
+        heads = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = sorted(heads) if not special_as_text else []
+        normalizer = self.tokenizer.normalizer
+        self.normal = normalizer.normalize_str if normalizer else str
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.tokens = self.tokenizer.model.tokenize
+        self.lower = self.normal("A") == "a"
+        # how a space or a line feed before a word comes out of the pre-tokenizer
+        self.lead = self.split(" a")[0][0][:-1]
+        self.feed = [part for part, _ in self.split(self.normal("a\nb"))][1:-1]
+        letters = [c for c in map(chr, range(256)) if c.isalpha()]
+        self.bytes = {b: self.split(chr(b))[0][0][-1] for b in range(128) if chr(b).isalpha()}
+        for c in letters:  # what stands for each byte of these letters, and so for each upper byte
+            self.bytes |= dict(zip(c.encode(), self.split(c)[0][0], strict=True))
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -50,34 +59,43 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _table(self, known: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
-        """The ids of each piece; outside the Latin alphabets a piece goes to the tokenizer whole."""
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = array("H", [t.id for t in self.tokens(part)]).tobytes()
+            if len(part) <= LONGEST:
+                self.parts[part] = ids
+        return ids
+
+    def _piece(self, piece: str, lead: bool) -> bytes:
+        """The ids of a piece, after a space if ``lead``."""
+        word, end = (piece[:-1], piece[-1]) if piece[-1:] in _MARKS else (piece, "")
+        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            word = word.lower() if self.lower else word
+            word = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
+            ids = self._part(self.lead + word if lead else word)
+            return ids + self._part(end) if end else ids
+        if "\n" in piece and piece != "\n":
+            head, *lines = piece.split("\n")
+            out = [self._piece(head, lead)] if head else []
+            for line in lines:
+                out += map(self._part, self.feed)
+                out += [self._piece(line, False)] if line else []
+            return b"".join(out)
+        text = self.normal(" " + piece if lead else piece)
+        return b"".join([self._part(part) for part, _ in self.split(text)])
+
+    def _table(self, known: dict[str, bytes], pieces: list[str], lead: bool) -> list[bytes]:
         gc.disable()  # many small acyclic objects
-        parts, splits = self.parts, []
+        out = []
         for piece in pieces:
-            if piece not in known:
-                text = lead + piece
-                if text.isascii() or max(text) < "\u0250":
-                    splits.append((piece, self.split(text.lower() if self.lower else text)))
-                else:
-                    splits.append((piece, [text]))
-        new = list({part for _, own in splits for part in own if part not in parts})
-        if new:
-            coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, "<u2").tobytes()
-            ends = (2 * np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(new)))).tolist()
-            start = 0
-            for part, end in zip(new, ends, strict=True):
-                parts[part] = ids[start:end]
-                start = end
-        for piece, own in splits:
-            known[piece] = parts[own[0]] if len(own) == 1 else b"".join([parts[x] for x in own])
-        out = [known[piece] for piece in pieces]
-        for store, added in ((parts, new), (known, [piece for piece, _ in splits])):
-            for x in added:
-                if len(x) > LONGEST:
-                    del store[x]
-        for store, most in ((parts, PARTS), (known, PIECES)):
+            ids = known.get(piece)
+            if ids is None:
+                ids = self._piece(piece, lead)
+                if len(piece) <= LONGEST:
+                    known[piece] = ids
+            out.append(ids)
+        for store, most in ((self.parts, PARTS), (known, PIECES)):
             if len(store) > most:
                 store.clear()
         gc.enable()
@@ -86,20 +104,21 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids begin, with their number at last; null is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        alone = pc.match_substring_regex(texts, _TWO_SPACES).to_numpy(zero_copy_only=False)
-        if self.split is None:
-            alone[:] = True
-        lists = pc.split_pattern(pc.if_else(pa.array(alone), "", texts), " ")
+        alone = pc.match_substring_regex(texts, _TWO_SPACES)
+        for head in self.special:
+            alone = pc.or_(alone, pc.match_substring(texts, head))
+        lists = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        alone = alone.to_numpy(zero_copy_only=False)
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
         coded = lists.flatten().dictionary_encode()
-        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        pieces, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
         heads = index[offsets[:-1]]
-        first = np.unique(heads)
+        first = np.flatnonzero(np.bincount(heads, minlength=len(pieces)))
         is_rest = np.ones(len(index), bool)
         is_rest[offsets[:-1]] = False
-        rest = np.unique(index[is_rest])
-        table = self._table(self.rest, [pieces[k] for k in rest], self.lead) + self._table(self.first, [pieces[k] for k in first], "")
+        rest = np.flatnonzero(np.bincount(index[is_rest], minlength=len(pieces)))
+        table = self._table(self.rest, [pieces[k] for k in rest], True) + self._table(self.first, [pieces[k] for k in first], False)
         at = np.zeros(len(pieces) + 1, np.int64)
         at[rest] = np.arange(len(rest))
         place = at[index]
@@ -117,11 +136,12 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[offsets]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, special_as_text)
+    return _ENCODERS[key]
