@@ -84,8 +84,7 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
 QUERIES = {

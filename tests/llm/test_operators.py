@@ -19,7 +19,7 @@ from proofrecon.llm.repeated_passages import remove_repeats
 from proofrecon.llm.secret_scan import BASE_RULES, RULES, find_secrets, listed, redacted
 from proofrecon.llm.token_files import decoded, decoded_blocks, read_token_files, simple8b, write_token_files
 from proofrecon.llm.trigrams import trigram_query
-from proofrecon.llm.vantage_point import build, nearest, search
+from proofrecon.llm.vantage_point import nearest
 from proofrecon.llm.warc_archive import read_records, reconstruct, write_archive
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -279,39 +279,54 @@ def test_viterbi_and_fit():
     assert line_crf.viterbi(fitted, good).all() and not line_crf.viterbi(fitted, bad).any()
 
 
-def test_nearest(spark):
-    x = RNG.normal(size=(400, 8)).astype(np.float32)
-    x[100:130] = x[7]
-    made = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, None), (550, [0.0] * 8), (600, [float("nan")] * 8), (650, [None] * 8), (None, [1.0] * 8), (700, [1.0, 2.0])]
-    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
-    got = {}
-    for r in nearest(df, df.where("vec_id % 50 = 0"), factor=1.0, shard_rows=150).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    x = x.astype(float)
-    norm = np.sqrt((x**2).sum(axis=1))
-    for q in range(0, 400, 50):
+def exact_nearest(rows, asks, k=5):
+    """query_id -> per asking row the (vec_id, score) of its k nearest by brute force; rows are (vec_id, vector)."""
+    x = np.array([v for _, v in rows], float)
+    ids, norm = np.array([i for i, _ in rows]), np.sqrt((x**2).sum(axis=1))
+    out = []
+    for q in asks:
         s = (x * x[q]).sum(axis=1) / (norm * norm[q])
-        s[q] = -9
-        order = sorted(range(400), key=lambda i: (-s[i], i))[:5]
-        assert [v for _, v, _ in sorted(got[q])] == order
-        assert np.allclose([c for _, _, c in sorted(got[q])], s[order], atol=1e-12)
-    assert set(got) == set(range(0, 400, 50))
+        order = sorted((i for i in range(len(rows)) if i != q), key=lambda i: (-s[i], ids[i]))[:k]
+        out.append((int(ids[q]), tuple(int(ids[i]) for i in order), s[order]))
+    return out
 
 
-def test_recall_of_relaxed_search():
-    """On clustered vectors, as embeddings are, the production factor keeps recall; factor 1 is exact on any."""
+def test_nearest(spark):
+    x = RNG.normal(size=(400, 8)).astype(np.float32)
+    x[100:130] = x[7]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (61, rows[61][1])]  # repeated rows and ids
+    odd = [(500, None), (550, [0.0] * 8), (600, [float("nan")] * 8), (650, [None] * 8), (None, [1.0] * 8), (700, [1.0, 2.0]), (800, [])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("row", F.lit(1)).withColumn("score", F.lit("x"))
+    for shard_rows in (150, 20):
+        got = {}
+        for r in nearest(df, F.col("vec_id") % 50 == 0, factor=1.0, shard_rows=shard_rows).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        want = exact_nearest(rows, [i for i, (v, _) in enumerate(rows) if v % 50 == 0])
+        assert set(got) == {i for i, _, _ in want}
+        for i in got:
+            mine = sorted((rank, v, round(c, 12)) for rank, v, c in got[i])
+            assert mine == sorted((k + 1, v, round(float(c), 12)) for j, vs, cs in want if i == j for k, (v, c) in enumerate(zip(vs, cs, strict=True)))
+    assert nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+    assert nearest(df.where("vec_id = 700"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize(("spread", "share"), [(0.1, 0.35), (None, 1.0)])
+def test_recall_and_visited(spark, spread, share):
+    """Recall of the production factor and the share of vectors that a query meets: few on clustered vectors, most on others."""
     rng = np.random.default_rng(11)
-    centres, ids = rng.normal(size=(20, 32)), np.arange(1000)
-    for spread in (0.15, 1.0):
-        x = centres[rng.integers(0, 20, 1000)] + spread * rng.normal(size=(1000, 32))
-        tree = build(x / np.linalg.norm(x, axis=1, keepdims=True))
-        exact, a = search(tree, x, ids, x[:50], ids[:50], 5, 1.0)
-        full = (x[:50] @ x.T) / np.outer(np.linalg.norm(x[:50], axis=1), np.linalg.norm(x, axis=1))
-        full[np.arange(50), np.arange(50)] = -9
-        assert np.allclose(np.sort(exact, axis=1), np.sort(full, axis=1)[:, -5:])
-        if spread < 1:
-            _, b = search(tree, x, ids, x[:50], ids[:50], 5, 0.8)
-            assert np.mean([len(set(p) & set(q)) / 5 for p, q in zip(a, b, strict=True)]) >= 0.9
+    x = rng.normal(size=(4000, 32))
+    if spread:
+        x = rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)] + spread * x
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, visited = {}, {}
+    for r in nearest(df, F.col("vec_id") % 50 == 0, shard_rows=128).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        visited[r["query_id"]] = r["visited"]
+    want = exact_nearest(rows, range(0, 4000, 50))
+    recall = np.mean([len(got[i] & set(v)) / 5 for i, v, _ in want])
+    assert recall >= 0.9 and np.mean(list(visited.values())) / len(rows) <= share, (recall, np.mean(list(visited.values())) / len(rows))
 
 
 @pytest.mark.parametrize("empty", ["near", "repeats", "mix", "secrets", "pack", "quality"])
