@@ -2,87 +2,70 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from proofrecon.functions.text import clean_cell, let
+from proofrecon.functions.text import clean_cell
 
 #: Cells that mean "no amount", and words for the two directions.
 EMPTY = ("", "-", "--", "---", "—", "–", "nil", "na", "n/a", "null", "none", ".")
 DEBIT_WORDS = ("dr", "debit", "debited", "d", "db", "withdrawal", "w", "out", "paid", "sent")
 CREDIT_WORDS = ("cr", "credit", "credited", "c", "cred", "deposit", "dep", "in", "received")
-CURRENCY = r"(?i)(?:rs\.?|inr|₹|us\$|usd|\$|eur|€|£|gbp)"
-GROUPED = r"^(?:\d{1,3}(?:,\d{2})*,\d{3}|\d{1,3}(?:,\d{3})+)$"
-SUFFIX = r"(?i)(?<=[\d\s.)])(dr|cr|d|c)\.?\s*$"
-PREFIX = r"(?i)^\s*(dr|cr)\.?[\s:]+"
-
-
-def _plain_number(s: Column) -> Column:
-    """Thousands and decimal separators resolved; '?' where the grouping is not valid."""
-    none, commas = F.lit(","), F.char_length(s) - F.char_length(F.replace(s, F.lit(","), F.lit("")))
-    dots = F.char_length(s) - F.char_length(F.replace(s, F.lit("."), F.lit("")))
-    bare = F.replace(s, none, F.lit(""))
-    european = s.rlike(r"\.[^.]*,[^.,]*$|^[^.]*,[^,.]*$") & s.rlike(r",[^,.]*$")
-    head = F.regexp_extract(s, r"^(.*)\.[^.]*$", 1)
-    both = F.when(european, F.replace(F.replace(s, F.lit("."), F.lit("")), none, F.lit("."))).when(head.rlike(GROUPED), bare).otherwise("?")
-    single = (commas == 1) & s.rlike(r",[^,]{1,2}$")
-    comma = F.when(single, F.replace(s, none, F.lit("."))).when(s.rlike(GROUPED), bare).otherwise("?")
-    return F.when((commas > 0) & (dots > 0), both).when(commas > 0, comma).when(dots > 1, F.replace(s, F.lit("."), F.lit(""))).otherwise(s)
+CURRENCIES = ("$", "eur", "gbp", "inr", "rs.", "rs", "us$", "usd", "£", "€", "₹")
+
+_CURRENCY = "(?i)" + "|".join(re.escape(c) for c in sorted(CURRENCIES, key=len, reverse=True))
+#: A cell without its currency: direction, bracket, sign, digits, rupees-only mark, sign, bracket, direction.
+_CELL = r"(?i)^(?:(cr|dr)\.?[:\s]+)?(\()?\s*([+-]?)\s*([\d.,\s]*)(?:/[=-])?\s*(-?)\s*(\))?\s*(?:(c|cr|d|dr)\.?)?$"
+#: Shapes of the digits, and what each separator becomes: point for the second of the pair, nothing for the rest.
+_PLAIN = r"^\d*\.?\d+$"
+_COMMA_GROUPS = r"^\d{1,3}(?:(?:,\d\d)*|(?:,\d{3})*),\d{3}(?:\.\d+)?$"
+_COMMA_DECIMALS = r"^\d*,\d{1,2}$|^[\d.]*\.[\d.]*,\d+$"
+_POINT_GROUPS = r"^\d*\.\d*\.[\d.]*$"
+
+
+def _number(digits: Column) -> Column:
+    """Digits with one decimal point and no groups; null where commas and points don't make a number."""
+    return (
+        F.when(digits.rlike(_PLAIN), digits)
+        .when(digits.rlike(_COMMA_GROUPS), F.translate(digits, ",", ""))
+        .when(digits.rlike(_COMMA_DECIMALS), F.translate(digits, ",.", "."))
+        .when(digits.rlike(_POINT_GROUPS), F.translate(digits, ".", ""))
+    )
 
 
 def parse_amount(x: Column) -> Column:
-    """Currency signs, groupings, brackets and minus signs on either side are read; a Dr/Cr word is told, not applied."""
-    s0 = F.trim(F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\u00a0"), F.lit(" ")), F.lit("\u2212"), F.lit("-")))
-
-    def state(s: Column, marker: Column, negative: Column, empty: Column) -> Column:
-        return F.struct(s.alias("s"), marker.alias("marker"), negative.alias("negative"), empty.alias("empty"))
-
-    def marks(s: Column) -> Column:
-        suffix, prefix = F.lower(F.regexp_extract(s, SUFFIX, 1)), F.lower(F.regexp_extract(s, PREFIX, 1))
-        marker = F.when(suffix.isin("dr", "d") | ((suffix == "") & (prefix == "dr")), "dr").when((suffix != "") | (prefix != ""), "cr")
-        rest = F.trim(F.when(suffix != "", F.regexp_replace(s, SUFFIX, "")).otherwise(F.regexp_replace(s, PREFIX, "")))
-        return state(rest, marker, F.lit(False), F.lower(s).isin(*EMPTY))
-
-    def bare(p: Column) -> Column:
-        s = F.trim(F.regexp_replace(F.trim(F.regexp_replace(p["s"], CURRENCY, "")), r"/[-=]\s*(?=\)?$)", ""))
-        return state(s, p["marker"], p["negative"], p["empty"])
-
-    def brackets(p: Column) -> Column:
-        on = p["s"].rlike(r"(?s)^\(.*\)$")
-        return state(F.when(on, F.trim(F.regexp_extract(p["s"], r"(?s)^\((.*)\)$", 1))).otherwise(p["s"]), p["marker"], on, p["empty"])
-
-    def tail(p: Column) -> Column:
-        return state(F.trim(F.regexp_replace(p["s"], r"-$", "")), p["marker"], p["negative"] | p["s"].endswith("-"), p["empty"])
-
-    def lead(p: Column) -> Column:
-        s = F.replace(F.trim(F.regexp_replace(p["s"], r"^[-+]", "")), F.lit(" "), F.lit(""))
-        return state(s, p["marker"], p["negative"] | p["s"].startswith("-"), p["empty"] | (s == ""))
-
-    def number(p: Column) -> Column:
-        return state(_plain_number(p["s"]), p["marker"], p["negative"], p["empty"])
-
-    def value(p: Column) -> Column:
-        s = p["s"]
-        v = F.when(s.rlike(r"^(?:\d+(?:\.\d+)?|\.\d+)$"), F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)).try_cast("decimal(18,2)")
-        return F.struct(v.alias("v"), p["marker"].alias("marker"), p["negative"].alias("negative"), p["empty"].alias("empty"))
-
-    def told(p: Column) -> Column:
-        status = F.when(p["empty"], "empty").when(p["v"].isNotNull(), "ok").otherwise("invalid")
-        signed = F.when(p["negative"], -p["v"]).otherwise(p["v"]).cast("decimal(18,2)")
-        return F.struct(F.when(~p["empty"], signed).alias("value"), p["marker"].alias("marker"), status.alias("status"))
-
-    return let(s0, marks, bare, brackets, tail, lead, number, value, told)
+    """Currency signs, groupings, brackets and minus signs on either side are read; a Dr/Cr word is told, not applied.
+
+    One pattern takes a cell apart. Two directions in one cell, or one bracket of a pair, are invalid.
+    """
+    text = F.trim(F.translate(F.coalesce(x, F.lit("")), "\u00a0\u2212\u0001", " -"))
+    bare = F.trim(F.regexp_replace(text, _CURRENCY, ""))
+    part = F.split(F.regexp_replace(bare, _CELL, "$1$7\u0001$2$6\u0001$3$5\u0001$4"), "\u0001")
+    direction, brackets, signs = F.lower(F.get(part, F.lit(0))), F.get(part, F.lit(1)), F.get(part, F.lit(2))
+    digits = F.translate(F.get(part, F.lit(3)), " \t\r\n", "")
+    number = F.concat(F.lit("0"), _number(digits)).try_cast("decimal(18,2)")
+    known = direction.isin("", "c", "cr", "d", "dr") & brackets.isin("", "()")
+    empty = F.lower(text).isin(*EMPTY) | (known & (direction == "") & (digits == ""))
+    negative = (brackets == "()") | signs.contains("-")
+    value = F.when(~empty & known, F.when(negative, -number).otherwise(number)).cast("decimal(18,2)")
+    status = F.when(empty, "empty").when(value.isNotNull(), "ok").otherwise("invalid")
+    marker = F.when(~empty & direction.isin("d", "dr"), "dr").when(~empty & direction.isin("c", "cr"), "cr")
+    return F.struct(value.alias("value"), marker.alias("marker"), F.coalesce(status, F.lit("invalid")).alias("status"))
 
 
 def parse_balance(x: Column) -> Column:
     """A debit marker means an overdrawn, negative balance."""
-    return let(parse_amount(x), lambda p: F.when(p["marker"] == "dr", -F.abs(p["value"])).otherwise(p["value"]).cast("decimal(18,2)"))
+    p = parse_amount(x)
+    return F.when(p["marker"] == "dr", -F.abs(p["value"])).otherwise(p["value"]).cast("decimal(18,2)")
 
 
 def is_amount_like(x: Column) -> Column:
     """A money amount and not a bare long number."""
-    long_number = lambda s: ~s.rlike("[.,]") & (F.char_length(F.regexp_replace(s, r"\D", "")) > 9)
-    return let(clean_cell(x), lambda s: ~long_number(s) & (parse_amount(s)["status"] == "ok"))
+    s = clean_cell(x)
+    short = s.rlike("[.,]") | (F.char_length(F.regexp_replace(s, r"\D", "")) <= 9)
+    return short & (parse_amount(s)["status"] == "ok")
 
 
 def marker_from_word(x: Column) -> Column:
