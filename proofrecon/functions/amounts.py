@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from proofrecon.functions.text import clean_cell
+from proofrecon.functions.text import clean_cell, let
 
 #: Cells that mean "no amount", and words for the two directions.
 EMPTY = ("", "-", "--", "---", "—", "–", "nil", "na", "n/a", "null", "none", ".")
@@ -41,31 +41,41 @@ def parse_amount(x: Column) -> Column:
     One pattern takes a cell apart. Two directions in one cell, or one bracket of a pair, are invalid.
     """
     text = F.trim(F.translate(F.coalesce(x, F.lit("")), "\u00a0\u2212\u0001", " -"))
-    bare = F.trim(F.regexp_replace(text, _CURRENCY, ""))
-    part = F.split(F.regexp_replace(bare, _CELL, "$1$7\u0001$2$6\u0001$3$5\u0001$4"), "\u0001")
-    direction, brackets, signs = F.lower(F.get(part, F.lit(0))), F.get(part, F.lit(1)), F.get(part, F.lit(2))
-    digits = F.translate(F.get(part, F.lit(3)), " \t\r\n", "")
-    number = F.concat(F.lit("0"), _number(digits)).try_cast("decimal(18,2)")
-    known = direction.isin("", "c", "cr", "d", "dr") & brackets.isin("", "()")
-    empty = F.lower(text).isin(*EMPTY) | (known & (direction == "") & (digits == ""))
-    negative = (brackets == "()") | signs.contains("-")
-    value = F.when(~empty & known, F.when(negative, -number).otherwise(number)).cast("decimal(18,2)")
-    status = F.when(empty, "empty").when(value.isNotNull(), "ok").otherwise("invalid")
-    marker = F.when(~empty & direction.isin("d", "dr"), "dr").when(~empty & direction.isin("c", "cr"), "cr")
-    return F.struct(value.alias("value"), marker.alias("marker"), F.coalesce(status, F.lit("invalid")).alias("status"))
+
+    def apart(text: Column) -> Column:
+        bare = F.trim(F.regexp_replace(text, _CURRENCY, ""))
+        part = F.split(F.regexp_replace(bare, _CELL, "$1$7\u0001$2$6\u0001$3$5\u0001$4"), "\u0001")
+        return F.struct(F.lower(text).isin(*EMPTY).alias("empty"), part.alias("part"))
+
+    def typed(cell: Column) -> Column:
+        direction, brackets, signs = (F.get(cell["part"], F.lit(k)) for k in range(3))
+        direction, digits = F.substring(F.lower(direction), 1, 2), F.translate(F.get(cell["part"], F.lit(3)), " \t\r\n", "")
+        known = (F.char_length(F.get(cell["part"], F.lit(0))) <= 2) & brackets.isin("", "()")
+        number = F.when(known, F.concat(F.lit("0"), let(digits, _number)).try_cast("decimal(18,2)"))
+        return F.struct(
+            (cell["empty"] | F.coalesce(known & (direction == "") & (digits == ""), F.lit(False))).alias("empty"),
+            F.when((brackets == "()") | signs.contains("-"), -number).otherwise(number).cast("decimal(18,2)").alias("value"),
+            F.when(direction.isin("d", "dr"), "dr").when(direction.isin("c", "cr"), "cr").alias("marker"),
+        )
+
+    def told(cell: Column) -> Column:
+        status = F.when(cell["empty"], "empty").when(cell["value"].isNotNull(), "ok").otherwise("invalid")
+        kept = [F.when(~cell["empty"], cell[name]).alias(name) for name in ("value", "marker")]
+        return F.struct(*kept, status.alias("status"))
+
+    return let(text, apart, typed, told)
 
 
 def parse_balance(x: Column) -> Column:
     """A debit marker means an overdrawn, negative balance."""
-    p = parse_amount(x)
-    return F.when(p["marker"] == "dr", -F.abs(p["value"])).otherwise(p["value"]).cast("decimal(18,2)")
+    signed = lambda p: F.when(p["marker"] == "dr", -F.abs(p["value"])).otherwise(p["value"]).cast("decimal(18,2)")
+    return let(parse_amount(x), signed)
 
 
 def is_amount_like(x: Column) -> Column:
     """A money amount and not a bare long number."""
-    s = clean_cell(x)
-    short = s.rlike("[.,]") | (F.char_length(F.regexp_replace(s, r"\D", "")) <= 9)
-    return short & (parse_amount(s)["status"] == "ok")
+    short = lambda s: s.rlike("[.,]") | (F.char_length(F.regexp_replace(s, r"\D", "")) <= 9)
+    return let(clean_cell(x), lambda s: short(s) & (parse_amount(s)["status"] == "ok"))
 
 
 def marker_from_word(x: Column) -> Column:
