@@ -82,6 +82,8 @@ VIEWS["v_all_claims"] = (
             WHEN pos % 5 = 1 THEN concat('dhash256:', lpad(CAST(pos % 16 AS STRING), 2, '0'), substr(md5(CAST(CAST(floor(pos / 600) AS BIGINT) AS STRING)), 1, 30), md5(concat('p', CAST(CAST(floor(pos / 600) AS BIGINT) AS STRING)))) END AS image_hash""",
     )
 )
+#: Views that only parsers read, a row at a time.
+CELLS = ("v_cells", "v_dates")
 _NEEDS = {"v_claims": ("v_stmt",), "v_all_claims": ("v_stmt",), "v_meta": ("v_stmt",)}
 
 
@@ -94,6 +96,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if marked != sql:
             sql = marked
             frames[need] = view(spark, sf_dir, need) if need in VIEWS else spark.read.parquet(f"{sf_dir}/{need}.parquet")
+            if name in CELLS and len(frames[need].inputFiles()) == 1:  # one file may be one task, which would parse all cells
+                frames[need] = frames[need].repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(sql, **frames)
 
 
