@@ -1,8 +1,9 @@
 """Mix sources to target weights by systematic sampling.
 
-Within a source every document is expected target / source size times. The expectations are prefix-summed in
-the order of a hash of doc_id, one offset is added, and a document is emitted once for each integer boundary that its
-step crosses.
+Within a source every document is expected target / source size times. The expectations are prefix-summed in the order
+of sizes (equal ones by a hash of doc_id), one random offset is added, and a document is emitted once for each integer
+boundary that its step crosses. At every place of that order the copies so far differ from their expectation by less
+than one, so a source's taken words miss its target by less than the size of its largest document.
 """
 
 from __future__ import annotations
@@ -12,10 +13,6 @@ from pyspark.sql import functions as F
 
 from proofrecon.llm.common import cut, ranked
 
-#: How many equally spaced offsets are tried (from the seed's); a source takes the one that comes nearest to its target.
-OFFSETS = 32
-
-
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).cast("long")
@@ -47,25 +44,22 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), mo
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20_011, texts: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, source and more) with size, source_size, target double, copies and taken (= copies * size).
 
-    A size is the number of words. The order is md5(doc_id), doc_id, size, so reruns agree; rows that repeat a doc_id count as
-    documents of their own. A null or blank text has size 0 and takes part without weight; an empty
+    A size is the number of words. The order is size, md5(doc_id), doc_id and, with ``texts``, the text's hash, so reruns
+    agree; a source's offset is drawn by a hash of ``seed`` and its name. Rows that repeat a doc_id count as documents of
+    their own. A null or blank text has size 0 and takes part without weight; an empty
     source has target 0. copies is at most ``most``. Without ``texts``
     the text column is left out, so that only sizes are sorted. Input columns named like the results are replaced.
     """
     made = ("size", "source_size", "target", "copies", "taken", "rank")
     sized = docs.drop(*made).withColumn("size", word_count(F.col("text"))).withColumn("_key", F.md5(F.col("doc_id").cast("string")))
-    sized = sized if texts else sized.drop("text")
-    rows = ranked(sized, "source", ["_key", "doc_id", "size"])
+    sized = sized.withColumn("_text", F.xxhash64("text")) if texts else sized.drop("text")
+    rows = ranked(sized, "source", ["size", "_key", "doc_id", *(["_text"] if texts else [])])
     targets = cut(source_targets(rows.select("source", "size"), weights=weights, most=most).withColumnRenamed("source", "_source"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["_source"])).withColumn("_rate", rate)
 
-    def copies(offset: Column) -> Column:
-        return (F.floor(F.col("rank") * F.col("_rate") + offset) - F.floor((F.col("rank") - 1) * F.col("_rate") + offset)).cast("long")
-
-    grid = [((seed * 0.6180339887498949) % 1 + k / OFFSETS) % 1 for k in range(OFFSETS)]
-    tried = rows.groupBy("_source").agg(F.first("target").alias("_t"), *(F.sum(copies(F.lit(u)) * F.col("size")).alias(f"_{k}") for k, u in enumerate(grid)))
-    misses = F.array(*(F.struct(F.abs(F.col(f"_{k}") - F.col("_t")).alias("miss"), F.lit(u).alias("u")) for k, u in enumerate(grid)))
-    best = cut(tried.select(F.col("_source").alias("_s"), F.array_min(misses)["u"].alias("_u")))
-    out = rows.join(best, rows["_source"].eqNullSafe(best["_s"])).withColumn("copies", copies(F.col("_u")))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_s", "_u", "_rate", "rank", "_key")
+    drawn = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "source")), 1, 8)
+    offset = F.conv(drawn, 16, 10).cast("double") / 2**32
+    crossed = F.floor(F.col("rank") * F.col("_rate") + offset) - F.floor((F.col("rank") - 1) * F.col("_rate") + offset)
+    out = rows.withColumn("copies", crossed.cast("long"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_rate", "rank", "_key", "_text")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from proofrecon.llm.mixing import OFFSETS
 from proofrecon.llm.secret_scan import RULES, Rule
 
 OP1 = r"""
@@ -30,19 +29,15 @@ def _op7(seed: int = 20_011, weights: int = 3, most: int = 3, rounds: int = 8) -
             f"l{k} AS (SELECT ((SELECT sum(ss) FROM q) - (SELECT coalesce(sum({most} * ss), 0) FROM q, l{k - 1} WHERE {most} * ss < v * w))::DOUBLE / "
             f"(SELECT sum(w) FROM q, l{k - 1} WHERE NOT ({most} * ss < v * w))::DOUBLE AS v)"
         )
-    grid = ", ".join(f"({k}, {((seed * 0.6180339887498949) % 1 + k / OFFSETS) % 1!r}::DOUBLE)" for k in range(OFFSETS))
     return rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 q AS (SELECT source, sum(size)::BIGINT AS ss, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {weights} + 1 AS w FROM d GROUP BY source),
 {", ".join(levels)},
 t AS (SELECT source, ss AS source_size, CASE WHEN {most} * ss < v * w THEN ({most} * ss)::DOUBLE ELSE v * w END AS target FROM q, l{rounds}),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-      row_number() OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-g(i, u) AS (VALUES {grid}),
-c AS (SELECT r.*, u, CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS BIGINT) * size AS taken FROM r, g),
-m AS (SELECT source, u, abs(sum(taken) - any_value(target)) AS miss FROM c GROUP BY source, u),
-b AS (SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, u) AS n FROM m) x WHERE n = 1)
-SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.u = b.u"""
+      row_number() OVER (PARTITION BY d.source ORDER BY size, md5(CAST(doc_id AS VARCHAR)), doc_id) AS k,
+      CAST(concat('0x', substr(md5(concat_ws(':', '{seed}', d.source)), 1, 8)) AS BIGINT)::DOUBLE / 4294967296 AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS BIGINT) * size AS taken FROM r"""
 
 
 def _spans(rule: Rule, rank: int) -> str:

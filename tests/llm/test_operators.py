@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -225,6 +226,13 @@ def test_mixing(docs, rows):
     assert sum(v[0]["target"] for v in by.values()) == pytest.approx(total)
     for v in by.values():
         assert v[0]["source_size"] == sum(r["size"] for r in v) and v[0]["target"] <= 3 * v[0]["source_size"]
+        assert abs(sum(r["taken"] for r in v) - v[0]["target"]) <= max(r["size"] for r in v) + 1e-6
+        # systematic sampling, recomputed: one offset, boundaries crossed in the order of sizes
+        order = sorted(v, key=lambda r: (r["size"], hashlib.md5(str(r["doc_id"]).encode()).hexdigest() if r["doc_id"] is not None else "", r["doc_id"] or 0))
+        name = ":".join(["20011"] + ([v[0]["source"]] if v[0]["source"] is not None else []))
+        offset, rate = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32, v[0]["target"] / v[0]["source_size"] if v[0]["source_size"] else 0.0
+        want = [math.floor(k * rate + offset) - math.floor((k - 1) * rate + offset) for k in range(1, len(v) + 1)]
+        assert [r["copies"] for r in order if r["size"]] == [c for c, r in zip(want, order, strict=True) if r["size"]]
     again = mix_sources(docs.repartition(2)).collect()
     assert Counter((r["doc_id"], r["copies"]) for r in got) == Counter((r["doc_id"], r["copies"]) for r in again)
 
