@@ -30,19 +30,6 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def _base32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest rows with the payload's SHA-1 as bare upper-case base32 in place of the payload, after verification."""
-    for batch in batches:
-        payloads = batch.column("payload").to_pylist()
-        sha1 = [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in payloads]
-        for p, key in zip(payloads, batch.column("sha256").to_pylist(), strict=True):
-            if hashlib.sha256(p).hexdigest() != key:
-                raise ValueError(f"payload {key} is damaged")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("sha256"), pa.array(map(len, payloads), pa.int64()), pa.array(sha1, pa.string())], names=["sha256", "payload_bytes", "payload_digest"]
-        )
-
-
 def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
     """Store ``pages`` (page_id, url, html): ``path``/payloads and ``path``/headers, a record per row.
 
@@ -87,12 +74,6 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Per stored payload: sha256, payload_bytes, payload_digest (base32 SHA-1), computed from verified bytes."""
-    stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    return stored.mapInArrow(_base32, "sha256 string, payload_bytes long, payload_digest string")
-
-
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """Per record: page_id, owner, the exact header bytes, and what they say: record_type, record_id, target_uri, refers_to_id, sha256."""
     rows = spark.read.schema("page_id long, sha256 string, record_header binary, http_header binary, owner long").parquet(f"{path}/headers")
@@ -111,17 +92,51 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What whole records say: type, id, the id referred to, the payload's digest as the header has it, and of a response
+    the payload's length and base32 SHA-1, computed from its verified bytes."""
+    for batch in batches:
+        rows = []
+        for record in batch.column("record").to_pylist():
+            head, _, block = record[:-4].partition(b"\r\n\r\n")
+            said = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            payload, key = block.partition(b"\r\n\r\n")[2], said["WARC-Payload-Digest"].removeprefix("sha256:")
+            if len(block) != int(said["Content-Length"]):
+                raise ValueError(f"record {said['WARC-Record-ID']} has another length than it says")
+            full = said["WARC-Type"] == "response"
+            if full and hashlib.sha256(payload).hexdigest() != key:
+                raise ValueError(f"payload {key} is damaged")
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if full else None
+            rows.append((said["WARC-Type"], said["WARC-Record-ID"], said.get("WARC-Refers-To"), key, len(payload) if full else None, digest))
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.string()] * 4 + [pa.int64(), pa.string()]
+        names = ["record_type", "record_id", "refers_to_id", "sha256", "payload_bytes", "payload_digest"]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", *names])
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Per record of the archive: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id)."""
-    headers = read_headers(spark, path).select("page_id", "owner", "record_type", "sha256")
-    joined = headers.join(read_payloads(spark, path), "sha256")
-    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("owner")).alias("refers_to"))
+    """Per record of the archive: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id).
+
+    All of it is parsed from reconstructed records; a revisit takes its payload's length and digest from the response
+    that its WARC-Refers-To names.
+    """
+    schema = "page_id long, record_type string, record_id string, refers_to_id string, sha256 string, payload_bytes long, payload_digest string"
+    records = cut(reconstruct(spark, path).mapInArrow(_parsed, schema))
+    full, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    # rows that repeat a page_id share a record id; with the digest it tells payloads apart
+    named = full.groupBy(F.col("record_id").alias("refers_to_id"), "sha256").agg(
+        F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest")
+    )
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    followed = revisits.drop("payload_bytes", "payload_digest").join(named, ["refers_to_id", "sha256"])
+    return full.withColumn("refers_to", F.lit(None).cast("long")).select(names).unionByName(followed.select(names))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """Per record: page_id and ``record``, its original bytes (header, HTTP header, payload unless it revisits, two line ends)."""
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
     checked = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("binary"))
-    rows = read_headers(spark, path).join(stored.select("sha256", checked.alias("payload")), "sha256")
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return rows.select("page_id", F.concat("record_header", "http_header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    headers = read_headers(spark, path)
+    full = headers.where("record_type <> 'revisit'").join(stored.select("sha256", checked.alias("payload")), "sha256")
+    rows = full.unionByName(headers.where("record_type = 'revisit'").withColumn("payload", F.lit(b"")))  # a revisit carries none
+    return rows.select("page_id", F.concat("record_header", "http_header", "payload", F.lit(b"\r\n\r\n")).alias("record"))
