@@ -20,7 +20,7 @@ _CURRENCY = "(?i)" + "|".join(re.escape(c) for c in sorted(CURRENCIES, key=len,
 _CELL = r"(?i)^(?:(cr|dr)\.?[:\s]+)?(\()?\s*([+-]?)\s*([\d.,\s]*)(?:/[=-])?\s*(-?)\s*(\))?\s*(?:(c|cr|d|dr)\.?)?$"
 #: Shapes of the digits, and what each separator becomes: point for the second of the pair, nothing for the rest.
 _PLAIN = r"^\d*\.?\d+$"
-_COMMA_GROUPS = r"^\d{1,3}(?:(?:,\d\d)*|(?:,\d{3})*),\d{3}(?:\.\d+)?$"
+COMMA_GROUPS = r"^\d{1,3}(?:(?:,\d\d)*|(?:,\d{3})*),\d{3}(?:\.\d+)?$"
 _COMMA_DECIMALS = r"^\d*,\d{1,2}$|^[\d.]*\.[\d.]*,\d+$"
 _POINT_GROUPS = r"^\d*\.\d*\.[\d.]*$"
 
@@ -29,7 +29,7 @@ def _number(digits: Column) -> Column:
     """Digits with one decimal point and no groups; null where commas and points don't make a number."""
     return (
         F.when(digits.rlike(_PLAIN), digits)
-        .when(digits.rlike(_COMMA_GROUPS), F.translate(digits, ",", ""))
+        .when(digits.rlike(COMMA_GROUPS), F.translate(digits, ",", ""))
         .when(digits.rlike(_COMMA_DECIMALS), F.translate(digits, ",.", "."))
         .when(digits.rlike(_POINT_GROUPS), F.translate(digits, ".", ""))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ def clean_cell(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))
 
 
+#: Characters that compatibility composition turns into one ASCII character: full-width forms, raised and circled digits.
+WIDE = {c: n for c in map(chr, range(0x80, 0xD800)) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii()}
+WIDE |= {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)}
+
+
 def clean_text(x: Column) -> Column:
-    """Drop control and format characters but tab and line feed, collapse white space, blank to null."""
-    kept = F.regexp_replace(x, r"[\p{Cc}\p{Cf}&&[^\t\n]]", "")
+    """Fold ``WIDE``, drop control and format characters but tab and line feed, collapse white space, blank to null."""
+    kept = F.regexp_replace(F.translate(x, "".join(WIDE), "".join(WIDE.values())), r"[\p{Cc}\p{Cf}&&[^\t\n]]", "")
     return F.nullif(F.trim(F.regexp_replace(kept, r"(?U)\s+", " ")), F.lit(""))
 
 

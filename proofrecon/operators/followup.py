@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofrecon.functions.references import find_tag, hamming256
-from proofrecon.functions.text import formula_guard, url_part
+from proofrecon.functions.text import formula_guard, indian_grouping, url_part
 
 KEY = ["batch_id", "claim_id"]
 RECHECKED = ("Can't verify yet", "Not found")
@@ -95,6 +97,104 @@ def reply(status: Column, tone: str = "neutral") -> Column:
     return out
 
 
+#: Our own wording to payers; {ref: ...} is left out where there is no reference.
+PAYER_REPLIES = {
+    "en": {
+        "greet": "Hello{name},",
+        "Verified": "your payment of {amount}{ref: with reference } has reached us. Thank you!",
+        "Likely Match": "we see a payment of {amount} that is probably yours. Please send its reference number, so that we can confirm it.",
+        "Contradicted": "your details{ref: for reference } and our statement don't agree (you told us {amount}). Please check them once more.",
+        "Not found": "we found no payment of {amount}{ref: with reference } in our account. Please send the UTR that your bank app shows.",
+        "Duplicate": "this payment{ref: with reference } was sent to us for another payment too. Please send the details of your own.",
+        "Can't verify yet": "we have your details for {amount}. Our statement doesn't reach that day yet; you need not do anything.",
+    },
+    "hi": {
+        "greet": "नमस्ते{name},",
+        "Verified": "{amount} का भुगतान{ref:, रेफरेंस } हमें मिल गया। धन्यवाद!",
+        "Likely Match": "{amount} का एक भुगतान शायद आपका है। पुष्टि के लिए उसका रेफरेंस नंबर भेजें।",
+        "Contradicted": "आपका विवरण{ref:, रेफरेंस } हमारे स्टेटमेंट से अलग है (आपने {amount} बताया)। कृपया फिर से देखें।",
+        "Not found": "{amount} का भुगतान{ref:, रेफरेंस } हमारे खाते में नहीं मिला। कृपया बैंक ऐप में दिखा UTR भेजें।",
+        "Duplicate": "यही भुगतान{ref:, रेफरेंस } किसी और भुगतान के लिए भी आया है। कृपया अपना विवरण भेजें।",
+        "Can't verify yet": "{amount} का विवरण मिल गया। हमारा स्टेटमेंट उस दिन तक का नहीं है; आपको कुछ नहीं करना है।",
+    },
+    "te": {
+        "greet": "నమస్తే{name},",
+        "Verified": "{amount} చెల్లింపు{ref:, రిఫరెన్స్ } మాకు అందింది. ధన్యవాదాలు!",
+        "Likely Match": "{amount} చెల్లింపు ఒకటి బహుశా మీదే. నిర్ధారణకు దాని రిఫరెన్స్ నంబర్ పంపండి.",
+        "Contradicted": "మీ వివరాలు{ref:, రిఫరెన్స్ } మా స్టేట్‌మెంట్‌తో కలవడం లేదు (మీరు {amount} అన్నారు). దయచేసి మళ్లీ చూడండి.",
+        "Not found": "{amount} చెల్లింపు{ref:, రిఫరెన్స్ } మా ఖాతాలో లేదు. బ్యాంక్ యాప్‌లోని UTR పంపండి.",
+        "Duplicate": "ఇదే చెల్లింపు{ref:, రిఫరెన్స్ } మరో చెల్లింపుకూ వచ్చింది. దయచేసి మీ వివరాలు పంపండి.",
+        "Can't verify yet": "{amount} వివరాలు అందాయి. మా స్టేట్‌మెంట్ ఆ రోజు వరకు లేదు; మీరు ఏమీ చేయనవసరం లేదు.",
+    },
+}
+
+
+def payer_reply(status: Column, lang: Column, name: Column, amount: Column, reference: Column) -> Column:
+    """A message to the payer by status and language (en, hi, te); null for others. A null amount shows as ₹—, a name to 40 characters."""
+
+    def filled(template: str) -> Column:
+        head, *rest = re.split(r"\{ref:([^}]*)\}", template)
+        parts = [F.replace(F.lit(head), F.lit("{amount}"), F.coalesce(indian_grouping(amount), F.lit("₹—")))]
+        for word, tail in zip(rest[::2], rest[1::2], strict=True):
+            parts.append(F.coalesce(F.concat(F.lit(word), reference), F.lit("")))
+            parts.append(F.replace(F.lit(tail), F.lit("{amount}"), F.coalesce(indian_grouping(amount), F.lit("₹—"))))
+        return F.concat(*parts)
+
+    out = F.lit(None).cast("string")
+    called = F.substring(F.trim(F.coalesce(name, F.lit(""))), 1, 40)
+    called = F.when(called == "", "").otherwise(F.concat(F.lit(" "), called))
+    for code, texts in PAYER_REPLIES.items():
+        greeting = F.replace(F.lit(texts["greet"] + " "), F.lit("{name}"), called)
+        for told in ORDER:
+            out = F.when((lang == code) & (status == told), F.concat(greeting, filled(texts[told]))).otherwise(out)
+    return out
+
+
+def display_signals() -> Column:
+    """Signals for the reader of a verdict, array of struct(mark, label, detail): reference, amount, date or time, payer name.
+
+    Reads status, coverage_end, the claim's c_ref, c_paise, c_ts, c_name and its row's row_id, narration, r_paise, r_dt.
+    A row's time at midnight counts as a date only. A claim that waits for coverage has one signal.
+    """
+
+    def signal(mark: str, label: str, detail: Column | str) -> Column:
+        return F.struct(F.lit(mark).alias("mark"), F.lit(label).alias("label"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
+
+    rupees = lambda x: indian_grouping((F.col(x) / 100).cast("decimal(18,2)"))
+    words = lambda x: F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda w: F.char_length(w) >= 3)
+    row, ref = F.col("row_id").isNotNull(), F.col("c_ref")
+    reference = (
+        F.when(ref.isNull(), signal("warn", "Reference", "The screenshot shows no 12-digit reference."))
+        .when(~row, signal("warn", "Reference", F.concat(ref, F.lit(" isn't on the statement."))))
+        .when(F.coalesce(F.contains("narration", ref), F.lit(False)), signal("ok", "Reference", "The statement's line has it."))
+        .otherwise(signal("warn", "Reference", "The statement's line hasn't it."))
+    )
+    amount = F.when(F.col("c_paise") == F.col("r_paise"), signal("ok", "Amount", F.concat(F.lit("Both tell "), rupees("r_paise"), F.lit(".")))).when(
+        F.col("c_paise") != F.col("r_paise"), signal("warn", "Amount", F.concat(F.lit("Screenshot "), rupees("c_paise"), F.lit(", statement "), rupees("r_paise"), F.lit(".")))
+    )
+    day_only = F.date_format("r_dt", "HH:mm:ss") == "00:00:00"
+    same_day = F.to_date("c_ts") == F.to_date("r_dt")
+    minutes = F.round(F.abs(F.timestamp_diff("SECOND", F.col("c_ts"), F.col("r_dt"))) / 60).cast("long")
+    gap = F.when(minutes < 90, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.round(minutes / 60, 1).cast("decimal(18,1)").cast("string"), F.lit(" h")))
+    apart = F.concat(gap, F.lit(" apart."))
+    time = (
+        F.when(day_only & same_day, signal("ok", "Date", "The statement tells the day only; it is the same."))
+        .when(day_only & ~same_day, signal("warn", "Date", "The statement tells another day."))
+        .when(minutes <= 30, signal("ok", "Time", apart))
+        .when(minutes.isNotNull(), signal("warn", "Time", apart))
+    )
+    own = words(F.col("c_name"))
+    shared = F.get(F.array_intersect(own, words(F.col("narration"))), F.lit(0))
+    payer = (
+        F.when(F.size(own) == 0, signal("info", "Payer name", "The screenshot shows no payer name."))
+        .when(shared.isNotNull(), signal("ok", "Payer name", F.concat(F.lit("Both have "), shared, F.lit("."))))
+        .otherwise(signal("warn", "Payer name", "The statement's line has no part of the name."))
+    )
+    waiting = F.array(signal("info", "Coverage", F.concat(F.lit("The statement ends "), F.coalesce(F.date_format("coverage_end", "yyyy-MM-dd"), F.lit("earlier")), F.lit("; it can't be checked yet."))))
+    alone = F.array(reference, signal("warn", "Statement", "No credit fits this claim."))
+    return F.when((F.col("status") == "Can't verify yet") & ~row, waiting).when(~row, alone).otherwise(F.array_compact(F.array(reference, amount, time, payer)))
+
+
 def follow_up_order(verdicts: DataFrame) -> DataFrame:
     """Each open verdict's place in its batch: by status, then claim."""
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("status"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofrecon.functions import amounts, dates, names, references, text
-from proofrecon.operators import followup, intake, ledger, matching, tables
+from proofrecon.functions import amounts, dates, names, references, screens, text
+from proofrecon.operators import claims, followup, intake, ledger, matching, tables
 from proofrecon.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,7 +287,7 @@ def q26_normal_reference(spark, sf_dir):
 def q30_identity_fields(spark, sf_dir):
     shown = F.element_at(F.array(*map(F.lit, ("Payment FAILED", "Processing...", "Paid successfully", "Hello"))), (F.col("pos") % 4 + 1).cast("int"))
     rows = view(spark, sf_dir, "v_stmt")
-    return rows.select("row_id", references.normal_upi(F.upper("upi")).alias("upi"), references.normal_name(F.upper("name")).alias("name"), references.normal_status(shown).alias("status"))
+    return rows.select("row_id", screens.address(F.upper("upi"))["value"].alias("upi"), screens.name(F.upper("name"))["value"].alias("name"), screens.status(shown)["value"].alias("status"))
 
 
 @query("SELECT pos, round(CASE WHEN pos % 5 = 0 THEN 0.0 WHEN pos % 5 = 1 THEN 0.5 * 0.9 ELSE least(1.0, (pos % 13) / 10.0) * 0.9 END::DOUBLE, 4) AS confidence FROM v_stmt")
@@ -671,3 +671,143 @@ def q05_archive_caps(spark, sf_dir):
 @query("SELECT decision, count(*) AS n FROM (SELECT CASE WHEN label = 'blocked' OR injection >= 0.5 OR phishing >= 0.5 OR hidden_text THEN 'block' WHEN held OR label = 'spf_fail' OR analysis <> 'complete' THEN 'hold' ELSE 'accept' END AS decision FROM v_msgs) x GROUP BY decision")
 def q81_intake_counts(spark, sf_dir):
     return intake.policy(view(spark, sf_dir, "v_msgs")).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- claims read from screenshots
+
+
+def _pick(by, *values):
+    """One of ``values`` by a number column; None is null."""
+    return F.get(F.array(*(v if hasattr(v, "alias") else F.lit(v).cast("string") for v in values)), (by % len(values)).cast("int"))
+
+
+@query("""
+SELECT pos, CASE WHEN told = 'USD' AND pos % 2 = 0 THEN NULL WHEN told = 'USD' THEN 'USD' WHEN told = 'INR' OR pos % 2 = 0 THEN 'INR' END AS currency, CASE WHEN told = 'USD' THEN 1 ELSE 0 END AS notes
+FROM (SELECT pos, CASE CAST(pos % 7 AS INT) WHEN 0 THEN 'INR' WHEN 1 THEN 'INR' WHEN 2 THEN 'INR' WHEN 3 THEN 'USD' WHEN 6 THEN 'INR' END AS told FROM v_stmt) x""")
+def q17_currency(spark, sf_dir):
+    told, marker = _pick(F.col("pos"), "Rs.", "inr", " ₹ ", "usd", None, "Dollars", "Rupees"), F.when(F.col("pos") % 2 == 0, "INR")
+    return view(spark, sf_dir, "v_stmt").select("pos", screens.currency(told, marker).alias("c")).select("pos", F.col("c.value").alias("currency"), F.size("c.notes").alias("notes"))
+
+
+@query("""
+SELECT id, CASE WHEN k IN (4, 5) THEN NULL ELSE cents END AS cents, CASE WHEN k IN (0, 1, 3) THEN 'INR' END AS currency, CASE WHEN k IN (1, 3) THEN 0.9 ELSE 1.0 END AS penalty, CASE WHEN k IN (4, 5) THEN 1 ELSE 0 END AS notes
+FROM (SELECT *, CAST(id % 6 AS INT) AS k FROM v_cells) x""")
+def q16b_marked_amount(spark, sf_dir):
+    number = F.concat(F.col("i").cast("string"), F.lit("."), F.col("f"))
+    told = [F.concat(F.lit(a), number, F.lit(b)) for a, b in (("₹ ", ""), ("Paid Rs. ", " on Friday"), ("", ""), ("", "/-"), ("₹", " or ₹0.5"), ("Paid ", " to 99"))]
+    rows = view(spark, sf_dir, "v_cells").select("id", screens.amount(_pick(F.col("id"), *told)).alias("a"))
+    return rows.select("id", cents(F.col("a.value")).alias("cents"), "a.currency", "a.penalty", F.size("a.notes").alias("notes"))
+
+
+@query("""
+SELECT id, CASE WHEN k IN (0, 1, 2, 7) THEN concat(day, 'T', clock) END AS iso, CASE WHEN k IN (0, 1, 2, 3, 7) THEN day END AS day, CASE WHEN k IN (0, 1, 2, 4, 7) THEN clock END AS clock,
+ CASE WHEN k IN (0, 1, 2, 7) THEN 'datetime' WHEN k = 3 THEN 'date' WHEN k = 4 THEN 'time' END AS precision, CASE WHEN k IN (0, 1, 7) THEN 0 ELSE 1 END AS notes
+FROM (SELECT id, CAST(id % 8 AS INT) AS k, concat(CAST(y + 28 AS STRING), '-', lpad(CAST(m AS STRING), 2, '0'), '-', lpad(CAST(d AS STRING), 2, '0')) AS day, concat(lpad(CAST(h AS STRING), 2, '0'), ':', lpad(CAST(mi AS STRING), 2, '0'), ':00') AS clock FROM v_dates) x""")
+def q21_claim_timestamp(spark, sf_dir):
+    """Eight ways to tell a time; orders of the 1990s are told 28 years later, so that their days exist."""
+    day, at = F.make_date(F.col("y") + 28, "m", "d"), F.format_string("%02d:%02d", "h", "mi")
+    half = F.concat(F.when(F.col("h") % 12 == 0, F.lit(12)).otherwise(F.col("h") % 12).cast("string"), F.lit(":"), F.format_string("%02d", "mi"), F.when(F.col("h") < 12, " a.m.").otherwise(" PM"))
+    told = [
+        F.concat(F.date_format(day, "dd/MM/yyyy"), F.lit(" at "), at),
+        F.concat(F.date_format(day, "d MMMM yyyy"), F.lit(", "), half),
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), at, F.lit(":00Z")),
+        F.date_format(day, "MMM d, yyyy"),
+        at,
+        F.concat(F.date_format(day, "dd-MM-yyyy"), F.lit(" 10:05 - 11:10")),
+        F.concat(F.lit("45/"), F.date_format(day, "MM/yyyy"), F.lit(" "), at),
+        F.concat(F.date_format(day, "d-M-yy"), F.lit(" "), at),
+    ]
+    rows = view(spark, sf_dir, "v_dates").select("id", screens.timestamp(_pick(F.col("id"), *told)).alias("t"))
+    return rows.select("id", "t.iso", F.col("t.date").alias("day"), F.col("t.time").alias("clock"), "t.precision", F.size("t.notes").alias("notes"))
+
+
+@query("""
+SELECT pos, CASE WHEN k < 2 THEN ref END AS reference, CASE WHEN k = 1 THEN 0.95 ELSE 1.0 END AS penalty, CASE WHEN k = 0 THEN 0 ELSE 1 END AS notes FROM (SELECT *, CAST(pos % 5 AS INT) AS k FROM v_stmt WHERE ref IS NOT NULL) x""")
+def q28_claim_reference(spark, sf_dir):
+    grouped = F.concat(F.lit("UPI Ref: "), F.concat_ws("-", F.substring("ref", 1, 4), F.substring("ref", 5, 4), F.substring("ref", 9, 4)))
+    told = _pick(F.col("pos"), F.col("ref"), grouped, F.concat(F.col("ref"), F.lit(" or 123456789012")), "777777777777", F.concat(F.substring("ref", 1, 11), F.lit("O")))
+    rows = view(spark, sf_dir, "v_stmt").where("ref is not null").select("pos", screens.reference(told).alias("r"))
+    return rows.select("pos", F.col("r.value").alias("reference"), "r.penalty", F.size("r.notes").alias("notes"))
+
+
+@query("""
+SELECT pos, CASE CAST(pos % 9 AS INT) WHEN 0 THEN 'PhonePe' WHEN 1 THEN 'Google Pay' WHEN 2 THEN 'Google Pay' WHEN 3 THEN 'Paytm' WHEN 4 THEN 'Amazon Pay' WHEN 6 THEN 'CRED' END AS app, CASE WHEN pos % 9 IN (5, 8) THEN 1 ELSE 0 END AS notes FROM v_stmt""")
+def q32_app(spark, sf_dir):
+    told = _pick(F.col("pos"), "PHONEPE app", "gpay", "Google Pay", "paytm", "My AmazonPay", "credit", "Cred", None, "My bank")
+    return view(spark, sf_dir, "v_stmt").select("pos", screens.app(told).alias("a")).select("pos", F.col("a.value").alias("app"), F.size("a.notes").alias("notes"))
+
+
+@query("""
+SELECT claim_id, CAST(round(amount * 100) AS BIGINT) AS cents, reference, ts, payer_name, CASE WHEN pos % 3 = 0 THEN replace(payer_upi_id, 'user', 'us**') ELSE payer_upi_id END AS upi,
+ CASE WHEN currency = 'INR' THEN 'INR' END AS currency, status_shown AS status, CASE WHEN reference IS NULL THEN 0.0 WHEN pos % 2 = 0 THEN 0.855 ELSE 0.475 END AS conf_reference,
+ CASE WHEN pos % 2 = 0 THEN 0.9 ELSE 0.5 END AS conf_amount, CASE WHEN payer_upi_id IS NULL THEN 0.0 WHEN pos % 2 = 0 AND pos % 3 <> 0 THEN 0.9 ELSE 0.5 END AS conf_upi,
+ 1 + CASE WHEN reference IS NOT NULL AND pos % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN payer_name IS NULL THEN 0 ELSE 1 END + CASE WHEN payer_upi_id IS NOT NULL AND pos % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN currency = 'USD' THEN 1 ELSE 0 END AS notes
+FROM (SELECT claim_id, pos, amount, reference, payer_name, payer_upi_id, currency, status_shown, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM v_all_claims) c""")
+def q34_assemble_claims(spark, sf_dir):
+    """Claims from fields as a provider tells them, one for every credit."""
+    grouped = F.when(F.col("reference").isNotNull(), F.concat_ws(" ", F.substring("reference", 1, 4), F.substring("reference", 5, 4), F.substring("reference", 9, 4)))
+    upi = F.when(F.col("pos") % 3 == 0, F.regexp_replace("payer_upi_id", "user", "us**")).otherwise(F.col("payer_upi_id"))
+    told = {
+        "reference": grouped,
+        "amount": F.concat(F.lit("₹"), F.col("amount").cast("string")),
+        "timestamp": F.date_format("ts", "dd/MM/yyyy HH:mm:ss"),
+        "payer_name": F.upper("payer_name"),
+        "payer_upi_id": upi,
+        "currency": F.col("currency"),
+        "status_shown": F.initcap("status_shown"),
+    }
+    sure = F.when(F.col("pos") % 2 == 0, "0.9").alias("confidence")
+    fields = F.create_map(*(x for f, v in told.items() for x in (F.lit(f), F.struct(v.alias("value"), sure))))
+    raw = view(spark, sf_dir, "v_all_claims").select("claim_id", F.lit("shots/a.png").alias("source_file"), "image_hash", fields.alias("fields"), F.lit(None).cast("array<string>").alias("notes"))
+    c = F.col("conf")
+    return claims.assemble(raw).select(
+        "claim_id", cents(F.col("amount")).alias("cents"), "reference", F.col("timestamp").alias("ts"), "payer_name", F.col("payer_upi_id").alias("upi"), "currency", F.col("status_shown").alias("status"),
+        c["reference"].alias("conf_reference"), c["amount"].alias("conf_amount"), c["payer_upi_id"].alias("conf_upi"), F.size("extraction_notes").alias("notes"),
+    )
+
+
+@query("""
+WITH c AS (SELECT batch_id, claim_id, pos, amount, payer_name, ts, image_hash, pos // 600 AS g, image_hash LIKE 'dhash%' AS seen, pos % 50 = 1 AS edited, CASE WHEN pos % 3 = 0 THEN CAST(700000000000 + pos // 600 AS STRING) ELSE reference END AS ref FROM v_all_claims),
+p AS (SELECT a.batch_id, a.claim_id, (b.ref, b.amount, b.payer_name, b.ts, b.image_hash) AS other, coalesce(a.ref = b.ref, false) AND (coalesce(a.amount <> b.amount, false) OR coalesce(a.ts <> b.ts, false)) AS medium,
+  coalesce(a.amount <> b.amount, false) OR coalesce(a.ref <> b.ref, false) AS low FROM c a JOIN c b ON a.batch_id = b.batch_id AND a.g = b.g AND a.seen AND b.seen AND a.claim_id <> b.claim_id),
+n AS (SELECT batch_id, claim_id, count(DISTINCT other) FILTER (medium) AS n2, count(DISTINCT other) FILTER (low AND NOT medium) AS n1 FROM p GROUP BY ALL)
+SELECT batch_id, claim_id, CASE WHEN n2 > 0 OR edited THEN 'medium' WHEN n1 > 0 THEN 'low' ELSE 'none' END AS signal, n2 + n1 + CAST(edited AS INT) AS signals,
+ CASE WHEN n2 > 0 THEN CASE WHEN n2 > 1 OR edited THEN 0.6 ELSE 0.55 END WHEN edited THEN 0.5 WHEN n1 > 1 THEN 0.3 WHEN n1 = 1 THEN 0.25 ELSE 0.0 END AS confidence
+FROM (SELECT batch_id, claim_id, edited, coalesce(n2, 0) AS n2, coalesce(n1, 0) AS n1 FROM c LEFT JOIN n USING (batch_id, claim_id)) x""")
+def q65_edit_hints(spark, sf_dir):
+    ref = F.when(F.col("pos") % 3 == 0, (F.lit(700000000000) + F.floor(F.col("pos") / 600)).cast("string")).otherwise(F.col("reference"))
+    rows = view(spark, sf_dir, "v_all_claims").withColumn("reference", ref).withColumn("software", F.when(F.col("pos") % 50 == 1, "Adobe Photoshop 25"))
+    return claims.edit_hints(rows).select("batch_id", "claim_id", "signal", "signals", "confidence")
+
+
+def _payer_sql() -> str:
+    money = "concat('₹', CASE WHEN amount >= 1000 THEN concat(CAST(CAST(floor(amount / 1000) AS INT) AS STRING), ',') ELSE '' END, CASE WHEN amount >= 1000 THEN lpad(CAST(CAST(floor(amount) AS INT) % 1000 AS STRING), 3, '0') ELSE CAST(CAST(floor(amount) AS INT) AS STRING) END, '.', lpad(CAST(CAST(round(amount * 100) AS BIGINT) % 100 AS STRING), 2, '0'))"
+    cases = []
+    for lang, texts in followup.PAYER_REPLIES.items():
+        greeting = texts["greet"].replace("{name}", "'||called||'")
+        for told in followup.ORDER:
+            body = texts[told].replace("'", "''").replace("{amount}", f"'||{money}||'").replace("{ref:", "'||coalesce('").replace("}", "'||reference,'')||'")
+            cases.append(f"WHEN lang = '{lang}' AND status = '{told.replace(chr(39), chr(39) * 2)}' THEN '{greeting} {body}'")
+    return f"""SELECT claim_id, CASE {' '.join(cases)} END AS message FROM (SELECT *, {_OLD} AS status, CASE CAST(pos % 5 % 3 AS INT) WHEN 0 THEN 'en' WHEN 1 THEN 'hi' ELSE 'te' END AS lang,
+ CASE WHEN payer_name IS NULL THEN '' ELSE concat(' ', payer_name) END AS called FROM v_claims) c"""
+
+
+@query(_payer_sql())
+def q67_payer_reply(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("pos") % 6 + 1).cast("int"))
+    message = followup.payer_reply(status, _pick(F.col("pos") % 5, "en", "hi", "te"), F.col("payer_name"), F.col("amount"), F.col("reference"))
+    return view(spark, sf_dir, "v_claims").select("claim_id", message.alias("message"))
+
+
+@query(f"""
+SELECT claim_id, CASE WHEN pos % 4 = 0 AND status = 'Can''t verify yet' THEN 'info Coverage' WHEN pos % 4 = 0 THEN 'warn Reference,warn Statement' ELSE concat(
+ CASE WHEN reference = ref THEN 'ok' ELSE 'warn' END, ' Reference,', CASE WHEN amount = credit THEN 'ok' ELSE 'warn' END, ' Amount,', CASE WHEN abs(date_diff('second', ts, dt)) <= 1829 THEN 'ok' ELSE 'warn' END, ' Time,', CASE WHEN payer_name IS NULL THEN 'info' ELSE 'ok' END, ' Payer name') END AS signals
+FROM (SELECT c.*, s.ref, s.credit, s.dt, {_OLD.replace('pos', 'c.pos')} AS status FROM v_claims c JOIN v_stmt s ON c.pos = s.pos WHERE strftime(s.dt, '%H:%M:%S') <> '00:00:00') x""")
+def q68_display_signals(spark, sf_dir):
+    c, s = view(spark, sf_dir, "v_claims"), view(spark, sf_dir, "v_stmt").select("pos", "row_id", "narration", cents(F.col("credit")).alias("r_paise"), F.col("dt").alias("r_dt"))
+    s = s.where("date_format(r_dt, 'HH:mm:ss') <> '00:00:00'")
+    rows = c.join(s, "pos").withColumns({x: F.when(F.col("pos") % 4 != 0, F.col(x)) for x in ("row_id", "narration", "r_paise", "r_dt")})
+    status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("pos") % 6 + 1).cast("int"))
+    rows = rows.select("claim_id", status.alias("status"), F.col("reference").alias("c_ref"), cents(F.col("amount")).alias("c_paise"), F.col("ts").alias("c_ts"), F.col("payer_name").alias("c_name"), F.lit(None).cast("timestamp").alias("coverage_end"), "row_id", "narration", "r_paise", "r_dt")
+    shown = F.transform(followup.display_signals(), lambda x: F.concat_ws(" ", x["mark"], x["label"]))
+    return rows.select("claim_id", F.array_join(shown, ",").alias("signals"))
