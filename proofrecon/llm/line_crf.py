@@ -1,7 +1,9 @@
 """Quality rules by line labelling: a linear-chain conditional random field marks each line as content or boilerplate.
 
-The field is fitted to lines of labelled documents (content where the document's quality is 1). Viterbi decoding finds
-the best label sequence of all lines of a document; the share of words in content lines decides whether it is kept.
+Labels are known per document, so lines get weak ones first: a model of single lines, fitted to their documents' labels,
+marks each line by itself, within what the document's label allows. The field is fitted to these sequences, in which
+labels do change. Viterbi decoding finds the best label sequence of all lines of a document; the share of words in
+content lines decides whether it is kept.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from proofrecon.llm.textstats import OFFSETS, text_stats
 
 #: Documented bound of the labelled rows that the field is fitted to: those whose doc_id hashes lowest.
 SAMPLE = 3000
-#: A training sequence has at most so many lines; longer documents give several sequences. Decoding has no such bound.
-SEQUENCE = 48
+#: A training sequence has at most so many lines, and a document gives at most so many sequences, evenly spread over it:
+#: the sample's lines are bounded like its documents. Decoding has no such bounds.
+SEQUENCE, SEQUENCES = 48, 4
 #: A document is kept if at least this share of its words is in content lines.
 CONTENT = 0.5
 
@@ -74,6 +77,21 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], *, rounds: int =
     return LineField(theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
 
 
+def line_labels(sequences: list[np.ndarray], words: list[np.ndarray], quality: list[int], *, content: float = CONTENT) -> list[np.ndarray]:
+    """Weak labels of each sequence's lines (feature codes, word counts) from its document's quality (1 or other).
+
+    A line is content where a model of single lines says so. A sequence of a good document whose content lines then hold
+    less than ``content`` of its words is content throughout; one of another document that reaches it has none.
+    """
+    codes = np.concatenate(sequences)
+    gold = np.repeat([int(q == 1) for q in quality], [len(x) for x in sequences])
+    single = fit(list(codes[:, None, :]), list(gold[:, None]))
+    score = single.emit[codes].sum(axis=1) + single.begin[1] - single.begin[0]
+    labels = np.split((score >= 0).astype(int), np.cumsum([len(x) for x in sequences])[:-1])
+    enough = [(y * w).sum() >= content * w.sum() for y, w in zip(labels, words, strict=True)]
+    return [y if good == (q == 1) else np.full_like(y, int(q == 1)) for y, good, q in zip(labels, enough, quality, strict=True)]
+
+
 def viterbi(field: LineField, codes: np.ndarray) -> np.ndarray:
     """The best labels (1: content) of a document's lines; equal scores go to content."""
     content = field.emit[codes].sum(axis=1).tolist()
@@ -103,23 +121,26 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> LineFi
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             stats = text_stats(encoded(batch.column("text")))
-            codes = [stats.codes[a:b].ravel() for a, b in zip(stats.first_line, stats.first_line[1:], strict=False)]
+            owner, codes, words = [], [], []
+            for d, (a, b) in enumerate(zip(stats.first_line.tolist(), stats.first_line[1:].tolist(), strict=False)):
+                parts = -(-(b - a) // SEQUENCE)
+                for part in np.unique(np.linspace(0, parts - 1, min(parts, SEQUENCES)).astype(int)).tolist():
+                    start, end = a + part * SEQUENCE, min(b, a + (part + 1) * SEQUENCE)
+                    owner.append(d)
+                    codes.append(stats.codes[start:end].ravel())
+                    words.append(stats.line_words[start:end].astype(np.int64))
+            rows = batch.select(["doc_id", "quality"]).take(pa.array(owner, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array(codes, pa.list_(pa.int16()))], names=["doc_id", "quality", "codes"]
+                [*rows.columns, pa.array(codes, pa.list_(pa.int16())), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "quality", "codes", "words"]
             )
 
     # the chosen rows are at most `sample`, whatever the corpus's size
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = rows.mapInArrow(lines, "doc_id long, quality int, codes array<short>").orderBy("doc_id", "quality", "codes").collect()
-    sequences, gold = [], []
-    for row in rows:
-        codes = np.array(row["codes"], np.int64).reshape(-1, len(OFFSETS) - 1)
-        for a in range(0, len(codes), SEQUENCE):
-            sequences.append(codes[a : a + SEQUENCE])
-            gold.append(np.full(len(sequences[-1]), int(row["quality"] == 1)))
-    if not sequences:
+    rows = rows.mapInArrow(lines, "doc_id long, quality int, codes array<short>, words array<long>").orderBy("doc_id", "quality", "codes", "words").collect()
+    if not rows:
         return LineField(np.ones(int(OFFSETS[-1])), np.zeros((2, 2)), np.zeros(2))
-    return fit(sequences, gold)
+    sequences = [np.array(row["codes"], np.int64).reshape(-1, len(OFFSETS) - 1) for row in rows]
+    return fit(sequences, line_labels(sequences, [np.array(row["words"]) for row in rows], [row["quality"] for row in rows]))
 
 
 def quality(docs: DataFrame, field: LineField, *, content: float = CONTENT) -> DataFrame:

@@ -22,6 +22,7 @@ from proofrecon.llm.token_files import decoded, decoded_blocks, read_token_files
 from proofrecon.llm.trigrams import trigram_query
 from proofrecon.llm.vantage_point import nearest
 from proofrecon.llm.warc_archive import read_records, reconstruct, write_archive
+from tests.conftest import DATA
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -287,6 +288,29 @@ def test_viterbi_and_fit():
     assert line_crf.viterbi(fitted, good).all() and not line_crf.viterbi(fitted, bad).any()
 
 
+def test_line_labels():
+    """Lines take weak labels of their own, a good document stays mostly content, another one doesn't become it."""
+    clean, junk = np.array([line_crf.OFFSETS[:-1] + 1]), np.array([line_crf.OFFSETS[1:] - 1])
+    stack = lambda *parts: np.concatenate(parts)
+    sequences = [*[np.repeat(clean, 6, axis=0)] * 8, *[np.repeat(junk, 6, axis=0)] * 8, stack(clean, clean, clean, junk), stack(junk, junk, junk, clean), stack(junk, junk), stack(clean, clean)]
+    quality = [1] * 8 + [0] * 8 + [1, 0, 1, 0]
+    labels = [y.tolist() for y in line_crf.line_labels(sequences, [np.full(len(x), 5) for x in sequences], quality)]
+    assert labels == [[1] * 6] * 8 + [[0] * 6] * 8 + [[1, 1, 1, 0], [0, 0, 0, 1], [1, 1], [0, 0]]
+
+
+def test_quality_shares(spark):
+    """The field of the real labels marks a menu pasted into a good text, and leaves the text."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    field = line_crf.train(docs, labels)
+    menu = "\n".join(["Home | About | Contact | Login", "$$$ ### *** %%%", "Menu | Shop | Cart ***", "<b> | <i> | ### | &&&"] * 2)
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("size(split(text, '\n')) > 6").orderBy("doc_id").limit(12).select("doc_id", "text").collect()
+    mixed = [(r["doc_id"], "\n".join(x for k, x in enumerate(r["text"].split("\n")) for x in ([menu, x] if k == 3 else [x]))) for r in good]
+    shares = [r["content_share"] for r in line_crf.quality(spark.createDataFrame(mixed, "doc_id long, text string"), field).collect()]
+    assert len(shares) == 12 and all(0.3 < x < 1 for x in shares)
+    long = spark.createDataFrame([(1, "\n".join(f"line {k} of a long text" for k in range(50_000))), (2, None)], "doc_id long, text string")
+    line_crf.train(long, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+
+
 def exact_nearest(rows, asks, k=5):
     """query_id -> per asking row the (vec_id, score) of its k nearest by brute force; rows are (vec_id, vector)."""
     x = np.array([v for _, v in rows], float)
