@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests, local mode), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset, below a temporary folder, which only local mode may use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="proofrecon-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
