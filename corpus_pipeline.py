@@ -30,12 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each class of near-duplicates (five-word shingles, similarity 0.8 or more).
 
-    Rows that repeat a doc_id are one document: one of them stays. Rows without doc_id stay.
+    Rows that repeat a doc_id are one document: that whose text has the lowest hash stays. Rows without doc_id stay.
     """
     docs = docs.select(*COLUMNS)
     kept = near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    rest = F.struct(F.xxhash64("text").alias("_hash"), *COLUMNS[1:])
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("_first")).select("doc_id", "_first.*")
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
