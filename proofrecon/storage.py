@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir (a temporary folder where that is unset, as in tests) and read it back.
+    """Write ``df`` below spark.checkpoint.dir (where that is unset, a temporary folder, which only local mode may use) and read it back.
 
     A result that several branches use is then computed once, and survives executors that are lost later.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="proofrecon-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
