@@ -57,4 +57,56 @@ f AS (SELECT doc_id, count(CASE WHEN rank = 0 THEN 1 END) AS n_assign, count(CAS
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f ON f.doc_id = d.doc_id"""
 
 
-ORACLES = {"op1_minhash_dedup": OP1, "op2_warc_archive": OP2, "op7_source_mixing": _op7(), "op8_secret_scan": _op8()}
+OP11 = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda s: array_to_string(w[s:s + least(10, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+d AS (SELECT k, n, unnest(range(1, len(w) - n + 2)) AS s, unnest(list_transform(range(1, len(w) - n + 2), lambda s: array_to_string(w[s:s + n - 1], ' '))) AS g FROM w, (SELECT DISTINCT n FROM x) y WHERE len(w) >= n),
+h AS (SELECT DISTINCT d.k, d.s, d.n, x.item_id FROM d JOIN x ON d.g = x.g AND d.n = x.n),
+c AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS p FROM h) z GROUP BY k),
+t AS (SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c ON c.k = w.k LEFT JOIN t ON t.k = w.k"""
+
+_LEAF = "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({c}), ':', {c}), '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST({n} AS VARCHAR)", "text")) + "))"
+_CRC_TABLE = "SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+OP12 = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF.format(n="n_chars + 1")} END AS tampered FROM documents, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t(lang, n, level, i, h) AS (SELECT lang, n, 0, i, leaf FROM p UNION ALL SELECT lang, (any_value(n) + 1) // 2, any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, i // 2),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(n, level, i, h) AS (SELECT n, 0, i, h FROM s UNION ALL SELECT (any_value(n) + 1) // 2, any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY i // 2),
+top AS (SELECT h AS root FROM u WHERE n = 1),
+a(k, lang, i, level, n, own, node, seen) AS (
+ SELECT row_number() OVER (), lang, i, 0, n, leaf, coalesce(tampered, leaf), '' FROM p
+ UNION ALL
+ SELECT a.k, a.lang, a.i // 2, a.level + 1, (a.n + 1) // 2, a.own, sha256(CASE WHEN a.i % 2 = 0 THEN concat(a.node, t.h) ELSE concat(t.h, a.node) END), concat(a.seen, t.h)
+ FROM a LEFT JOIN t ON t.lang IS NOT DISTINCT FROM a.lang AND t.level = a.level AND t.i = xor(a.i, 1) WHERE a.n > 1),
+b(k, i, level, n, node, seen) AS (
+ SELECT a.k, s.i, 0, s.n, a.node, a.seen FROM a JOIN s ON s.lang IS NOT DISTINCT FROM a.lang WHERE a.n = 1
+ UNION ALL
+ SELECT b.k, b.i // 2, b.level + 1, (b.n + 1) // 2, sha256(CASE WHEN b.i % 2 = 0 THEN concat(b.node, u.h) ELSE concat(u.h, b.node) END), concat(b.seen, u.h)
+ FROM b LEFT JOIN u ON u.level = b.level AND u.i = xor(b.i, 1) WHERE b.n > 1),
+o AS (SELECT *, row_number() OVER () AS k FROM p)
+SELECT o.doc_id, o.leaf, s.h AS subroot, root, sha256(b.seen) AS proof_sha256, b.node AS folded_root, b.node = root AS verified
+FROM o JOIN s ON s.lang IS NOT DISTINCT FROM o.lang JOIN b ON b.k = o.k AND b.n = 1, top"""
+
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM d GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM d, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, p, count(*)::HUGEINT AS f FROM g GROUP BY lang, k, p HAVING count(*) >= 100),
+q AS (SELECT * FROM f, (VALUES (1), (2), (3), (4)) v(c) WHERE c < k),
+c AS (SELECT q.lang, q.k, q.p, q.f AS a, c, x.f AS l, y.f AS r, n.n, (1000 * q.f * n.n) // (x.f * y.f) AS score
+ FROM q JOIN n ON n.lang = q.lang JOIN f x ON x.lang = q.lang AND x.p = q.p[:c] JOIN f y ON y.lang = q.lang AND y.p = q.p[c + 1:]),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, c) AS best FROM c),
+i AS (SELECT lang, unnest([p[:k - 1], p[2:]]) AS p, f FROM f WHERE k > 2),
+s AS (SELECT lang, p, max(f) AS f FROM i GROUP BY lang, p),
+e AS (SELECT m.*, array_to_string(m.p, ' ') AS phrase FROM m LEFT JOIN s ON s.lang = m.lang AND s.p = m.p WHERE best = 1 AND (s.f IS NULL OR 100 * s.f < 100 * m.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000"""
+
+
+ORACLES = {"op1_minhash_dedup": OP1, "op2_warc_archive": OP2, "op7_source_mixing": _op7(), "op8_secret_scan": _op8(), "op11_winnowing_decontamination": OP11, "op12_merkle_manifest": OP12, "op13_suffix_collocations": OP13}

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, op1 to op10, and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage, op1 to op13, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofrecon.llm import language_id, line_crf
+from proofrecon.llm import language_id, line_crf, merkle
+from proofrecon.llm.collocations import collocations
 from proofrecon.llm.common import scratch, table
 from proofrecon.llm.minhash_dedup import near_duplicates
 from proofrecon.llm.mixing import mix_sources
@@ -17,6 +18,7 @@ from proofrecon.llm.secret_scan import BASE_RULES, find_secrets, listed, of_kind
 from proofrecon.llm.token_files import read_token_files, write_token_files
 from proofrecon.llm.vantage_point import nearest
 from proofrecon.llm.warc_archive import read_records, write_archive
+from proofrecon.llm.winnowing import decontaminate
 
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -87,6 +89,31 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of all benchmark items in all documents."""
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), length=10)
+    n_items, items = F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", n_items, items, "contaminated")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of its language's tree, and the check of its proof after some leaves were tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = merkle.leaf_digest(*fields[:3], F.col("n_chars") + 1, fields[4])
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", merkle.leaf_digest(*fields).alias("leaf"), F.when(touched, tampered).alias("tampered"))
+    proved = merkle.manifest(leaves, tree="lang", order="doc_id")
+    proved = proved.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_suffix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of 2 to 5 words of each language."""
+    found = collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, best=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,5 +127,8 @@ QUERIES = {
         op8_secret_scan,
         op9_line_crf_quality,
         op10_vantage_point_search,
+        op11_winnowing_decontamination,
+        op12_merkle_manifest,
+        op13_suffix_collocations,
     )
 }
