@@ -2,49 +2,54 @@
 
 Texts are cut into pieces and these into words. From each word starts a suffix of at most ``longest`` words of its piece.
 
-* Word counts come first. A phrase that occurs ``least`` times has no rarer word, so suffixes stop at rare words; which
-  words are frequent is told by a bitmap of fixed size (2**BITS bits), which may let rare words pass but stops no other.
+* Words are counted first. The ``CODED`` most frequent ones, a fixed number, get codes of two bytes; any other word is
+  spelled in a suffix. Codes and spellings end by themselves, so a phrase's words are a prefix of its suffixes' bytes.
 * Suffixes go to tasks by language and first word, a first word's suffixes dealt out by their second word, so that no
-  frequent word is one task's work. Pairs of the at most ``HOT`` most frequent words are dealt further by their third word;
+  frequent word is one task's work. Pairs of the about ``HOT`` most frequent words are dealt further by their third word;
   only these pairs' own counts are then sums over several tasks. Equal suffixes of a block of text are one row.
-* A task sorts its suffixes in descending byte order and counts all prefixes of at least two words with one stack.
+* A task sorts its suffixes in descending order and counts all prefixes of at least two words with one stack. Pairs that
+  stay below ``least`` are passed over as a whole.
 * Parts of phrases are joined to their counts afterwards. All arithmetic is on integers of up to 38 digits.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofrecon.llm.common import chunks, cut, encoded
-from proofrecon.llm.textarrays import mix, prefix, spans
 
-#: Bits of the map of frequent words (4 MB), the most words that are dealt out by a third word, and into how many parts.
-BITS, HOT, PARTS = 25, 1000, 16
+#: Bytes of codes: no line feed; a code doesn't begin with a point, which begins a spelled word. A comma ends it.
+_SECOND = bytes(b for b in range(1, 128) if b != 10)
+_FIRST = bytes(b for b in _SECOND if b != ord("."))
+CODED = len(_FIRST) * len(_SECOND)
+_WORD = re.compile(r"\.[^,]*,|..", re.DOTALL)
+#: First bytes of the codes of hot words, and into how many parts pairs of them are dealt.
+_HOT_BYTES, PARTS = 8, 16
+HOT = _HOT_BYTES * len(_SECOND)
 #: Distinct words that a task counts before it hands them on, and parts of a language when its best phrases are chosen.
 WORDS, SHARES = 400_000, 64
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-#: In sorted suffixes NUL stands between words, as the least byte; a NUL inside a word is written as a space.
-_SWAP = bytes.maketrans(b"\x00\x20", b"\x20\x00")
-_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def pieces(text: bytes) -> bytes:
-    """The text with A-Z in lower case, one line for each piece and one space between words."""
-    return b"\n".join([b" ".join(p.split()) for p in text.lower().translate(_ENDS).split(b"\n")])
+def lines(text: bytes) -> list[list[bytes]]:
+    """The words of each piece of a text, A-Z in lower case."""
+    return [p.split() for p in text.lower().translate(_ENDS).split(b"\n")]
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[list[bytes]]]]:
     langs = batch.column("lang").to_pylist()
     texts = encoded(batch.column("text"))
     for lang in sorted(set(langs)):
-        yield lang, b"\n".join([pieces(t) for t, x in zip(texts, langs, strict=True) if x == lang]) + b"\n"
+        yield lang, [words for t, x in zip(texts, langs, strict=True) if x == lang for words in lines(t)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -54,8 +59,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = {}
         for batch in batches:
             for part in chunks([batch], "text"):
-                for lang, buf in _by_language(part):
-                    counts.setdefault(lang, Counter()).update(buf.split())
+                for lang, found in _by_language(part):
+                    own = counts.setdefault(lang, Counter())
+                    for words in found:
+                        own.update(words)
                 if sum(map(len, counts.values())) > WORDS:
                     yield from told(counts)
                     counts = {}
@@ -69,118 +76,123 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _hashes(buf: bytes, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, whether the next word is in its piece, and hashes of (language, word)."""
-    data = np.frombuffer(buf, np.uint8)
-    gap = (data == 32) | (data == 10)
-    edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1, append=1))
-    begin, end = edge[::2], edge[1::2]
-    name = np.frombuffer(lang.encode() + b"\n", np.uint8)
-    salt = spans(prefix(name), np.array([0]), np.array([len(name)]))
-    return begin, end, data[np.minimum(end, len(data) - 1)] == 32, mix(spans(prefix(data), begin, end) ^ salt)
-
-
-def _marks(words: DataFrame) -> DataFrame:
-    """``words`` (lang, word) with h, the hash that suffixes are dealt by."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), encoded(batch.column("word"))
-            out = np.zeros(len(texts), np.int64)
-            for lang in set(langs):
-                at = [i for i, x in enumerate(langs) if x == lang]
-                out[at] = _hashes(b"\n".join([texts[i] for i in at]) + b"\n", lang)[3].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "h"])
-
-    return words.mapInArrow(run, "lang string, word string, f long, h long")
-
-
-def suffixes(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, longest: int) -> DataFrame:
-    """key, suffix, n: suffixes of two words and more as ``mark lang \\n words``; the mark is + where a pair is dealt further."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
+def suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int) -> DataFrame:
+    """pair, rest, part, n: suffixes of two words and more; pair has ``lang \\n`` and the first two words, part is 0 unless the pair is dealt further."""
+    shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot = shared.value
+        code = shared.value.get
         for batch in batches:
             for part in chunks([batch], "text"):
-                for lang, buf in _by_language(part):
-                    begin, end, follows, word = _hashes(buf, lang)
-                    if not len(begin):
-                        continue
-                    slot = (word >> np.uint64(64 - BITS)).astype(np.int64)
-                    often = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
-                    on = np.append(often[:-1] & often[1:] & follows[:-1], np.zeros(longest, bool))
-                    n = len(begin)
-                    last, going = np.arange(n), np.ones(n, bool)
-                    for k in range(longest - 1):
-                        going = going & on[k : k + n]
-                        last[going] += 1
-                    at = np.flatnonzero(last > np.arange(n))
+                for lang, found in _by_language(part):
+                    sizes = np.array([len(words) for words in found], np.int64)
+                    spelled = [code(w) or b"." + w + b"," for words in found for w in words]
+                    end = np.repeat(np.cumsum(sizes), sizes)
+                    at = np.flatnonzero(np.arange(len(end)) + 1 < end)
                     if not len(at):
                         continue
-                    last = last[at]
-                    crowded = np.isin(word, hot)
-                    crowded = crowded[at] & crowded[at + 1]
-                    third = np.where(last >= at + 2, word[np.minimum(at + 2, n - 1)] % np.uint64(PARTS) + np.uint64(1), np.uint64(0))
-                    key = mix(mix(word[at] * _STEP + word[at + 1]) + np.where(crowded, third, np.uint64(0))).view(np.int64)
-                    swapped = buf.translate(_SWAP)
-                    texts = [swapped[a:b] for a, b in zip(begin[at].tolist(), end[last].tolist(), strict=True)]
-                    place = dict(zip(texts, range(len(texts)), strict=True))
-                    counts = Counter(texts)
-                    own = np.fromiter(place.values(), np.int64, len(place))
-                    heads = [(m + lang + "\n").encode() for m in "-+"]
-                    named = [heads[c] + t for t, c in zip(place, crowded[own].tolist(), strict=True)]
-                    columns = [pa.array(key[own]), pa.array(named, pa.binary()).cast(pa.string()), pa.array([counts[t] for t in place], pa.int64())]
-                    for k in range(0, len(named), 20_000):
-                        yield pa.RecordBatch.from_arrays([c.slice(k, 20_000) for c in columns], names=["key", "suffix", "n"])
-
-    return docs.select("lang", "text").mapInArrow(run, "key long, suffix string, n long")
-
-
-def counted_prefixes(rows: DataFrame, least: int) -> DataFrame:
-    """lang, phrase (NUL between words), words, a of all prefixes of two words and more that occur ``least`` times.
-
-    ``rows`` are sorted within partitions, descending. Pairs with mark + come with whatever count this task has.
+                    buf = b"".join(spelled)
+                    place = np.zeros(len(spelled) + 1, np.int64)
+                    np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)), out=place[1:])
+                    last = np.minimum(at + longest, end[at])
+                    texts = [buf[a:b] for a, b in zip(place[at].tolist(), place[last].tolist(), strict=True)]
+                    counts, index = Counter(texts), dict(zip(texts, range(len(texts)), strict=True))
+                    own = at[np.fromiter(index.values(), np.int64, len(index))]
+                    data = np.frombuffer(buf + b"\0\0", np.uint8)
+                    hot = (data[place[own]] <= _HOT_BYTES) & (data[place[own + 1]] <= _HOT_BYTES)
+                    third = place[np.minimum(own + 2, len(spelled))]
+                    share = (data[third].astype(np.int64) * 31 + data[third + 1]) % PARTS + 1
+                    share = np.where(hot, np.where(own + 2 < end[own], share, 1), 0).astype(np.int8)
+                    head, ahead = (lang + "\n").encode(), (place[own + 2] - place[own]).tolist()
+                    columns = [
+                        pa.array([head + t[:k] for t, k in zip(index, ahead, strict=True)], pa.binary()).cast(pa.string()),
+                        pa.array([t[k:] for t, k in zip(index, ahead, strict=True)], pa.binary()).cast(pa.string()),
+                        pa.array(share),
+                        pa.array([counts[t] for t in index], pa.int32()),
+                    ]
+                    for k in range(0, len(index), 20_000):
+                        yield pa.RecordBatch.from_arrays([c.slice(k, 20_000) for c in columns], names=["pair", "rest", "part", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, "pair string, rest string, part byte, n int")
+
+
+def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) -> DataFrame:
+    """lang, phrase (spaces between words), words, a of all prefixes of two words and more that occur ``least`` times.
+
+    ``rows`` are sorted within partitions, descending. Pairs that are dealt further come with whatever count this task has.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = {c.decode(): w.decode() for w, c in shared.value.items()}
         stack: list[str] = []
         totals: list[int] = []
+        open_pair, open_part = None, 0
         out: list[tuple[str, str, int, int]] = []
 
+        def spelled(tokens: list[str]) -> str:
+            return " ".join([words.get(t) or t[1:-1] for t in tokens])
+
         def popped(depth: int) -> None:
-            while len(stack) > depth:
+            """Close all prefixes that are longer than the pair and ``depth`` words."""
+            while len(totals) > depth + 1:
                 n = totals.pop()
-                if len(stack) > 1 and (n >= least or len(stack) == 2 and stack[0][0] == "+"):
-                    lang, first = stack[0][1:].rsplit("\n", 1)
-                    out.append((lang, "\0".join([first, *stack[1:]]), len(stack), n))
+                if n >= least:
+                    lang, pair = open_pair.rsplit("\n", 1)
+                    out.append((lang, spelled([*_WORD.findall(pair), *stack]), len(stack) + 2, n))
                 stack.pop()
-                if totals:
-                    totals[-1] += n
+                totals[-1] += n
+
+        def closed() -> None:
+            """Close the pair itself."""
+            nonlocal open_pair
+            if open_pair is None:
+                return
+            popped(0)
+            n = totals.pop()
+            if n >= least or open_part:
+                lang, pair = open_pair.rsplit("\n", 1)
+                out.append((lang, spelled(_WORD.findall(pair)), 2, n))
+            open_pair = None
 
         def table() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "words", "a"])
 
         for batch in batches:
-            for suffix, n in zip(batch.column("suffix").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                words = suffix.split("\0")
-                same, most = 0, min(len(words), len(stack))
-                while same < most and words[same] == stack[same]:
-                    same += 1
-                if same < len(stack):
-                    popped(same)
-                if same < len(words):
-                    stack += words[same:]
-                    totals += [0] * (len(words) - same)
-                totals[-1] += n
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column("pair"))
+            ends = runs.run_ends.to_numpy().astype(np.int64)
+            starts = np.concatenate([[0], ends[:-1]])
+            n_of, part_of = batch.column("n").to_numpy().astype(np.int64), batch.column("part").to_numpy()
+            some = (np.add.reduceat(n_of, starts) >= least) | (part_of[starts] > 0)
+            some[[0, -1]] = True  # these may go on in the next batch, or come from the last
+            for k in np.flatnonzero(some).tolist():
+                a, b = int(starts[k]), int(ends[k])
+                pair = runs.values[k].as_py()
+                if pair != open_pair:
+                    closed()
+                    open_pair, open_part = pair, int(part_of[a])
+                    totals.append(0)
+                for rest, n in zip(batch.column("rest").slice(a, b - a).to_pylist(), n_of[a:b].tolist(), strict=True):
+                    tokens = _WORD.findall(rest)
+                    same, most = 0, min(len(tokens), len(stack))
+                    while same < most and tokens[same] == stack[same]:
+                        same += 1
+                    if same < len(stack):
+                        popped(same)
+                    if same < len(tokens):
+                        stack += tokens[same:]
+                        totals += [0] * (len(tokens) - same)
+                    totals[-1] += n
             if len(out) >= 5_000:
                 yield table()
                 out.clear()
-        popped(0)
+        closed()
         yield table()
 
-    return rows.select("suffix", "n").mapInArrow(run, "lang string, phrase string, words int, a long")
+    return rows.select("pair", "rest", "part", "n").mapInArrow(run, "lang string, phrase string, words int, a long")
 
 
 def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: int = 2000) -> DataFrame:
@@ -196,23 +208,19 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = cut(word_counts(docs))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = cut(_marks(words.where(F.col("f") >= least)))
-    slots = often.select(F.shiftrightunsigned("h", 64 - BITS).alias("slot"))
-    got = slots.groupBy(F.expr("cast(shiftright(slot, 6) as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
-    frequent = np.zeros(1 << (BITS - 6), np.int64)
-    frequent[got.column("at").to_numpy()] = got.column("bits").to_numpy()
-    top = often.orderBy(F.desc("f"), "h").limit(HOT).select("h").toArrow()
-    hot = np.sort(top.column("h").to_numpy().view(np.uint64))
-
-    rows = suffixes(docs, frequent.view(np.uint8), hot, longest)
-    dealt = rows.repartition("key").sortWithinPartitions(F.desc("suffix"))
-    parts = counted_prefixes(dealt, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
+    often = cut(words.where(F.col("f") >= least))
+    top = often.groupBy("word").agg(F.sum("f").alias("f")).orderBy(F.desc("f"), "word").limit(CODED).select("word").toArrow()
+    names = (bytes([x, y]) for x in _FIRST for y in _SECOND)
+    codes = dict(zip(encoded(top.column("word").combine_chunks()), names, strict=False))
+
+    dealt = suffixes(docs, codes, longest).repartition("pair", "part").sortWithinPartitions(F.desc("pair"), F.desc("rest"))
+    parts = counted_prefixes(dealt, codes, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     found = cut(parts.where(F.col("a") >= least))
 
     cuts = found.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("at"))
-    upto = lambda k: F.call_function("substring_index", F.col("phrase"), F.lit("\0"), k)
+    upto = lambda k: F.call_function("substring_index", F.col("phrase"), F.lit(" "), k)
     cuts = cuts.withColumn("_l", upto(F.col("at"))).withColumn("_r", upto(F.col("at") - F.col("words")))
-    single = often.select("lang", F.translate("word", "\0", " ").alias("part"), "f")
+    single = often.select("lang", F.col("word").alias("part"), "f")
     known = cut(single.unionByName(found.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))))
     cuts = cuts.join(known.select("lang", F.col("part").alias("_l"), F.col("f").alias("l")), ["lang", "_l"])
     cuts = cuts.join(known.select("lang", F.col("part").alias("_r"), F.col("f").alias("r")), ["lang", "_r"])
@@ -224,7 +232,7 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     inner = found.where("words > 2").select("lang", "a", F.explode(F.array(upto(F.col("words") - 1), upto(1 - F.col("words")))).alias("phrase"))
     longer = inner.groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (F.col("_longer") < F.col("a")))
-    kept = kept.select("lang", F.translate("phrase", "\0 ", " \0").alias("phrase"), "words", "a", "n", "c.*")
+    kept = kept.select("lang", "phrase", "words", "a", "n", "c.*")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
     first = kept.withColumn("_share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order))).where(F.col("rank") <= best)
