@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofrecon.functions.amounts import is_amount_like, marker_from_word, parse_amount
-from proofrecon.functions.dates import is_date_like
+from proofrecon.functions.dates import is_date_like, is_time_like
 from proofrecon.functions.text import clean_cell, header_tokens
 
 #: Delimiters in order of preference.
@@ -26,23 +26,56 @@ def delimiter_votes(lines: DataFrame) -> DataFrame:
     return best.groupBy("file").agg(F.max_by("delimiter", F.struct("score", -F.col("rank"))).alias("delimiter"), F.max("score").alias("score"))
 
 
-def header_scores(cells: DataFrame, vocabulary: tuple[str, ...]) -> DataFrame:
-    """Per file the best header line among the first 80: 3 per vocabulary hit, 5 times the data share of the next 8 rows, 1 for width.
+#: Words of a header line.
+HEADER_WORDS = (
+    "amount", "amt", "bal", "balance", "cheque", "chq", "cr", "credit", "date", "debit", "deposit", "deposits", "description", "details",
+    "dr", "dt", "memo", "mode", "narration", "narrative", "particulars", "payee", "ref", "reference", "remarks", "rrn", "time",
+    "timestamp", "tran", "transaction", "txn", "type", "utr", "value", "withdrawal", "withdrawals",
+)
+#: Lines in which a header may stand, and lines below it that are looked at.
+HEADER_LINES, FOLLOW = 80, 8
 
-    ``cells``: file, line, cells. A candidate has 3 filled cells, no date, and at most 30 % amounts. The earliest of
-    equally good lines wins.
+
+def _dataish(filled: Column) -> Column:
+    """Whether a line has a date and an amount."""
+    return F.exists(filled, is_date_like) & F.exists(filled, is_amount_like)
+
+
+def find_header(cells: DataFrame) -> DataFrame:
+    """file, header_line, data_from, names, synthesized, score of each file with a header or a line of data.
+
+    A candidate is one of the first 80 lines with 3 filled cells, no date and at most 30 % amounts. It scores 3 per cell
+    with a header word, 5 times the share of data among the next 8 lines, 1 for 4 cells. Of candidates with as many words
+    as the best the first that data follows is taken, as headers are repeated on later pages. It needs two words, or one
+    and data in 40 % of the next lines, or data in 60 %; else there is none: data begin with the first line that has a
+    date and an amount, and columns are named by number. Files without such a line are left out.
     """
-    filled = F.filter("cells", lambda c: clean_cell(c) != "")
-    n = F.size(filled)
-    hits = F.size(F.array_intersect(F.flatten(F.transform(filled, header_tokens)), F.array(*map(F.lit, vocabulary))))
-    dates, money = F.size(F.filter(filled, is_date_like)), F.size(F.filter(filled, is_amount_like))
-    rows = cells.select("file", "line", n.alias("n"), hits.alias("hits"), dates.alias("dates"), money.alias("money"))
-    follow = Window.partitionBy("file").orderBy("line").rowsBetween(1, 8)
-    data = ((F.col("dates") > 0) & (F.col("money") > 0)).cast("double")
-    scored = rows.withColumn("follow", F.avg(data).over(follow)).withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("line")))
-    fits = (F.col("place") <= 80) & (F.col("n") >= 3) & (F.col("dates") == 0) & (F.col("money") <= 0.3 * F.col("n"))
-    score = 3 * F.col("hits") + 5 * F.coalesce("follow", F.lit(0.0)) + (F.col("n") >= 4).cast("int")
-    return scored.where(fits).groupBy("file").agg(F.max_by("line", F.struct(score, -F.col("line"))).alias("header_line"), F.max(score).alias("score"))
+    rows = cells.withColumn("filled", F.filter("cells", lambda c: clean_cell(c) != "")).where(F.size("filled") > 0)
+    order = Window.partitionBy("file").orderBy("line")
+    top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HEADER_LINES + FOLLOW)
+    vocabulary = F.array(*map(F.lit, HEADER_WORDS))
+    top = top.select(
+        "file", "line", "place", "cells", F.size("filled").alias("n"), F.size(F.filter("filled", lambda c: F.arrays_overlap(header_tokens(c), vocabulary))).alias("hits"),
+        F.size(F.filter("filled", is_date_like)).alias("dates"), F.size(F.filter("filled", is_amount_like)).alias("money"),
+    )
+    data = (F.col("dates") > 0) & (F.col("money") > 0)
+    top = top.withColumn("follow", F.coalesce(F.avg(data.cast("double")).over(order.rowsBetween(1, FOLLOW)), F.lit(0.0)))
+    fits = (F.col("place") <= HEADER_LINES) & (F.col("n") >= 3) & (F.col("dates") == 0) & (F.col("money") <= 0.3 * F.col("n"))
+    score = 3 * F.col("hits") + 5 * F.col("follow") + (F.col("n") >= 4).cast("int")
+    candidate = F.struct((-F.col("place")).alias("at"), "line", "hits", "follow", score.alias("score"), "cells")
+    found = top.groupBy("file").agg(F.collect_list(F.when(fits, candidate)).alias("c"), F.min(F.when(data, F.col("line"))).alias("_data"))
+    found = found.withColumn("best", F.array_max(F.transform("c", lambda x: F.struct(x["score"], x["at"], x["hits"], x["follow"]))))
+    like = F.filter("c", lambda x: (x["hits"] >= F.col("best.hits")) & ((x["follow"] > 0) | (F.col("best.follow") == 0) & (x["at"] == F.col("best.at"))))
+    found = found.withColumn("h", F.array_min(F.transform(like, lambda x: F.struct((-x["at"]).alias("at"), x["line"].alias("line"), x["hits"].alias("hits"), x["follow"].alias("follow"), x["score"].alias("score"), x["cells"].alias("cells")))))
+    sure = (F.col("h.hits") >= 2) | ((F.col("h.hits") >= 1) & (F.col("h.follow") >= 0.4)) | (F.col("h.follow") >= 0.6)
+    found = found.withColumn("sure", F.coalesce(sure, F.lit(False)))
+    width = rows.groupBy("file").agg(F.max(F.size("cells")).alias("width"))
+    deep = rows.join(found.where("not sure and _data is null").select("file"), "file", "left_semi").where(_dataish(F.col("filled"))).groupBy("file").agg(F.min("line").alias("_deep"))
+    out = found.join(width, "file").join(deep, "file", "left").withColumn("data_from", F.when(F.col("sure"), F.col("h.line") + 1).otherwise(F.coalesce("_data", "_deep")))
+    places = F.sequence(F.lit(0), F.col("width") - 1)
+    names = F.transform(places, lambda j: F.coalesce(F.when(F.col("sure"), F.nullif(clean_cell(F.get("h.cells", j)), F.lit(""))), F.concat(F.lit("col_"), (j + 1).cast("string"))))
+    shown = lambda c: F.when(F.col("sure"), F.col(c))
+    return out.where("data_from is not null").select("file", shown("h.line").alias("header_line"), "data_from", names.alias("names"), (~F.col("sure")).alias("synthesized"), shown("h.score").alias("score"))
 
 
 def spacer_columns(cells: DataFrame) -> DataFrame:
@@ -52,38 +85,37 @@ def spacer_columns(cells: DataFrame) -> DataFrame:
 
 
 def column_stats(cells: DataFrame, most: int = 60) -> DataFrame:
-    """Shares of dates, amounts, Dr/Cr words and letters in the first ``most`` rows of each column (a feature's limit)."""
+    """n and the shares of dates, times, amounts, marked amounts, Dr/Cr words, letters and 12 digits in the first ``most`` rows of each column (a feature's limit)."""
     place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
     each = cells.withColumn("_p", place).where(F.col("_p") <= most).select("file", F.posexplode("cells").alias("col", "cell")).where(clean_cell(F.col("cell")) != "")
     share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    c = F.col("cell")
+    c, told = F.col("cell"), parse_amount(F.col("cell"))
     return each.groupBy("file", "col").agg(
-        share(is_date_like(c)).alias("dates"), share(is_amount_like(c)).alias("amounts"), share(marker_from_word(c).isNotNull()).alias("markers"),
-        share(c.rlike("[A-Za-z]")).alias("letters"), share(c.rlike(r"^\d{12}$")).alias("references"), F.round(F.avg(F.char_length(c)), 4).alias("width"),
+        F.count("*").alias("n"), share(is_date_like(c)).alias("dates"), share(is_time_like(c)).alias("times"), share(is_amount_like(c)).alias("amounts"),
+        share(told["marker"].isNotNull() & told["value"].isNotNull()).alias("suffixes"), share(marker_from_word(c).isNotNull()).alias("markers"),
+        share(c.rlike("[A-Za-z]{2,}")).alias("letters"), share(c.rlike(r"^\d{12}$")).alias("references"), F.round(F.avg(F.char_length(c)), 4).alias("width"),
     )
 
 
-#: Words that name a column's role, in the order in which roles are tried.
-ROLES = (
-    ("value_date", ("value",)),
-    ("direction", ("type", "direction", "drcr")),
-    ("debit", ("debit", "withdrawal", "dr", "paid")),
-    ("credit", ("credit", "deposit", "cr", "received")),
-    ("balance", ("balance", "bal")),
-    ("narration", ("narration", "description", "particulars", "details", "remarks")),
-    ("reference", ("ref", "reference", "chq", "utr", "rrn")),
-    ("date", ("date", "dt")),
-    ("time", ("time",)),
-    ("amount", ("amount", "amt")),
-)
-
-
 def header_role(name: Column) -> Column:
-    tokens, out = header_tokens(name), None
-    for role, words in ROLES:
-        hit = F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
-        out = F.when(hit, role) if out is None else out.when(hit, role)
-    return out
+    """The role that a header's words give a column, the most special first; null without one. The words are fixed values."""
+    tokens = header_tokens(name)
+    has = lambda *words: F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
+    day, money = has("date", "dt"), has("amount", "amt")
+    rules = (
+        ("value_date", has("value", "val") & day),
+        ("direction", (has("debit") & has("credit")) | (has("dr") & has("cr"))),
+        ("direction", has("type", "indicator", "drcr", "crdr") & ~has("date") & ~money),
+        ("debit", has("debit", "debits", "withdrawal", "withdrawals", "withdrawn", "dr", "paidout")),
+        ("credit", has("credit", "credits", "deposit", "deposits", "cr", "paidin")),
+        ("balance", has("balance", "bal")),
+        ("narration", has("narration", "description", "particulars", "details", "remarks", "memo", "narrative", "payee", "merchant")),
+        ("reference", has("ref", "reference", "utr", "rrn", "refno") | (has("txn", "transaction", "tran") & has("id", "no", "number"))),
+        ("date", day | has("timestamp", "datetime")),
+        ("time", has("time")),
+        ("amount", money),
+    )
+    return F.coalesce(*(F.when(fits, role) for role, fits in rules))
 
 
 def even_sample(cells: DataFrame, most: int = 6, window: int = 60) -> DataFrame:
@@ -95,23 +127,17 @@ def even_sample(cells: DataFrame, most: int = 6, window: int = 60) -> DataFrame:
     return good.where(F.array_contains(picks, F.col("_p").cast("long"))).drop("_p", "_n")
 
 
-def best_mapping(candidates: DataFrame) -> DataFrame:
-    """Per file the candidate with the best chain status, pass rate, parse rate and completeness; the earlier of equals."""
-    place = F.array_position(F.array(*map(F.lit, ("fail", "unavailable", "partial", "pass"))), F.col("status"))
-    return candidates.groupBy("file").agg(F.max_by("candidate", F.struct(place, "pass_rate", "parse_rate", "completeness", -F.col("place"))).alias("candidate"))
-
-
 def direction(amount: Column, marker: Column) -> Column:
     """struct(debit, credit) of one amount: the marker decides, else the sign."""
     out = F.when(marker.isNotNull(), marker == "dr").otherwise(amount < 0)
     value = F.abs(amount)
-    return F.struct(F.when(out & (value != 0), value).alias("debit"), F.when(~out & (value != 0), value).alias("credit"))
+    return F.struct(F.when(out, value).alias("debit"), F.when(~out, value).alias("credit"))
 
 
 def joined_pieces(pieces: Column) -> Column:
     """Wrapped text in one line: no space where a digit meets a digit."""
     return F.aggregate(
-        pieces, F.lit(""), lambda s, p: F.when(s == "", p).when(s.rlike(r"\d$") & p.rlike(r"^\d"), F.concat(s, p)).otherwise(F.concat(s, F.lit(" "), p))
+        F.filter(pieces, lambda p: p != ""), F.lit(""), lambda s, p: F.when(s == "", p).when(s.rlike(r"\d$") & p.rlike(r"^\d"), F.concat(s, p)).otherwise(F.concat(s, F.lit(" "), p))
     )
 
 
@@ -128,32 +154,3 @@ def opening_balance(rows: DataFrame) -> DataFrame:
     label = F.lower(clean_cell(F.col("narration"))).rlike(r"^(opening|brought forward|b/?f|balance b/?f)")
     some = rows.where(label & F.col("balance").isNotNull() & F.col("debit").isNull() & F.col("credit").isNull())
     return some.groupBy("file").agg(F.min_by("balance", "line").alias("opening"))
-
-
-FOOTER = r"(?i)^\s*(total|closing balance|statement summary|end of statement|page \d+)"
-
-
-def parse_rows(cells: DataFrame, roles: dict[str, int], *, order: str = "dmy") -> DataFrame:
-    """Typed rows of each file by column roles: file, line, dt, narration, debit, credit, balance, kind.
-
-    kind: transaction, continuation (text for the row above), footer (from a footer line until the next dated row), or
-    lost. Amounts and dates are parsed natively; only the sticky footer state and continuations use a window.
-    """
-    from proofrecon.functions.amounts import parse_balance
-    from proofrecon.functions.dates import parse_datetime
-
-    cell = lambda role: F.try_element_at("cells", F.lit(roles[role] + 1)) if role in roles else F.lit(None).cast("string")
-    dt, single = parse_datetime(cell("date"), order)["dt"], parse_amount(cell("amount"))
-    marker = F.coalesce(marker_from_word(cell("direction")), single["marker"])
-    one = direction(single["value"], marker)
-    debit = F.coalesce(F.abs(parse_amount(cell("debit"))["value"]), one["debit"])
-    credit = F.coalesce(F.abs(parse_amount(cell("credit"))["value"]), one["credit"])
-    rows = cells.select("file", "line", dt.alias("dt"), clean_cell(cell("narration")).alias("narration"), F.nullif(debit, F.lit(0)).alias("debit"), F.nullif(credit, F.lit(0)).alias("credit"), parse_balance(cell("balance")).alias("balance"))
-    moved = F.col("debit").isNotNull() | F.col("credit").isNotNull()
-    sound = F.col("dt").isNotNull() & moved
-    foot = F.col("narration").rlike(FOOTER) & F.col("dt").isNull()
-    w = Window.partitionBy("file").orderBy("line")
-    closed = F.last(F.when(foot, True).when(sound, False), ignorenulls=True).over(w)
-    text_only = F.col("dt").isNull() & ~moved & (F.col("narration") != "")
-    kind = F.when(sound, "transaction").when(F.coalesce(closed, F.lit(False)), "footer").when(text_only, "continuation").otherwise("lost")
-    return rows.withColumn("kind", kind)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofrecon.functions import amounts, dates, names, references, screens, text
 from proofrecon.operators import claims, followup, intake, ledger, matching, tables
+from proofrecon.plans import rendered
 from proofrecon.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,10 +87,15 @@ def q19_parse_time(spark, sf_dir):
 
 
 @query("""
-SELECT id % 200 AS file, CASE WHEN max(CASE WHEN d > 12 THEN 1 ELSE 0 END) = 1 THEN 'dmy:certain' ELSE 'dmy:assumed' END AS date_order FROM v_dates WHERE style = 0 GROUP BY id % 200""")
+SELECT file, CASE WHEN first > 0 AND second > 0 THEN 'dmy:conflict' WHEN second > 0 THEN 'mdy:certain' WHEN first > 0 OR (told > 0 AND open = 0) THEN 'dmy:certain' ELSE 'dmy:assumed' END AS date_order
+FROM (SELECT CAST(floor(id / 48) AS BIGINT) AS file, count(CASE WHEN numeric AND day > 12 THEN 1 END) AS first, count(CASE WHEN numeric AND d <= 12 AND turned AND m <> d THEN NULL WHEN numeric AND turned AND d > 12 THEN 1 END) AS second,
+ count(CASE WHEN numeric AND d <= 12 THEN 1 END) AS open, count(CASE WHEN NOT numeric THEN 1 END) AS told
+ FROM (SELECT *, style IN (0, 5) AS numeric, floor(id / 48) % 3 = 1 AND style = 0 AS turned, CASE WHEN floor(id / 48) % 3 = 1 AND style = 0 THEN 0 ELSE d END AS day FROM v_dates) x GROUP BY 1) y""")
 def q20_date_order(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_dates").where("style = 0")
-    votes = rows.groupBy((F.col("id") % 200).alias("file")).agg(*dates.date_order_votes(F.col("cell")))
+    """Votes of all styles; every third file tells its plain numeric dates month first, so that orders differ and conflict."""
+    turned = (F.floor(F.col("id") / 48) % 3 == 1) & (F.col("style") == 0)
+    cell = F.when(turned, F.concat(F.lpad(F.col("m").cast("string"), 2, "0"), F.lit("/"), F.lpad(F.col("d").cast("string"), 2, "0"), F.lit("/"), F.col("y").cast("string"))).otherwise(F.col("cell"))
+    votes = view(spark, sf_dir, "v_dates").groupBy(F.floor(F.col("id") / 48).alias("file")).agg(*dates.date_order_votes(cell))
     return votes.select("file", dates.date_order().alias("date_order"))
 
 
@@ -115,8 +121,7 @@ def _grid(spark, sf_dir) -> DataFrame:
 
 @query("SELECT batch_id AS file, 2 AS header_line FROM v_stmt GROUP BY batch_id")
 def q04_header(spark, sf_dir):
-    words = ("date", "narration", "withdrawal", "deposit", "balance", "debit", "credit", "amount")
-    return tables.header_scores(_grid(spark, sf_dir), words).select("file", "header_line")
+    return tables.find_header(_grid(spark, sf_dir)).select("file", F.col("header_line").cast("int").alias("header_line"))
 
 
 @query("SELECT batch_id AS file, 2 AS col FROM v_stmt GROUP BY batch_id")
@@ -133,11 +138,14 @@ def q69_column_stats(spark, sf_dir):
     return tables.column_stats(grid).select("file", "col", "dates", "amounts")
 
 
-@query("""
-SELECT * FROM (VALUES ('Txn Date', 'date'), ('Value Date', 'value_date'), ('Withdrawal Amt.', 'debit'), ('Deposit (Cr)', 'credit'), ('Closing Balance', 'balance'), ('Particulars', 'narration'), ('Chq/Ref No', 'reference'), ('Time', 'time'), ('Amount', 'amount'), ('Dr/Cr Type', 'direction'), ('Branch', NULL)) t(name, role)""")
+_HEADS = {"Txn Date": "date", "Value Date": "value_date", "Withdrawal Amt.": "debit", "Deposit (Cr)": "credit", "Closing Balance": "balance", "Particulars": "narration", "Chq/Ref No": "reference", "Time": "time", "Amount": "amount", "Dr/Cr Type": "direction", "Branch": None}
+
+
+@query("SELECT pos, {0} AS role FROM v_stmt".replace("{0}", "CASE CAST(pos % 11 AS INT) " + " ".join(f"WHEN {k} THEN '{role}'" for k, role in enumerate(_HEADS.values()) if role) + " END"))
 def q70_header_role(spark, sf_dir):
-    told = ["Txn Date", "Value Date", "Withdrawal Amt.", "Deposit (Cr)", "Closing Balance", "Particulars", "Chq/Ref No", "Time", "Amount", "Dr/Cr Type", "Branch"]
-    return spark.createDataFrame([(x,) for x in told], "name string").select("name", tables.header_role(F.col("name")).alias("role"))
+    """A header for every statement row: eleven names in turn, followed by the row's own number and in two cases."""
+    name = F.concat(F.get(F.array(*map(F.lit, _HEADS)), (F.col("pos") % 11).cast("int")), F.lit(" "), F.col("pos").cast("string"))
+    return view(spark, sf_dir, "v_stmt").select("pos", tables.header_role(F.when(F.col("pos") % 2 == 0, F.upper(name)).otherwise(name)).alias("role"))
 
 
 @query("""
@@ -147,13 +155,6 @@ def q11_even_sample(spark, sf_dir):
     return tables.even_sample(_grid(spark, sf_dir).where("line >= 10")).select("file", "line")
 
 
-@query("""
-SELECT batch_id AS file, pos + 10 AS line, date_trunc('minute', dt) AS dt, narration, CAST(round(debit * 100) AS BIGINT) AS debit, CAST(round(credit * 100) AS BIGINT) AS credit, CAST(round(balance * 100) AS BIGINT) AS balance, 'transaction' AS kind FROM v_stmt""")
-def q72_parse_rows(spark, sf_dir):
-    rows = tables.parse_rows(_grid(spark, sf_dir), {"date": 0, "narration": 1, "debit": 3, "credit": 4, "balance": 5})
-    return rows.where("kind = 'transaction'").select("file", "line", "dt", "narration", *(cents(F.col(c)).alias(c) for c in ("debit", "credit", "balance")), "kind")
-
-
 @query("SELECT batch_id AS file, pos * 2 AS line, concat('UPI/', coalesce(ref, 'NA'), ' ', name) AS narration FROM v_stmt")
 def q73_wrapped_rows(spark, sf_dir):
     rows = view(spark, sf_dir, "v_stmt").select(F.col("batch_id").alias("file"), "pos", "dt", F.concat(F.lit("UPI/"), F.coalesce("ref", F.lit("NA"))).alias("t"), "name")
@@ -172,21 +173,6 @@ def q74_direction(spark, sf_dir):
     return rows.select("id", cents(F.col("d.debit")).alias("debit"), cents(F.col("d.credit")).alias("credit"))
 
 
-@query("""
-WITH c AS (SELECT user_id % 100 AS file, event_type AS candidate, count(*) AS n FROM events GROUP BY user_id % 100, event_type),
-k AS (SELECT file, candidate, CASE WHEN n % 4 = 0 THEN 0 WHEN n % 4 = 1 THEN 1 WHEN n % 4 = 2 THEN 2 ELSE 3 END AS rank, n % 7 AS pr, n % 5 AS pa, n % 3 AS co, row_number() OVER (PARTITION BY file ORDER BY candidate) AS place FROM c)
-SELECT file, candidate FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank DESC, pr DESC, pa DESC, co DESC, place) AS r FROM k) x WHERE r = 1""")
-def q71_best_mapping(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    counted = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy((F.col("user_id") % 100).alias("file"), F.col("event_type").alias("candidate")).agg(F.count("*").alias("n"))
-    status = F.element_at(F.array(*map(F.lit, ("fail", "unavailable", "partial", "pass"))), (F.col("n") % 4 + 1).cast("int"))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("candidate"))
-    n = F.col("n")
-    rows = counted.select("file", "candidate", status.alias("status"), (n % 7).alias("pass_rate"), (n % 5).alias("parse_rate"), (n % 3).alias("completeness"), place.alias("place"))
-    return tables.best_mapping(rows)
-
-
 # ---------------------------------------------------------------- ledger
 
 _CHAIN = """
@@ -365,11 +351,11 @@ def q44_reference_hits(spark, sf_dir):
     return matching.reference_hits(*_prepared(spark, sf_dir)).select("claim_id", "row_id", "ref_source")
 
 
-@query("SELECT concat('D', r.row_id) AS claim_id, r.row_id FROM v_stmt r WHERE r.debit IS NOT NULL AND r.ref IS NOT NULL AND r.pos % 5 = 0")
+@query("SELECT concat('D', r.row_id) AS claim_id, r.row_id FROM v_stmt r WHERE r.debit IS NOT NULL AND r.ref IS NOT NULL")
 def q45_debit_direction(spark, sf_dir):
     rows = view(spark, sf_dir, "v_stmt").withColumn("name_hint", F.col("name"))
     r = matching.prepared_rows(rows)
-    c = rows.where("pos % 5 = 0 and ref is not null").select("batch_id", F.concat(F.lit("D"), "row_id").alias("claim_id"), F.col("ref").alias("c_ref"))
+    c = rows.where("ref is not null").select("batch_id", F.concat(F.lit("D"), "row_id").alias("claim_id"), F.col("ref").alias("c_ref"))
     hits = c.join(r.where("r_credit is not null").select("batch_id", F.explode("refs.ref").alias("c_ref")), ["batch_id", "c_ref"])
     return matching.debit_hits(c, r, hits).select("claim_id", "row_id")
 
@@ -467,17 +453,17 @@ def verify_claims(spark, sf_dir):
 def _copied(spark, sf_dir) -> DataFrame:
     """Claims that share references in threes, and file hashes in fives within a batch."""
     c = view(spark, sf_dir, "v_claims")
-    group = F.floor(F.col("pos") / 600)
+    group = F.floor(F.col("k") / 12)
     return matching.prepared_claims(c.withColumn("reference", F.format_string("7%011d", group)).withColumn("image_hash", F.lit(None).cast("string")))
 
 
-@query("SELECT batch_id, claim_id, first(claim_id) OVER (PARTITION BY batch_id, CAST(floor(pos / 600) AS BIGINT) ORDER BY claim_id) AS group_id FROM (SELECT *, count(*) OVER (PARTITION BY batch_id, CAST(floor(pos / 600) AS BIGINT)) AS n FROM v_claims) x WHERE n > 1")
+@query("SELECT batch_id, claim_id, first(claim_id) OVER (PARTITION BY batch_id, CAST(floor(k / 12) AS BIGINT) ORDER BY claim_id) AS group_id FROM (SELECT *, count(*) OVER (PARTITION BY batch_id, CAST(floor(k / 12) AS BIGINT)) AS n FROM v_claims) x WHERE n > 1")
 def q63_duplicate_groups(spark, sf_dir):
     return matching.duplicate_groups(matching.claim_links(_copied(spark, sf_dir)))
 
 
 @query("""
-SELECT batch_id, a, claim_id AS b, 'reference' AS kind FROM (SELECT batch_id, claim_id, first(claim_id) OVER (PARTITION BY batch_id, CAST(floor(pos / 600) AS BIGINT) ORDER BY claim_id) AS a FROM v_claims) x WHERE a <> claim_id""")
+SELECT batch_id, a, claim_id AS b, 'reference' AS kind FROM (SELECT batch_id, claim_id, first(claim_id) OVER (PARTITION BY batch_id, CAST(floor(k / 12) AS BIGINT) ORDER BY claim_id) AS a FROM v_claims) x WHERE a <> claim_id""")
 def q48_duplicate_links(spark, sf_dir):
     return matching.claim_links(_copied(spark, sf_dir))
 
@@ -491,14 +477,14 @@ def verify_all_claims(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT batch_id, claim_id, pos, CAST(floor(pos / 600) AS BIGINT) AS g, CAST(floor(pos / 3000) AS BIGINT) AS f FROM v_all_claims)
+WITH c AS (SELECT batch_id, claim_id, pos, CAST(floor(k / 12) AS BIGINT) AS g, CAST(floor(k / 60) AS BIGINT) AS f FROM v_all_claims)
 SELECT batch_id, a, claim_id AS b, 'reference' AS kind FROM (SELECT *, first(claim_id) OVER (PARTITION BY batch_id, g ORDER BY claim_id) AS a FROM c) x WHERE a <> claim_id
 UNION ALL SELECT batch_id, a, claim_id, 'file' FROM (SELECT *, first(claim_id) OVER (PARTITION BY batch_id, f ORDER BY claim_id) AS a FROM c WHERE pos % 5 = 0) x WHERE a <> claim_id
 UNION ALL SELECT a.batch_id, a.claim_id, b.claim_id, CASE WHEN a.pos % 16 = b.pos % 16 THEN 'image_identical' ELSE 'image_near' END
 FROM c a JOIN c b ON a.batch_id = b.batch_id AND a.g = b.g AND a.claim_id < b.claim_id WHERE a.pos % 5 = 1 AND b.pos % 5 = 1""")
 def q48b_all_duplicate_links(spark, sf_dir):
     """Links of every kind over a claim per credit; references are shared by claims that are near in time."""
-    c = view(spark, sf_dir, "v_all_claims").withColumn("reference", F.format_string("7%011d", F.floor(F.col("pos") / 600)))
+    c = view(spark, sf_dir, "v_all_claims").withColumn("reference", F.format_string("7%011d", F.floor(F.col("k") / 12)))
     return matching.claim_links(matching.prepared_claims(c))
 
 
@@ -539,21 +525,21 @@ def q59_change_log(spark, sf_dir):
     return log.select("claim_id", "before", "after", "changed")
 
 
-@query("SELECT row_id, concat('PZ-', upper(substr(md5(row_id), 1, 6))) AS tag FROM v_stmt WHERE pos % 3 = 0")
+@query("SELECT row_id, concat('PZ-', upper(substr(md5(row_id), 1, 6))) AS tag FROM v_stmt")
 def q56_find_tag(spark, sf_dir):
     tag = F.lower(F.concat(F.lit("paid pz-"), F.substring(F.md5("row_id"), 1, 6), F.lit("/x")))
-    return view(spark, sf_dir, "v_stmt").where("pos % 3 = 0").select("row_id", references.find_tag(tag).alias("tag"))
+    return view(spark, sf_dir, "v_stmt").select("row_id", references.find_tag(tag).alias("tag"))
 
 
 @query("""
-WITH p AS (SELECT batch_id, concat('PZ-', lpad(CAST(CAST(floor(pos / 120) AS BIGINT) AS STRING), 6, '0')) AS tag, count(*) AS n, arg_min(credit, row_id) AS credit FROM v_stmt WHERE credit IS NOT NULL AND pos % 2 = 0 GROUP BY ALL),
-i AS (SELECT batch_id, concat('PZ-', lpad(CAST(CAST(floor(pos / 120) AS BIGINT) AS STRING), 6, '0')) AS tag, 200.0 AS amount FROM v_stmt GROUP BY ALL)
+WITH p AS (SELECT batch_id, concat('PZ-', lpad(CAST(CAST(floor(k / 3) AS BIGINT) AS STRING), 6, '0')) AS tag, count(*) AS n, arg_min(credit, row_id) AS credit FROM v_stmt WHERE credit IS NOT NULL GROUP BY ALL),
+i AS (SELECT batch_id, concat('PZ-', lpad(CAST(CAST(floor(k / 3) AS BIGINT) AS STRING), 6, '0')) AS tag, 200.0 AS amount FROM v_stmt GROUP BY ALL)
 SELECT i.batch_id, i.tag, CASE WHEN n IS NULL THEN 'not_found_yet' WHEN n > 1 THEN 'duplicate' WHEN abs(credit - amount) > 0.01 THEN 'amount_differs' ELSE 'paid' END AS tag_status FROM i LEFT JOIN p USING (batch_id, tag)""")
 def q57_tag_status(spark, sf_dir):
-    tag = F.concat(F.lit("PZ-"), F.lpad(F.floor(F.col("pos") / 120).cast("string"), 6, "0"))
+    tag = F.concat(F.lit("PZ-"), F.lpad(F.floor(F.col("k") / 3).cast("string"), 6, "0"))
     rows = view(spark, sf_dir, "v_stmt").withColumn("tag", tag)
     issued = rows.select("batch_id", "tag").distinct().withColumn("amount", F.lit(200).cast("decimal(18,2)"))
-    paid = rows.where("pos % 2 = 0").select("batch_id", "row_id", "credit", F.concat(F.lit("UPI "), "tag").alias("narration"))
+    paid = rows.select("batch_id", "row_id", "credit", F.concat(F.lit("UPI "), "tag").alias("narration"))
     return followup.tag_status(issued, paid).select("batch_id", "tag", "tag_status")
 
 
@@ -578,10 +564,11 @@ def q62_adapter(spark, sf_dir):
     return rows.select(F.concat(F.lit("st-"), "row_id").alias("row_id"), F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"), F.date_format("dt", "yyyy-MM-dd'T'HH:mm:ss").alias("dt"))
 
 
-@query(f"SELECT status, count(*) AS n, count(r.row_id) AS on_statement FROM (SELECT *, {_OLD} AS status FROM v_claims) c LEFT JOIN v_stmt r ON r.batch_id = c.batch_id AND r.pos = c.pos AND c.pos % 2 = 0 GROUP BY status")
+@query(f"SELECT status, count(*) AS n, count(r.row_id) AS on_statement FROM (SELECT *, {_OLD} AS status FROM v_claims) c LEFT JOIN v_stmt r ON r.batch_id = c.batch_id AND r.ref = c.reference GROUP BY status")
 def q61_report(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_stmt").select("batch_id", "pos", "row_id").where("pos % 2 = 0")
-    return _verdicts(spark, sf_dir).join(rows, ["batch_id", "pos"], "left").groupBy("status").agg(F.count("*").alias("n"), F.count("row_id").alias("on_statement"))
+    rows = view(spark, sf_dir, "v_stmt").select("batch_id", F.col("ref").alias("reference"), "row_id")
+    told = view(spark, sf_dir, "v_claims").select("claim_id", "reference")
+    return _verdicts(spark, sf_dir).join(told, "claim_id").join(rows, ["batch_id", "reference"], "left").groupBy("status").agg(F.count("*").alias("n"), F.count("row_id").alias("on_statement"))
 
 
 @query("SELECT claim_id, CASE " + " ".join(f"WHEN status = '{k.replace(chr(39), chr(39) * 2)}' THEN '{v} Many thanks!'" for k, v in followup.REPLIES.items()) + f" END AS reply FROM (SELECT *, {_OLD} AS status FROM v_claims) c")
@@ -626,10 +613,10 @@ def q82_reference_recall(spark, sf_dir):
     return out.withColumn("recall", F.round(F.col("n_claimed") / F.col("n_refs"), 4))
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'")
+@query("SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'signup'")
 def q85_set_difference(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.where("event_type = 'purchase'").select("user_id").distinct().join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_anti")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))
+    return e.where("event_type = 'purchase'").select("user_id", "day").distinct().join(e.where("event_type = 'signup'").select("user_id", "day"), ["user_id", "day"], "left_anti")
 
 
 @query("SELECT batch_id, min(dt) AS coverage_start, max(dt) AS coverage_end, count(*) AS n_rows FROM v_stmt GROUP BY batch_id")
@@ -767,7 +754,7 @@ def q34_assemble_claims(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT batch_id, claim_id, pos, amount, payer_name, ts, image_hash, pos // 600 AS g, image_hash LIKE 'dhash%' AS seen, pos % 50 = 1 AS edited, CASE WHEN pos % 3 = 0 THEN CAST(700000000000 + pos // 600 AS STRING) ELSE reference END AS ref FROM v_all_claims),
+WITH c AS (SELECT batch_id, claim_id, pos, amount, payer_name, ts, image_hash, k // 12 AS g, image_hash LIKE 'dhash%' AS seen, pos % 50 = 1 AS edited, CASE WHEN pos % 3 = 0 THEN CAST(700000000000 + k // 12 AS STRING) ELSE reference END AS ref FROM v_all_claims),
 p AS (SELECT a.batch_id, a.claim_id, (b.ref, b.amount, b.payer_name, b.ts, b.image_hash) AS other, coalesce(a.ref = b.ref, false) AND (coalesce(a.amount <> b.amount, false) OR coalesce(a.ts <> b.ts, false)) AS medium,
   coalesce(a.amount <> b.amount, false) OR coalesce(a.ref <> b.ref, false) AS low FROM c a JOIN c b ON a.batch_id = b.batch_id AND a.g = b.g AND a.seen AND b.seen AND a.claim_id <> b.claim_id),
 n AS (SELECT batch_id, claim_id, count(DISTINCT other) FILTER (medium) AS n2, count(DISTINCT other) FILTER (low AND NOT medium) AS n1 FROM p GROUP BY ALL)
@@ -775,7 +762,7 @@ SELECT batch_id, claim_id, CASE WHEN n2 > 0 OR edited THEN 'medium' WHEN n1 > 0
  CASE WHEN n2 > 0 THEN CASE WHEN n2 > 1 OR edited THEN 0.6 ELSE 0.55 END WHEN edited THEN 0.5 WHEN n1 > 1 THEN 0.3 WHEN n1 = 1 THEN 0.25 ELSE 0.0 END AS confidence
 FROM (SELECT batch_id, claim_id, edited, coalesce(n2, 0) AS n2, coalesce(n1, 0) AS n1 FROM c LEFT JOIN n USING (batch_id, claim_id)) x""")
 def q65_edit_hints(spark, sf_dir):
-    ref = F.when(F.col("pos") % 3 == 0, (F.lit(700000000000) + F.floor(F.col("pos") / 600)).cast("string")).otherwise(F.col("reference"))
+    ref = F.when(F.col("pos") % 3 == 0, (F.lit(700000000000) + F.floor(F.col("k") / 12)).cast("string")).otherwise(F.col("reference"))
     rows = view(spark, sf_dir, "v_all_claims").withColumn("reference", ref).withColumn("software", F.when(F.col("pos") % 50 == 1, "Adobe Photoshop 25"))
     return claims.edit_hints(rows).select("batch_id", "claim_id", "signal", "signals", "confidence")
 
@@ -801,13 +788,20 @@ def q67_payer_reply(spark, sf_dir):
 
 @query(f"""
 SELECT claim_id, CASE WHEN pos % 4 = 0 AND status = 'Can''t verify yet' THEN 'info Coverage' WHEN pos % 4 = 0 THEN 'warn Reference,warn Statement' ELSE concat(
- CASE WHEN reference = ref THEN 'ok' ELSE 'warn' END, ' Reference,', CASE WHEN amount = credit THEN 'ok' ELSE 'warn' END, ' Amount,', CASE WHEN abs(date_diff('second', ts, dt)) <= 1829 THEN 'ok' ELSE 'warn' END, ' Time,', CASE WHEN payer_name IS NULL THEN 'info' ELSE 'ok' END, ' Payer name') END AS signals
-FROM (SELECT c.*, s.ref, s.credit, s.dt, {_OLD.replace('pos', 'c.pos')} AS status FROM v_claims c JOIN v_stmt s ON c.pos = s.pos WHERE strftime(s.dt, '%H:%M:%S') <> '00:00:00') x""")
+ CASE WHEN reference = ref THEN 'ok' ELSE 'warn' END, ' Reference,', CASE WHEN amount = credit THEN 'ok' ELSE 'warn' END, ' Amount,',
+ CASE WHEN strftime(r, '%H:%M:%S') = '00:00:00' THEN CASE WHEN CAST(ts AS DATE) = CAST(r AS DATE) THEN 'ok Date' ELSE 'warn Date' END WHEN abs(date_diff('second', ts, r)) <= 1829 THEN 'ok Time' ELSE 'warn Time' END, ',',
+ CASE WHEN payer_name IS NULL THEN 'info' ELSE 'ok' END, ' Payer name') END AS signals
+FROM (SELECT c.*, s.ref, s.credit, CASE WHEN s.pos % 5 = 0 THEN date_trunc('day', s.dt) ELSE s.dt END AS r, {_OLD.replace('pos', 'c.pos')} AS status FROM v_claims c JOIN v_stmt s ON c.pos = s.pos) x""")
 def q68_display_signals(spark, sf_dir):
-    c, s = view(spark, sf_dir, "v_claims"), view(spark, sf_dir, "v_stmt").select("pos", "row_id", "narration", cents(F.col("credit")).alias("r_paise"), F.col("dt").alias("r_dt"))
-    s = s.where("date_format(r_dt, 'HH:mm:ss') <> '00:00:00'")
+    """Signals of all claims; a fifth of the rows tells a day only."""
+    dt = F.when(F.col("pos") % 5 == 0, F.date_trunc("day", "dt").cast("timestamp_ntz")).otherwise(F.col("dt"))
+    c, s = view(spark, sf_dir, "v_claims"), view(spark, sf_dir, "v_stmt").select("pos", "row_id", "narration", cents(F.col("credit")).alias("r_paise"), dt.alias("r_dt"))
     rows = c.join(s, "pos").withColumns({x: F.when(F.col("pos") % 4 != 0, F.col(x)) for x in ("row_id", "narration", "r_paise", "r_dt")})
     status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("pos") % 6 + 1).cast("int"))
     rows = rows.select("claim_id", status.alias("status"), F.col("reference").alias("c_ref"), cents(F.col("amount")).alias("c_paise"), F.col("ts").alias("c_ts"), F.col("payer_name").alias("c_name"), F.lit(None).cast("timestamp").alias("coverage_end"), "row_id", "narration", "r_paise", "r_dt")
     shown = F.transform(followup.display_signals(), lambda x: F.concat_ws(" ", x["mark"], x["label"]))
     return rows.select("claim_id", F.array_join(shown, ",").alias("signals"))
+
+
+for _name, (_read, _sql) in rendered.QUERIES.items():
+    QUERIES[_name], ORACLES[_name] = _read, with_views(_sql.strip())

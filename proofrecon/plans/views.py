@@ -1,4 +1,8 @@
-"""Payment-shaped inputs derived from the driver tables with portable SQL (the same text for Spark and DuckDB)."""
+"""Payment-shaped inputs derived from the driver tables with portable SQL (the same text for Spark and DuckDB).
+
+A batch is a statement of three users' events, so that batches grow in number with the data and not in size; k numbers
+its rows. Every credit has a claim; a fifth of the claims has a file hash, a fifth a near image hash.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,10 @@ LAST = "'Rao Sharma Iyer Khan Patel Menon Gupta Reddy Nair Das Bose Shetty'"
 
 VIEWS = {
     "v_stmt": f"""
-SELECT b.*, CAST(50000 + sum(coalesce(credit, 0) - coalesce(debit, 0)) OVER (PARTITION BY batch_id ORDER BY pos) AS DECIMAL(18,2)) AS balance,
+SELECT b.*, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY pos) - 1 AS BIGINT) AS k,
+       CAST(50000 + sum(coalesce(credit, 0) - coalesce(debit, 0)) OVER (PARTITION BY batch_id ORDER BY pos) AS DECIMAL(18,2)) AS balance,
        concat('UPI/', coalesce(ref, 'NA'), '/', name, '/', upi) AS narration
-FROM (SELECT user_id % 50 AS batch_id, event_id AS pos, concat('S', lpad(CAST(event_id AS STRING), 9, '0')) AS row_id, ts AS dt,
+FROM (SELECT CAST(floor(user_id / 3) AS BIGINT) AS batch_id, event_id AS pos, concat('S', lpad(CAST(event_id AS STRING), 9, '0')) AS row_id, ts AS dt,
              CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(50 * (1 + event_id % 8) AS DECIMAL(18,2)) END AS credit,
              CASE WHEN event_type NOT IN ('purchase', 'signup') THEN CAST(50 * (1 + event_id % 8) AS DECIMAL(18,2)) END AS debit,
              CASE WHEN event_id % 4 <> 0 THEN CAST(100000000000 + event_id * 7919 AS STRING) END AS ref,
@@ -21,15 +26,17 @@ FROM (SELECT user_id % 50 AS batch_id, event_id AS pos, concat('S', lpad(CAST(ev
              concat('user', CAST(user_id AS STRING), '@bank') AS upi
       FROM events) b""",
     "v_claims": """
-SELECT batch_id, concat('C', lpad(CAST(pos AS STRING), 9, '0')) AS claim_id, pos, CAST(pos % 10 AS INT) AS cls,
+SELECT batch_id, concat('C', lpad(CAST(pos AS STRING), 9, '0')) AS claim_id, pos, k, CAST(pos % 10 AS INT) AS cls,
        CASE WHEN pos % 10 = 3 THEN CAST(credit * 10 AS DECIMAL(18,2)) ELSE credit END AS amount,
        CASE WHEN pos % 10 = 6 THEN dt + INTERVAL 400 DAY WHEN pos % 10 = 7 THEN dt - INTERVAL 400 DAY WHEN pos % 2 = 0 THEN dt + INTERVAL 5 MINUTE ELSE dt - INTERVAL 2 MINUTE END AS ts,
        CASE WHEN pos % 10 = 4 THEN CAST(999000000000 + pos AS STRING) WHEN pos % 10 IN (5, 6, 7) THEN NULL ELSE ref END AS reference,
        CASE WHEN pos % 7 = 0 THEN NULL ELSE name END AS payer_name, CASE WHEN pos % 5 = 0 THEN upi END AS payer_upi_id,
        CASE WHEN pos % 10 = 8 THEN 'failed' WHEN pos % 11 = 0 THEN 'pending' ELSE 'success' END AS status_shown,
-       CASE WHEN pos % 97 = 0 THEN 'USD' ELSE 'INR' END AS currency, CAST(NULL AS STRING) AS image_hash,
+       CASE WHEN pos % 97 = 0 THEN 'USD' ELSE 'INR' END AS currency,
+       CASE WHEN pos % 5 = 0 THEN concat('sha256:', md5(CAST(CAST(floor(k / 60) AS BIGINT) AS STRING)), md5(concat('f', CAST(CAST(floor(k / 60) AS BIGINT) AS STRING))))
+            WHEN pos % 5 = 1 THEN concat('dhash256:', lpad(CAST(pos % 16 AS STRING), 2, '0'), substr(md5(CAST(CAST(floor(k / 12) AS BIGINT) AS STRING)), 1, 30), md5(concat('p', CAST(CAST(floor(k / 12) AS BIGINT) AS STRING)))) END AS image_hash,
        0.95 - (pos % 5) / 10.0 AS conf_amount, 0.9 AS conf_ts, 0.6 + (pos % 4) / 10.0 AS conf_ref, 0.8 AS conf_name
-FROM v_stmt WHERE credit IS NOT NULL AND pos % 3 = 0""",
+FROM v_stmt WHERE credit IS NOT NULL""",
     "v_meta": """
 SELECT batch_id, min(dt) AS coverage_start, max(dt) AS coverage_end, 0.45 + (batch_id % 10) / 20.0 AS parse_confidence FROM v_stmt GROUP BY batch_id""",
     "v_cells": """
@@ -62,7 +69,7 @@ FROM (SELECT *, lpad(CAST(d AS STRING), 2, '0') AS dd, lpad(CAST(m AS STRING), 2
       FROM (SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(month FROM o_orderdate) AS INT) AS m, CAST(extract(day FROM o_orderdate) AS INT) AS d,
                    CAST(o_orderkey % 24 AS INT) AS h, CAST(o_orderkey % 60 AS INT) AS mi FROM orders) a) b""",
     "v_hash": """
-SELECT doc_id AS id, concat(lpad(CAST(doc_id % 16 AS STRING), 2, '0'), repeat('0', 30), substr(md5(CAST(CAST(floor(doc_id / 16) AS BIGINT) % 40 AS STRING)), 1, 32)) AS h FROM documents WHERE doc_id IS NOT NULL""",
+SELECT doc_id AS id, concat(lpad(CAST(doc_id % 16 AS STRING), 2, '0'), substr(md5(concat('h', CAST(CAST(floor(doc_id / 48) AS BIGINT) AS STRING))), 1, 30), md5(CAST(CAST(floor(doc_id / 48) AS BIGINT) AS STRING))) AS h FROM documents WHERE doc_id IS NOT NULL""",
     "v_prints": """
 SELECT doc_id AS id, concat(lpad(CAST(doc_id % 16 AS STRING), 2, '0'), substr(md5(CAST(CAST(floor(doc_id / 32) AS BIGINT) AS STRING)), 1, 30), md5(concat('p', CAST(CAST(floor(doc_id / 32) AS BIGINT) AS STRING)))) AS h FROM documents WHERE doc_id IS NOT NULL""",
     "v_msgs": """
@@ -72,16 +79,7 @@ SELECT event_id AS id, ts AS created_at, CAST(event_id % 17 AS INT) AS k, (event
        concat('File', CAST(event_id AS STRING), CASE CAST(event_id % 6 AS INT) WHEN 0 THEN '.CSV' WHEN 1 THEN '.pdf' WHEN 2 THEN '.PNG' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.exe' ELSE '' END) AS filename, event_id % 5 = 0 AS inline
 FROM events""",
 }
-#: One claim per credit; every fifth has a file hash, every fifth a near image hash.
-VIEWS["v_all_claims"] = (
-    VIEWS["v_claims"]
-    .replace(" AND pos % 3 = 0", "")
-    .replace(
-        "CAST(NULL AS STRING) AS image_hash",
-        """CASE WHEN pos % 5 = 0 THEN concat('sha256:', md5(CAST(CAST(floor(pos / 3000) AS BIGINT) AS STRING)), md5(concat('f', CAST(CAST(floor(pos / 3000) AS BIGINT) AS STRING))))
-            WHEN pos % 5 = 1 THEN concat('dhash256:', lpad(CAST(pos % 16 AS STRING), 2, '0'), substr(md5(CAST(CAST(floor(pos / 600) AS BIGINT) AS STRING)), 1, 30), md5(concat('p', CAST(CAST(floor(pos / 600) AS BIGINT) AS STRING)))) END AS image_hash""",
-    )
-)
+VIEWS["v_all_claims"] = VIEWS["v_claims"]
 #: Views that only parsers read, a row at a time.
 CELLS = ("v_cells", "v_dates")
 _NEEDS = {"v_claims": ("v_stmt",), "v_all_claims": ("v_stmt",), "v_meta": ("v_stmt",)}
