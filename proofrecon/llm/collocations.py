@@ -6,7 +6,8 @@ Texts are cut into pieces and these into words. From each word starts a suffix o
   spelled in a suffix. Codes and spellings end by themselves, so a phrase's words are a prefix of its suffixes' bytes.
 * Suffixes go to tasks by language and first word, a first word's suffixes dealt out by their second word, so that no
   frequent word is one task's work. Pairs of the about ``HOT`` most frequent words are dealt further by their third word;
-  only these pairs' own counts are then sums over several tasks. Equal suffixes of a block of text are one row.
+  only these pairs' own counts are then sums over several tasks. A block of text counts equal suffixes once, and ships
+  what goes to one bucket of pairs as one row.
 * A task sorts its suffixes in descending order and counts all prefixes of at least two words with one stack. Pairs that
   stay below ``least`` are passed over as a whole.
 * Parts of phrases are joined to their counts afterwards. All arithmetic is on integers of up to 38 digits.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,17 @@ from pyspark.sql.window import Window
 
 from proofrecon.llm.common import chunks, cut, encoded
 
-#: Bytes of codes: no line feed; a code doesn't begin with a point, which begins a spelled word. A comma ends it.
-_SECOND = bytes(b for b in range(1, 128) if b != 10)
+#: Bytes of codes: none of the three that separate pairs, rests and counts in a shipped row, which no word has either; a
+#: code doesn't begin with a point, which begins a spelled word. A comma ends that.
+_SECOND = bytes(b for b in range(1, 128) if b not in (9, 10, 11))
 _FIRST = bytes(b for b in _SECOND if b != ord("."))
 CODED = len(_FIRST) * len(_SECOND)
 _WORD = re.compile(r"\.[^,]*,|..", re.DOTALL)
-#: First bytes of the codes of hot words, and into how many parts pairs of them are dealt.
-_HOT_BYTES, PARTS = 8, 16
+#: First bytes of the codes of hot words.
+_HOT_BYTES = 8
 HOT = _HOT_BYTES * len(_SECOND)
+#: Bytes of text in a block, words for each bucket of pairs, and the fewest and most buckets.
+BLOCK, BUCKET_WORDS, BUCKETS = 4 << 20, 50_000, (256, 1 << 16)
 #: Distinct words that a task counts before it hands them on, and parts of a language when its best phrases are chosen.
 WORDS, SHARES = 400_000, 64
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
@@ -76,14 +81,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int) -> DataFrame:
-    """pair, rest, part, n: suffixes of two words and more; pair has ``lang \\n`` and the first two words, part is 0 unless the pair is dealt further."""
+def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int, buckets: int) -> DataFrame:
+    """lang, bucket, block: the suffixes of two words and more of a block of text whose pairs fall into one bucket.
+
+    block has a line for each pair: the pair and its rests, a count behind a rest that occurs more than once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value.get
         for batch in batches:
-            for part in chunks([batch], "text"):
+            for part in chunks([batch], "text", BLOCK):
                 for lang, found in _by_language(part):
                     sizes = np.array([len(words) for words in found], np.int64)
                     spelled = [code(w) or b"." + w + b"," for words in found for w in words]
@@ -95,31 +103,62 @@ def suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int) -> DataFr
                     place = np.zeros(len(spelled) + 1, np.int64)
                     np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)), out=place[1:])
                     last = np.minimum(at + longest, end[at])
-                    texts = [buf[a:b] for a, b in zip(place[at].tolist(), place[last].tolist(), strict=True)]
-                    counts, index = Counter(texts), dict(zip(texts, range(len(texts)), strict=True))
-                    own = at[np.fromiter(index.values(), np.int64, len(index))]
-                    data = np.frombuffer(buf + b"\0\0", np.uint8)
-                    hot = (data[place[own]] <= _HOT_BYTES) & (data[place[own + 1]] <= _HOT_BYTES)
-                    third = place[np.minimum(own + 2, len(spelled))]
-                    share = (data[third].astype(np.int64) * 31 + data[third + 1]) % PARTS + 1
-                    share = np.where(hot, np.where(own + 2 < end[own], share, 1), 0).astype(np.int8)
-                    head, ahead = (lang + "\n").encode(), (place[own + 2] - place[own]).tolist()
-                    columns = [
-                        pa.array([head + t[:k] for t, k in zip(index, ahead, strict=True)], pa.binary()).cast(pa.string()),
-                        pa.array([t[k:] for t, k in zip(index, ahead, strict=True)], pa.binary()).cast(pa.string()),
-                        pa.array(share),
-                        pa.array([counts[t] for t in index], pa.int32()),
-                    ]
-                    for k in range(0, len(index), 20_000):
-                        yield pa.RecordBatch.from_arrays([c.slice(k, 20_000) for c in columns], names=["pair", "rest", "part", "n"])
-
-    return docs.select("lang", "text").mapInArrow(run, "pair string, rest string, part byte, n int")
+                    spots = zip(place[at].tolist(), place[at + 2].tolist(), place[last].tolist(), strict=True)
+                    counts = Counter((buf[a:b], buf[b:c]) for a, b, c in spots)
+                    lines: dict[bytes, list[bytes]] = {}
+                    for (pair, rest), n in counts.items():
+                        hot = len(pair) == 4 and pair[0] <= _HOT_BYTES and pair[2] <= _HOT_BYTES
+                        key = pair + b"\x0b" + rest[:2] if hot else pair
+                        own = lines.get(key)
+                        if own is None:
+                            own = lines[key] = [pair]
+                        own.append(rest if n == 1 else b"%b\x0b%d" % (rest, n))
+                    seed = crc32(lang.encode())
+                    dealt: dict[int, list[bytes]] = {}
+                    for key, own in lines.items():
+                        dealt.setdefault(crc32(key, seed) % buckets, []).append(b"\t".join(own))
+                    blocks = pa.array([b"\n".join(x) for x in dealt.values()], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(dealt), pa.string()), pa.array(list(dealt), pa.int32()), blocks], names=["lang", "bucket", "block"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, block string")
+
+
+def unpacked_suffixes(blocks: DataFrame) -> DataFrame:
+    """pair (``lang \\n`` and two words), rest, n of shipped blocks."""
+
+    def table(pairs: list[str], sizes: list[int], rests: list[str], counts: list[int]) -> pa.RecordBatch:
+        column = pa.array(pairs, pa.string()).take(pa.array(np.repeat(np.arange(len(pairs)), sizes)))
+        return pa.RecordBatch.from_arrays([column, pa.array(rests, pa.string()), pa.array(counts, pa.int32())], names=["pair", "rest", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, sizes, rests, counts = [], [], [], []
+        for batch in batches:
+            for lang, block in zip(batch.column("lang").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                head = lang + "\n"
+                for line in block.split("\n"):
+                    pair, *own = line.split("\t")
+                    pairs.append(head + pair)
+                    sizes.append(len(own))
+                    if "\x0b" in line:
+                        for rest in own:
+                            text, _, n = rest.partition("\x0b")
+                            rests.append(text)
+                            counts.append(int(n or 1))
+                    else:
+                        rests += own
+                        counts += [1] * len(own)
+                if len(rests) > 40_000:
+                    yield table(pairs, sizes, rests, counts)
+                    pairs, sizes, rests, counts = [], [], [], []
+        yield table(pairs, sizes, rests, counts)
+
+    return blocks.select("lang", "block").mapInArrow(run, "pair string, rest string, n int")
 
 
 def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) -> DataFrame:
     """lang, phrase (spaces between words), words, a of all prefixes of two words and more that occur ``least`` times.
 
-    ``rows`` are sorted within partitions, descending. Pairs that are dealt further come with whatever count this task has.
+    ``rows`` are sorted within partitions, descending. Pairs of hot words come with whatever count this task has.
     """
     shared = rows.sparkSession.sparkContext.broadcast(codes)
 
@@ -127,9 +166,12 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) ->
         words = {c.decode(): w.decode() for w, c in shared.value.items()}
         stack: list[str] = []
         totals: list[int] = []
-        open_pair, open_part = None, 0
+        open_pair: str | None = None
         out: list[tuple[str, str, int, int]] = []
 
+        def hot(pair: str) -> bool:
+            return ord(pair[-4]) <= _HOT_BYTES and ord(pair[-2]) <= _HOT_BYTES and pair[-5] == "\n"
+
         def spelled(tokens: list[str]) -> str:
             return " ".join([words.get(t) or t[1:-1] for t in tokens])
 
@@ -150,7 +192,7 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) ->
                 return
             popped(0)
             n = totals.pop()
-            if n >= least or open_part:
+            if n >= least or hot(open_pair):
                 lang, pair = open_pair.rsplit("\n", 1)
                 out.append((lang, spelled(_WORD.findall(pair)), 2, n))
             open_pair = None
@@ -165,15 +207,14 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) ->
             runs = pc.run_end_encode(batch.column("pair"))
             ends = runs.run_ends.to_numpy().astype(np.int64)
             starts = np.concatenate([[0], ends[:-1]])
-            n_of, part_of = batch.column("n").to_numpy().astype(np.int64), batch.column("part").to_numpy()
-            some = (np.add.reduceat(n_of, starts) >= least) | (part_of[starts] > 0)
+            n_of, names = batch.column("n").to_numpy().astype(np.int64), runs.values.to_pylist()
+            some = (np.add.reduceat(n_of, starts) >= least) | np.array([hot(x) for x in names])
             some[[0, -1]] = True  # these may go on in the next batch, or come from the last
             for k in np.flatnonzero(some).tolist():
                 a, b = int(starts[k]), int(ends[k])
-                pair = runs.values[k].as_py()
-                if pair != open_pair:
+                if names[k] != open_pair:
                     closed()
-                    open_pair, open_part = pair, int(part_of[a])
+                    open_pair = names[k]
                     totals.append(0)
                 for rest, n in zip(batch.column("rest").slice(a, b - a).to_pylist(), n_of[a:b].tolist(), strict=True):
                     tokens = _WORD.findall(rest)
@@ -192,7 +233,7 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) ->
         closed()
         yield table()
 
-    return rows.select("pair", "rest", "part", "n").mapInArrow(run, "lang string, phrase string, words int, a long")
+    return rows.select("pair", "rest", "n").mapInArrow(run, "lang string, phrase string, words int, a long")
 
 
 def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: int = 2000) -> DataFrame:
@@ -213,7 +254,10 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     names = (bytes([x, y]) for x in _FIRST for y in _SECOND)
     codes = dict(zip(encoded(top.column("word").combine_chunks()), names, strict=False))
 
-    dealt = suffixes(docs, codes, longest).repartition("pair", "part").sortWithinPartitions(F.desc("pair"), F.desc("rest"))
+    n_words = words.agg(F.sum("f")).first()[0] or 0
+    buckets = min(max(n_words // BUCKET_WORDS, BUCKETS[0]), BUCKETS[1])
+    blocks = shipped_suffixes(docs, codes, longest, buckets).repartition("bucket")
+    dealt = unpacked_suffixes(blocks).sortWithinPartitions(F.desc("pair"), F.desc("rest"))
     parts = counted_prefixes(dealt, codes, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     found = cut(parts.where(F.col("a") >= least))
 

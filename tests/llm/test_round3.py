@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def test_shared_span_shares_a_fingerprint():
         span = prose(n)
         a, b = Windows([(prose(7) + " " + span + " " + prose(4)).encode()]), Windows([(prose(2) + "; " + span).encode(), b"z"])
         fa, fb = a.fingerprints(n), b.fingerprints(n)
-        assert fa[7] == fb[2] and [x[0] for x in a.hashes([7], n)] == [x[0] for x in b.hashes([2], n)]
+        assert fa[7] == fb[2] and [x[0] for x in a.hashes(np.array([7]), n)] == [x[0] for x in b.hashes(np.array([2]), n)]
 
 
 # ---------------------------------------------------------------- manifest
