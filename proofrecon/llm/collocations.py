@@ -8,8 +8,8 @@ Texts are cut into pieces and these into words. From each word starts a suffix o
   frequent word is one task's work. Pairs of the about ``HOT`` most frequent words are dealt further by their third word;
   only these pairs' own counts are then sums over several tasks. A block of text counts equal suffixes once, and ships
   what goes to one bucket of pairs as one row.
-* A task sorts its suffixes in descending order and counts all prefixes of at least two words with one stack. Pairs that
-  stay below ``least`` are passed over as a whole.
+* A task sorts its suffixes in descending order and counts all prefixes of at least two words with one stack of open
+  runs. Prefixes that stay below ``least`` are passed over as a whole.
 * Parts of phrases are joined to their counts afterwards. All arithmetic is on integers of up to 38 digits.
 """
 
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofrecon.llm.common import chunks, cut, encoded
+from proofrecon.llm.textarrays import mix, prefix, spans
 
-#: Bytes of codes: none of the three that separate pairs, rests and counts in a shipped row, which no word has either; a
-#: code doesn't begin with a point, which begins a spelled word. A comma ends that.
-_SECOND = bytes(b for b in range(1, 128) if b not in (9, 10, 11))
+#: Bytes of codes; a code doesn't begin with a point, which begins a spelled word. A comma ends that.
+_SECOND = bytes(range(1, 128))
 _FIRST = bytes(b for b in _SECOND if b != ord("."))
 CODED = len(_FIRST) * len(_SECOND)
-_WORD = re.compile(r"\.[^,]*,|..", re.DOTALL)
+_WORD = re.compile(rb"\.[^,]*,|..", re.DOTALL)
 #: First bytes of the codes of hot words.
 _HOT_BYTES = 8
 HOT = _HOT_BYTES * len(_SECOND)
@@ -81,10 +81,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
+def _distinct(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes stand for their equals, in the order of ``key``, and how many each stands for; equal by 128 bits."""
+    order = np.argsort(key, kind="stable")
+    a, b = first[order], second[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return order[new], np.diff(np.append(new, len(order)))
+
+
+def _gathered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The spans of a buffer one after another."""
+    size = end - start
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return buf[at]
+
+
 def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int, buckets: int) -> DataFrame:
-    """lang, bucket, block: the suffixes of two words and more of a block of text whose pairs fall into one bucket.
+    """lang, bucket, data, sizes, heads, counts: the suffixes of two words and more of a block of text whose pairs fall into one bucket.
 
-    block has a line for each pair: the pair and its rests, a count behind a rest that occurs more than once.
+    data is all suffixes joined; sizes, heads and counts have their bytes, the bytes of their pairs and how often they occur.
     """
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
@@ -99,103 +114,88 @@ def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int, b
                     at = np.flatnonzero(np.arange(len(end)) + 1 < end)
                     if not len(at):
                         continue
-                    buf = b"".join(spelled)
                     place = np.zeros(len(spelled) + 1, np.int64)
                     np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)), out=place[1:])
-                    last = np.minimum(at + longest, end[at])
-                    spots = zip(place[at].tolist(), place[at + 2].tolist(), place[last].tolist(), strict=True)
-                    counts = Counter((buf[a:b], buf[b:c]) for a, b, c in spots)
-                    lines: dict[bytes, list[bytes]] = {}
-                    for (pair, rest), n in counts.items():
-                        hot = len(pair) == 4 and pair[0] <= _HOT_BYTES and pair[2] <= _HOT_BYTES
-                        key = pair + b"\x0b" + rest[:2] if hot else pair
-                        own = lines.get(key)
-                        if own is None:
-                            own = lines[key] = [pair]
-                        own.append(rest if n == 1 else b"%b\x0b%d" % (rest, n))
-                    seed = crc32(lang.encode())
-                    dealt: dict[int, list[bytes]] = {}
-                    for key, own in lines.items():
-                        dealt.setdefault(crc32(key, seed) % buckets, []).append(b"\t".join(own))
-                    blocks = pa.array([b"\n".join(x) for x in dealt.values()], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(dealt), pa.string()), pa.array(list(dealt), pa.int32()), blocks], names=["lang", "bucket", "block"])
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, block string")
+                    buf = np.frombuffer(b"".join(spelled), np.uint8)
+                    del spelled, found
+                    sums = [prefix(buf), prefix(buf ^ np.uint8(0x5A))]
+                    start, pair, last = place[at], place[at + 2], place[np.minimum(at + longest, end[at])]
+                    whole = [spans(x, start, last) for x in sums]
+                    hot = (buf[start] <= _HOT_BYTES) & (buf[place[at + 1]] <= _HOT_BYTES)
+                    dealt = spans(sums[0], start, np.where(hot, place[np.minimum(at + 3, end[at])], pair)) ^ np.uint64(crc32(lang.encode()))
+                    bucket = mix(dealt) % np.uint64(buckets)
+                    own, counts = _distinct(bucket << np.uint64(48) | whole[0] >> np.uint64(16), *whole)
+                    start, pair, last, bucket = start[own], pair[own], last[own], bucket[own].astype(np.int32)
+                    new = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                    size = last - start
+                    data, at_data = _gathered(buf, start, last), np.append(0, np.cumsum(size))
+                    edges = np.append(new, len(own)).astype(np.int32)
+                    number = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32)))  # noqa: B023, E731
+                    blocks = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(at_data[edges].astype(np.int32)), pa.py_buffer(data)])
+                    columns = [pa.array([lang] * len(new), pa.string()), pa.array(bucket[new]), blocks, number(size), number(pair - start), number(counts)]
+                    whole_batch = pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "data", "sizes", "heads", "counts"])
+                    for k in range(0, len(new), 5_000):
+                        yield whole_batch.slice(k, 5_000)
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, data binary, sizes array<int>, heads array<int>, counts array<int>")
 
 
 def unpacked_suffixes(blocks: DataFrame) -> DataFrame:
-    """pair (``lang \\n`` and two words), rest, n of shipped blocks."""
-
-    def table(pairs: list[str], sizes: list[int], rests: list[str], counts: list[int]) -> pa.RecordBatch:
-        column = pa.array(pairs, pa.string()).take(pa.array(np.repeat(np.arange(len(pairs)), sizes)))
-        return pa.RecordBatch.from_arrays([column, pa.array(rests, pa.string()), pa.array(counts, pa.int32())], names=["pair", "rest", "n"])
+    """lang, suffix, head, n of shipped blocks, a row for each suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, sizes, rests, counts = [], [], [], []
         for batch in batches:
-            for lang, block in zip(batch.column("lang").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                head = lang + "\n"
-                for line in block.split("\n"):
-                    pair, *own = line.split("\t")
-                    pairs.append(head + pair)
-                    sizes.append(len(own))
-                    if "\x0b" in line:
-                        for rest in own:
-                            text, _, n = rest.partition("\x0b")
-                            rests.append(text)
-                            counts.append(int(n or 1))
-                    else:
-                        rests += own
-                        counts += [1] * len(own)
-                if len(rests) > 40_000:
-                    yield table(pairs, sizes, rests, counts)
-                    pairs, sizes, rests, counts = [], [], [], []
-        yield table(pairs, sizes, rests, counts)
-
-    return blocks.select("lang", "block").mapInArrow(run, "pair string, rest string, n int")
-
-
-def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) -> DataFrame:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                data = b"".join(part.column("data").to_pylist())
+                sizes, heads, counts = (part.column(c).flatten() for c in ("sizes", "heads", "counts"))
+                offsets = np.append(0, np.cumsum(sizes.to_numpy())).astype(np.int32)
+                suffix = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                lang = part.column("lang").take(pa.array(np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("sizes")).to_numpy())))
+                yield pa.RecordBatch.from_arrays([lang, suffix, heads, counts], names=["lang", "suffix", "head", "n"])
+
+    return blocks.mapInArrow(run, "lang string, suffix binary, head int, n int")
+
+
+class _Depth:
+    """Runs of rows with one prefix of so many words; the last run of a batch stays open for the next."""
+
+    def __init__(self, words: int) -> None:
+        self.words, self.key, self.total = words, None, 0
+
+    def take(self, key: tuple, total: int) -> Iterator[tuple[tuple, int]]:
+        """Add a run; gives the run before it once it is over."""
+        if key == self.key:
+            self.total += total
+            return
+        yield from self.close()
+        self.key, self.total = key, total
+
+    def close(self) -> Iterator[tuple[tuple, int]]:
+        if self.key is not None:
+            yield self.key, self.total
+        self.key = None
+
+
+def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, least: int) -> DataFrame:
     """lang, phrase (spaces between words), words, a of all prefixes of two words and more that occur ``least`` times.
 
-    ``rows`` are sorted within partitions, descending. Pairs of hot words come with whatever count this task has.
+    ``rows`` are sorted within partitions, descending, so that the rows of a prefix are one run. The runs that are open, one
+    for each number of words, are the stack: a batch adds to them, closes those that have ended, and opens others. A run
+    that stays below ``least`` isn't looked into. Pairs of hot words come with whatever count this task has.
     """
     shared = rows.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = {c.decode(): w.decode() for w, c in shared.value.items()}
-        stack: list[str] = []
-        totals: list[int] = []
-        open_pair: str | None = None
+        words = {c: w.decode() for w, c in shared.value.items()}
+        depths = [_Depth(n) for n in range(2, longest + 1)]
         out: list[tuple[str, str, int, int]] = []
 
-        def hot(pair: str) -> bool:
-            return ord(pair[-4]) <= _HOT_BYTES and ord(pair[-2]) <= _HOT_BYTES and pair[-5] == "\n"
-
-        def spelled(tokens: list[str]) -> str:
-            return " ".join([words.get(t) or t[1:-1] for t in tokens])
-
-        def popped(depth: int) -> None:
-            """Close all prefixes that are longer than the pair and ``depth`` words."""
-            while len(totals) > depth + 1:
-                n = totals.pop()
-                if n >= least:
-                    lang, pair = open_pair.rsplit("\n", 1)
-                    out.append((lang, spelled([*_WORD.findall(pair), *stack]), len(stack) + 2, n))
-                stack.pop()
-                totals[-1] += n
-
-        def closed() -> None:
-            """Close the pair itself."""
-            nonlocal open_pair
-            if open_pair is None:
-                return
-            popped(0)
-            n = totals.pop()
-            if n >= least or hot(open_pair):
-                lang, pair = open_pair.rsplit("\n", 1)
-                out.append((lang, spelled(_WORD.findall(pair)), 2, n))
-            open_pair = None
+        def tell(key: tuple, total: int, n: int) -> None:
+            lang, code = key
+            hot = n == 2 and len(code) == 4 and code[0] <= _HOT_BYTES and code[2] <= _HOT_BYTES
+            if total >= least or hot:
+                out.append((lang, " ".join([words.get(t) or t[1:-1].decode() for t in _WORD.findall(code)]), n, total))
 
         def table() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [()] * 4
@@ -204,36 +204,44 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], least: int) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            runs = pc.run_end_encode(batch.column("pair"))
-            ends = runs.run_ends.to_numpy().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
-            n_of, names = batch.column("n").to_numpy().astype(np.int64), runs.values.to_pylist()
-            some = (np.add.reduceat(n_of, starts) >= least) | np.array([hot(x) for x in names])
-            some[[0, -1]] = True  # these may go on in the next batch, or come from the last
-            for k in np.flatnonzero(some).tolist():
-                a, b = int(starts[k]), int(ends[k])
-                if names[k] != open_pair:
-                    closed()
-                    open_pair = names[k]
-                    totals.append(0)
-                for rest, n in zip(batch.column("rest").slice(a, b - a).to_pylist(), n_of[a:b].tolist(), strict=True):
-                    tokens = _WORD.findall(rest)
-                    same, most = 0, min(len(tokens), len(stack))
-                    while same < most and tokens[same] == stack[same]:
-                        same += 1
-                    if same < len(stack):
-                        popped(same)
-                    if same < len(tokens):
-                        stack += tokens[same:]
-                        totals += [0] * (len(tokens) - same)
-                    totals[-1] += n
+            column = batch.column("suffix")
+            raw = b"".join(column.to_pylist())
+            buf = np.frombuffer(raw + b"\0", np.uint8)
+            size = pc.binary_length(column).to_numpy().astype(np.int64)
+            end = np.cumsum(size)
+            start, n = end - size, batch.column("n").to_numpy().astype(np.int64)
+            sums, commas = prefix(buf), np.append(np.flatnonzero(buf == ord(",")), len(buf))
+            langs = batch.column("lang").dictionary_encode()
+            lang, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+            at, upto = np.arange(len(size)), start + batch.column("head").to_numpy()
+            for depth in depths:
+                if depth.words > 2:  # the end of one more word, for rows that have one
+                    more = upto < end[at]
+                    at, upto = at[more], upto[more]
+                    upto = np.where(buf[upto] == ord("."), commas[np.searchsorted(commas, upto)] + 1, upto + 2)
+                if not len(at):
+                    break
+                key = spans(sums, start[at], upto)
+                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lang[at[1:]] != lang[at[:-1]])))
+                totals = np.add.reduceat(n[at], new)
+                hot = (depth.words == 2) & (upto[new] - start[at[new]] == 4) & (buf[start[at[new]]] <= _HOT_BYTES) & (buf[start[at[new]] + 2] <= _HOT_BYTES)
+                some = (totals >= least) | hot
+                some[[0, -1]] = True  # these may go on in the next batch, or come from the last
+                for k in np.flatnonzero(some).tolist():
+                    row = at[new[k]]
+                    for done in depth.take((names[lang[row]], raw[start[row] : upto[new[k]]]), int(totals[k])):
+                        tell(*done, depth.words)
+                inside = np.repeat(some, np.diff(np.append(new, len(at))))
+                at, upto = at[inside], upto[inside]
             if len(out) >= 5_000:
                 yield table()
                 out.clear()
-        closed()
+        for depth in depths:
+            for done in depth.close():
+                tell(*done, depth.words)
         yield table()
 
-    return rows.select("pair", "rest", "n").mapInArrow(run, "lang string, phrase string, words int, a long")
+    return rows.mapInArrow(run, "lang string, phrase string, words int, a long")
 
 
 def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: int = 2000) -> DataFrame:
@@ -257,8 +265,8 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     n_words = words.agg(F.sum("f")).first()[0] or 0
     buckets = min(max(n_words // BUCKET_WORDS, BUCKETS[0]), BUCKETS[1])
     blocks = shipped_suffixes(docs, codes, longest, buckets).repartition("bucket")
-    dealt = unpacked_suffixes(blocks).sortWithinPartitions(F.desc("pair"), F.desc("rest"))
-    parts = counted_prefixes(dealt, codes, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
+    dealt = unpacked_suffixes(blocks).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    parts = counted_prefixes(dealt, codes, longest, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     found = cut(parts.where(F.col("a") >= least))
 
     cuts = found.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("at"))

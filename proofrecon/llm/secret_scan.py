@@ -50,7 +50,7 @@ def trigram_index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """
     low = docs.select("doc_id", F.lower("text").alias("low"))
     found = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary)))
-    postings = low.select("doc_id", F.explode(found).alias("trigram"))
+    postings = cut(low.select("doc_id", F.explode(found).alias("trigram")))
     return cut(postings.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id"))
 
 
@@ -65,21 +65,28 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return hits.where(F.col("n") == need).groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
+def prefix_sums(numbers: Column) -> Column:
+    """The sum of each number and all before it, by doubling: as many passes as the array's size has bits."""
+    bits = F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int")
+
+    def doubled(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))
+
+    return F.aggregate(F.sequence(F.lit(0), bits), numbers, doubled)
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """All matches of a rule in a text: array of (start, end) in code points, end exclusive."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), groups.alias("group"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.char_length(piece["gap"])
-        end = start + F.coalesce(F.char_length(piece["hit"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        fits = F.coalesce(F.char_length(piece["group"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(fits, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda state: state["spans"])
+    sizes = F.transform(
+        pieces, lambda p: F.struct((F.char_length(p["gap"]) + F.coalesce(F.char_length(p["hit"]), F.lit(0))).alias("all"), F.char_length(p["hit"]).alias("hit"), F.char_length(p["group"]).alias("group"))
+    )
+    ends = prefix_sums(F.transform(sizes, lambda p: p["all"]))
+    spans = F.zip_with(sizes, ends, lambda p, end: F.when(p["group"] >= rule.least, F.struct((end - p["hit"]).alias("start"), end.alias("end"))))
+    return F.array_compact(spans)
 
 
 def _tagged(spans: Column, rank: int, kind: str) -> Column:

@@ -182,3 +182,31 @@ def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = False)
 
     placed = files.join(F.broadcast(bases), "part").select("base", "start", "doc_ids", "null_ids", "lengths", "words")
     return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit numbers) of the documents of a given list, each as often as it is stored.
+
+    Of a segment only the blocks that hold a wanted document are decoded, found by the segment's block offsets.
+    """
+    wanted = np.array(sorted(set(doc_ids)), "<i8")
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, blocks = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["blocks"], "<u4").astype(np.int64)
+                lengths = np.frombuffer(row["lengths"], "<i8")
+                ends = np.cumsum(lengths)
+                names = np.frombuffer(row["doc_ids"], "<i8")
+                null = np.unpackbits(np.frombuffer(row["null_ids"], np.uint8))[: len(names)].astype(bool)
+                at = np.flatnonzero(np.isin(names, wanted) & ~null)
+                raw = []
+                for k in at.tolist():
+                    start, end = int(ends[k] - lengths[k]), int(ends[k])
+                    first, last = start // BLOCK, -(-end // BLOCK)
+                    ids = decoded_blocks(words, blocks, first, last)
+                    raw.append(ids[start - first * BLOCK : end - first * BLOCK].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
+
+    files = spark.read.schema(_SEGMENT).parquet(path).select("doc_ids", "null_ids", "lengths", "words", "blocks")
+    return files.mapInArrow(documents, "doc_id long, ids binary")

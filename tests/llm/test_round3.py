@@ -10,8 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proofrecon.llm import merkle
+from proofrecon.llm import language_id, merkle
 from proofrecon.llm.collocations import collocations
+from proofrecon.llm.mixing import mix_sources
+from proofrecon.llm.secret_scan import RULES, find_secrets
+from proofrecon.llm.token_files import read_documents, write_token_files
 from proofrecon.llm.winnowing import Windows, decontaminate
 
 RNG = random.Random(3)
@@ -209,3 +212,82 @@ def test_hot_pairs(spark):
 def test_no_text(spark):
     assert collocations(spark.createDataFrame([(None, None), ("en", " . ")], "lang string, text string")).count() == 0
     assert collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+# ---------------------------------------------------------------- earlier operators
+
+
+def test_languages_by_plain_distances(spark):
+    """Every prediction and score recomputed from gram counts with plain dictionaries."""
+    kinds = {"aa": "abcde fgh", "bb": "cdefg hij", "cc": "éèàüñ abc"}
+    docs = [(i, " ".join("".join(RNG.choices(kinds[x].replace(" ", ""), k=RNG.randint(1, 7))) for _ in range(RNG.randint(1, 40))), x) for i in range(60) for x in [sorted(kinds)[i % 3]]]
+    docs += [(100, "A-B c1d", None), (101, "??", None), (102, None, None), (103, "zzz", None)]
+
+    def grams_of(text):
+        out = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = "\1" + word + "\1"
+            for n in (1, 2, 3):
+                out.update(padded[s : s + n] for s in range(len(padded) - n + 1) if padded[s : s + n].strip("\1") and "\1" not in padded[s + 1 : s + n - 1])
+        return out
+
+    def ranked(counts):
+        code = lambda g: sum((1 if c == "\1" else ord(c) + 2) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[: language_id.RANKS]]
+
+    learned = [d for d in docs if d[2] and d[0] % 4]
+    profiles = {x: ranked(sum((grams_of(t) for _, t, y in learned if y == x), Counter())) for x in kinds}
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    fitted = language_id.learn(frame.where("doc_id % 4 <> 0"))
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(frame.select("doc_id", "text"), fitted).collect()}
+    for i, text, _ in docs:
+        own = ranked(grams_of(text or ""))
+        if not own:
+            assert got[i] == ("und", 0.0)
+            continue
+        far = {x: sum(abs(p.index(g) - k) if g in p else language_id.RANKS for k, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i] == (best, round(1 - far[best] / (language_id.RANKS * len(own)), 9)), i
+
+
+def test_reading_some_documents(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    docs = [(k, prose(RNG.choice([0, 3, 700, 3000]))) for k in range(30)] + [(None, "x"), (5, "again")]
+    write_token_files(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), str(tmp_path / "t"), tokenizer=public.path("byte_bpe_50k.json"), end_id=0)
+    got = Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in read_documents(spark, str(tmp_path / "t"), [5, 17, 29, 99]).collect())
+    assert got == Counter((i, (*t.encode(text, add_special_tokens=False).ids, 0)) for i, text in docs if i in (5, 17, 29))
+
+
+def test_mixing_recomputed(spark):
+    """Copies of every document by a plain running sum in exact order, as the pipeline's mixing stage repeats them."""
+    docs = [(k, prose(RNG.randint(0, 60)), RNG.choice(["a", "b", "b", None, "ü"])) for k in range(120)]
+    rows = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)).collect()
+    got = {r["doc_id"]: r["copies"] for r in rows}
+    target = {r["source"]: (r["target"], r["source_size"]) for r in rows}
+    names = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(len(t.split()) for _, t, x in docs if x == s) for s in names}
+    left, level = set(names), 0.0
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in names if s not in left)) / sum(weight[s] for s in left)
+        over = {s for s in left if 3 * sizes[s] < level * weight[s]}
+        if not over:
+            break
+        left -= over
+    for s in names:
+        assert target[s][1] == sizes[s] and abs(target[s][0] - (level * weight[s] if s in left else 3 * sizes[s])) < 1e-6
+        own = sorted(((len(t.split()), hashlib.md5(str(i).encode()).hexdigest(), i) for i, t, x in docs if x == s))
+        offset = int(hashlib.md5(":".join(["20011"] + ([s] if s is not None else [])).encode()).hexdigest()[:8], 16) / 2**32
+        rate = target[s][0] / sizes[s]
+        for k, (*_, i) in enumerate(own, 1):
+            assert got[i] == int(k * rate + offset) - int((k - 1) * rate + offset)
+
+
+def test_many_secrets_in_one_text(spark):
+    """Spans of a long text with very many matches, at their places."""
+    text = "é " + " ".join(f"token=abcdef{k:06d}" for k in range(20_000))
+    row = find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    rule = next(r for r in RULES if r.kind == "assign")
+    assert [(s["start"], s["end"]) for s in row["secrets"] if s["kind"] == "assign"] == [m.span() for m in re.finditer(rule.pattern, text)]
