@@ -39,22 +39,19 @@ _WORD = re.compile(rb"\.[^,]*,|..", re.DOTALL)
 _HOT_BYTES = 8
 HOT = _HOT_BYTES * len(_SECOND)
 #: Bytes of text in a block, words for each bucket of pairs, and the fewest and most buckets.
-BLOCK, BUCKET_WORDS, BUCKETS = 4 << 20, 50_000, (256, 1 << 16)
+BLOCK, BUCKET_WORDS, BUCKETS = 1 << 20, 50_000, (256, 1 << 16)
 #: Distinct words that a task counts before it hands them on, and parts of a language when its best phrases are chosen.
 WORDS, SHARES = 400_000, 64
-_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+_ENDS = b".,;:!?\n\x0b\x0c\r"
+_BLANKS, _POINTS = bytes.maketrans(_ENDS, b" " * len(_ENDS)), bytes.maketrans(_ENDS, b"." * len(_ENDS))
 
 
-def lines(text: bytes) -> list[list[bytes]]:
-    """The words of each piece of a text, A-Z in lower case."""
-    return [p.split() for p in text.lower().translate(_ENDS).split(b"\n")]
-
-
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[list[bytes]]]]:
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """The texts of each language, A-Z in lower case, a point between two."""
     langs = batch.column("lang").to_pylist()
     texts = encoded(batch.column("text"))
     for lang in sorted(set(langs)):
-        yield lang, [words for t, x in zip(texts, langs, strict=True) if x == lang for words in lines(t)]
+        yield lang, b".".join([t for t, x in zip(texts, langs, strict=True) if x == lang]).lower()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -64,10 +61,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: dict[str, Counter] = {}
         for batch in batches:
             for part in chunks([batch], "text"):
-                for lang, found in _by_language(part):
-                    own = counts.setdefault(lang, Counter())
-                    for words in found:
-                        own.update(words)
+                for lang, text in _by_language(part):
+                    counts.setdefault(lang, Counter()).update(text.translate(_BLANKS).split())
                 if sum(map(len, counts.values())) > WORDS:
                     yield from told(counts)
                     counts = {}
@@ -81,6 +76,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
+def _headed(lang: str) -> bytes:
+    """A language as what stands before its suffixes: no line feed but the one at its end."""
+    return lang.encode().replace(b"\x01", b"\x01\x02").replace(b"\n", b"\x01\x01") + b"\n"
+
+
+def _unheaded(head: bytes) -> str:
+    return head[:-1].replace(b"\x01\x01", b"\n").replace(b"\x01\x02", b"\x01").decode()
+
+
 def _distinct(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which suffixes stand for their equals, in the order of ``key``, and how many each stands for; equal by 128 bits."""
     order = np.argsort(key, kind="stable")
@@ -89,35 +93,39 @@ def _distinct(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[n
     return order[new], np.diff(np.append(new, len(order)))
 
 
-def _gathered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The spans of a buffer one after another."""
-    size = end - start
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    return buf[at]
+def _gathered(head: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The spans of a buffer one after another, ``head`` before each."""
+    lead = len(head)
+    size = end - start + lead
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    both = np.concatenate([np.frombuffer(head, np.uint8), buf])
+    return both[np.where(within < lead, within, within + np.repeat(start, size))]
 
 
 def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int, buckets: int) -> DataFrame:
-    """lang, bucket, data, sizes, heads, counts: the suffixes of two words and more of a block of text whose pairs fall into one bucket.
+    """bucket, lead, width, data, sizes, heads, counts: the suffixes of two words and more of a block of text whose pairs fall into one bucket.
 
-    data is all suffixes joined; sizes, heads and counts have their bytes, the bytes of their pairs and how often they occur.
+    data is all suffixes joined, each behind its language and a line feed, which are ``lead`` bytes. sizes, heads and counts
+    have each suffix's bytes, the bytes up to its pair's end, and how often it occurs, in numbers of ``width`` bytes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(codes)
+    shared = docs.sparkSession.sparkContext.broadcast({**codes, b".": b""})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value.get
         for batch in batches:
             for part in chunks([batch], "text", BLOCK):
-                for lang, found in _by_language(part):
-                    sizes = np.array([len(words) for words in found], np.int64)
-                    spelled = [code(w) or b"." + w + b"," for words in found for w in words]
-                    end = np.repeat(np.cumsum(sizes), sizes)
+                for lang, text in _by_language(part):
+                    tokens = text.translate(_POINTS).replace(b".", b" . ").split()
+                    spelled = [x if (x := code(w)) is not None else b"." + w + b"," for w in tokens]
+                    size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+                    piece = np.cumsum(size == 0)[size > 0]
+                    buf = np.frombuffer(b"".join(spelled), np.uint8)
+                    del tokens, spelled
+                    place = np.append(0, np.cumsum(size[size > 0]))
+                    end = np.searchsorted(piece, piece, side="right")
                     at = np.flatnonzero(np.arange(len(end)) + 1 < end)
                     if not len(at):
                         continue
-                    place = np.zeros(len(spelled) + 1, np.int64)
-                    np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)), out=place[1:])
-                    buf = np.frombuffer(b"".join(spelled), np.uint8)
-                    del spelled, found
                     sums = [prefix(buf), prefix(buf ^ np.uint8(0x5A))]
                     start, pair, last = place[at], place[at + 2], place[np.minimum(at + longest, end[at])]
                     whole = [spans(x, start, last) for x in sums]
@@ -126,35 +134,38 @@ def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int, b
                     bucket = mix(dealt) % np.uint64(buckets)
                     own, counts = _distinct(bucket << np.uint64(48) | whole[0] >> np.uint64(16), *whole)
                     start, pair, last, bucket = start[own], pair[own], last[own], bucket[own].astype(np.int32)
-                    new = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                    size = last - start
-                    data, at_data = _gathered(buf, start, last), np.append(0, np.cumsum(size))
-                    edges = np.append(new, len(own)).astype(np.int32)
-                    number = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32)))  # noqa: B023, E731
-                    blocks = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(at_data[edges].astype(np.int32)), pa.py_buffer(data)])
-                    columns = [pa.array([lang] * len(new), pa.string()), pa.array(bucket[new]), blocks, number(size), number(pair - start), number(counts)]
-                    whole_batch = pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "data", "sizes", "heads", "counts"])
-                    for k in range(0, len(new), 5_000):
+                    new = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(own))
+                    head = _headed(lang)
+                    size, n = last - start + len(head), len(new) - 1
+                    width = next(w for w in (1, 2, 4) if max(size.max(), counts.max()) < 256**w)
+                    cut_up = lambda data, edges: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])  # noqa: B023, E731
+                    number = lambda x: cut_up(x.astype(f"<u{width}"), new * width)  # noqa: B023, E731
+                    data = cut_up(_gathered(head, buf, start, last), np.append(0, np.cumsum(size))[new])
+                    constant = lambda x: pa.array(np.full(n, x, np.int32))  # noqa: B023, E731
+                    columns = [pa.array(bucket[new[:-1]]), constant(len(head)), constant(width), data, number(size), number(pair - start + len(head)), number(counts)]
+                    whole_batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "lead", "width", "data", "sizes", "heads", "counts"])
+                    for k in range(0, n, 5_000):
                         yield whole_batch.slice(k, 5_000)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, data binary, sizes array<int>, heads array<int>, counts array<int>")
+    return docs.select("lang", "text").mapInArrow(run, "bucket int, lead int, width int, data binary, sizes binary, heads binary, counts binary")
 
 
 def unpacked_suffixes(blocks: DataFrame) -> DataFrame:
-    """lang, suffix, head, n of shipped blocks, a row for each suffix."""
+    """suffix, lead, head, n of shipped blocks, a row for each suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 300):
+                part = batch.slice(k, 300)
                 data = b"".join(part.column("data").to_pylist())
-                sizes, heads, counts = (part.column(c).flatten() for c in ("sizes", "heads", "counts"))
-                offsets = np.append(0, np.cumsum(sizes.to_numpy())).astype(np.int32)
-                suffix = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                lang = part.column("lang").take(pa.array(np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("sizes")).to_numpy())))
-                yield pa.RecordBatch.from_arrays([lang, suffix, heads, counts], names=["lang", "suffix", "head", "n"])
+                width, lead = part.column("width").to_pylist(), part.column("lead").to_numpy()
+                sizes, heads, counts = ([np.frombuffer(x, f"<u{w}").astype(np.int32) for x, w in zip(part.column(c).to_pylist(), width, strict=True)] for c in ("sizes", "heads", "counts"))
+                leads = np.repeat(lead, [len(x) for x in sizes])
+                offsets = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
+                suffix = pa.Array.from_buffers(pa.binary(), len(leads), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([suffix, pa.array(leads), pa.array(np.concatenate(heads)), pa.array(np.concatenate(counts))], names=["suffix", "lead", "head", "n"])
 
-    return blocks.mapInArrow(run, "lang string, suffix binary, head int, n int")
+    return blocks.mapInArrow(run, "suffix binary, lead int, head int, n int")
 
 
 class _Depth:
@@ -180,7 +191,7 @@ class _Depth:
 def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, least: int) -> DataFrame:
     """lang, phrase (spaces between words), words, a of all prefixes of two words and more that occur ``least`` times.
 
-    ``rows`` are sorted within partitions, descending, so that the rows of a prefix are one run. The runs that are open, one
+    ``rows`` are sorted within partitions, descending, so that the rows of a language and a prefix are one run. The runs that are open, one
     for each number of words, are the stack: a batch adds to them, closes those that have ended, and opens others. A run
     that stays below ``least`` isn't looked into. Pairs of hot words come with whatever count this task has.
     """
@@ -192,7 +203,7 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, l
         out: list[tuple[str, str, int, int]] = []
 
         def tell(key: tuple, total: int, n: int) -> None:
-            lang, code = key
+            lang, code = _unheaded(key[0]), key[1]
             hot = n == 2 and len(code) == 4 and code[0] <= _HOT_BYTES and code[2] <= _HOT_BYTES
             if total >= least or hot:
                 out.append((lang, " ".join([words.get(t) or t[1:-1].decode() for t in _WORD.findall(code)]), n, total))
@@ -211,9 +222,8 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, l
             end = np.cumsum(size)
             start, n = end - size, batch.column("n").to_numpy().astype(np.int64)
             sums, commas = prefix(buf), np.append(np.flatnonzero(buf == ord(",")), len(buf))
-            langs = batch.column("lang").dictionary_encode()
-            lang, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
-            at, upto = np.arange(len(size)), start + batch.column("head").to_numpy()
+            lead = batch.column("lead").to_numpy()
+            at, upto, codes_at = np.arange(len(size)), start + batch.column("head").to_numpy(), start + lead
             for depth in depths:
                 if depth.words > 2:  # the end of one more word, for rows that have one
                     more = upto < end[at]
@@ -222,14 +232,14 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, l
                 if not len(at):
                     break
                 key = spans(sums, start[at], upto)
-                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lang[at[1:]] != lang[at[:-1]])))
-                totals = np.add.reduceat(n[at], new)
-                hot = (depth.words == 2) & (upto[new] - start[at[new]] == 4) & (buf[start[at[new]]] <= _HOT_BYTES) & (buf[start[at[new]] + 2] <= _HOT_BYTES)
+                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lead[at[1:]] != lead[at[:-1]])))
+                totals, first = np.add.reduceat(n[at], new), codes_at[at[new]]
+                hot = (depth.words == 2) & (upto[new] - first == 4) & (buf[first] <= _HOT_BYTES) & (buf[first + 2] <= _HOT_BYTES)
                 some = (totals >= least) | hot
                 some[[0, -1]] = True  # these may go on in the next batch, or come from the last
                 for k in np.flatnonzero(some).tolist():
                     row = at[new[k]]
-                    for done in depth.take((names[lang[row]], raw[start[row] : upto[new[k]]]), int(totals[k])):
+                    for done in depth.take((raw[start[row] : codes_at[row]], raw[codes_at[row] : upto[new[k]]]), int(totals[k])):
                         tell(*done, depth.words)
                 inside = np.repeat(some, np.diff(np.append(new, len(at))))
                 at, upto = at[inside], upto[inside]
@@ -265,7 +275,7 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     n_words = words.agg(F.sum("f")).first()[0] or 0
     buckets = min(max(n_words // BUCKET_WORDS, BUCKETS[0]), BUCKETS[1])
     blocks = shipped_suffixes(docs, codes, longest, buckets).repartition("bucket")
-    dealt = unpacked_suffixes(blocks).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    dealt = unpacked_suffixes(blocks).sortWithinPartitions(F.desc("suffix"))
     parts = counted_prefixes(dealt, codes, longest, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     found = cut(parts.where(F.col("a") >= least))
 
