@@ -8,6 +8,7 @@ coverage_start, coverage_end, parse_confidence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from heapq import heappop, heappush
@@ -20,8 +21,9 @@ from pyspark.sql.window import Window
 
 from proofrecon.functions.amounts import paise
 from proofrecon.functions.names import all_tokens_in, name_similarity
-from proofrecon.functions.references import near_reference, normal_reference, reference_set
+from proofrecon.functions.references import hamming256, near_reference, normal_reference, reference_set
 from proofrecon.functions.text import clean_text
+from proofrecon.operators.components import components
 from proofrecon.storage import settle
 
 
@@ -84,6 +86,11 @@ def prepared_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def route() -> Column:
+    """What may judge a prepared claim: currency and no_amount can't be, reference_only for failed payments, else all."""
+    return F.when(F.col("c_currency") != "INR", "currency").when(F.col("c_paise").isNull(), "no_amount").when(F.col("c_status").isin(*FAILED), "reference_only").otherwise("all")
+
+
 def reference_hits(claims: DataFrame, rows: DataFrame) -> DataFrame:
     """Claims joined with the credit rows that carry their reference: an equi-join on (batch_id, reference)."""
     keyed = rows.where("r_credit is not null").select("*", F.explode("refs").alias("_r")).select("*", F.col("_r.ref").alias("c_ref"), F.col("_r.ref_source").alias("ref_source"))
@@ -229,41 +236,53 @@ def _heaviest(weight: np.ndarray) -> list[int]:
     return _heaviest_sparse([[(int(j), row[j]) for j in np.flatnonzero(row > 0)] for row in weight], weight.shape[1])
 
 
-def _assigned(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One batch and amount: split into connected components, each solved alone."""
-    parent: dict[tuple, tuple] = {}
-
-    def root(x: tuple) -> tuple:
-        while parent.setdefault(x, x) != x:
-            x = parent[x] = parent[parent[x]]
-        return x
-
-    for c, r in zip(pdf["claim_id"], pdf["row_id"], strict=True):
-        a, b = root((0, c)), root((1, r))
-        parent[max(a, b)] = min(a, b)
-    pdf = pdf.assign(_root=[root((0, c))[1] for c in pdf["claim_id"]])
-    out = []
-    for _, part in pdf.groupby("_root", sort=True):
-        left, right = sorted(set(part["claim_id"])), sorted(set(part["row_id"]))
-        at_l, at_r = {c: i for i, c in enumerate(left)}, {r: j for j, r in enumerate(right)}
-        scale = len(left) * (len(right) + 1) + 1
-        weights: list[dict[int, int]] = [{} for _ in left]
-        for c, r, tier, pts in zip(part["claim_id"], part["row_id"], part["tier"], part["points"], strict=True):
-            i, j = at_l[c], at_r[r]
-            weights[i][j] = ((4 - int(tier)) * 10_000_000 + round(pts * 1000)) * scale - (i * (len(right) + 1) + j)
-        partner = _heaviest_sparse([sorted(w.items()) for w in weights], len(right))
-        out += [(part["batch_id"].iloc[0], c, right[j]) for c, j in zip(left, partner, strict=True) if j >= 0]
-    return pd.DataFrame(out, columns=["batch_id", "claim_id", "row_id"])
+def _solved(part: pd.DataFrame) -> list[tuple]:
+    """The heaviest matching of one component: batch_id, claim_id, row_id."""
+    left, right = sorted(set(part["claim_id"])), sorted(set(part["row_id"]))
+    at_l, at_r = {c: i for i, c in enumerate(left)}, {r: j for j, r in enumerate(right)}
+    scale = len(left) * (len(right) + 1) + 1
+    weights: list[dict[int, int]] = [{} for _ in left]
+    for c, r, tier, pts in zip(part["claim_id"], part["row_id"], part["tier"], part["points"], strict=True):
+        i, j = at_l[c], at_r[r]
+        weights[i][j] = ((4 - int(tier)) * 10_000_000 + round(pts * 1000)) * scale - (i * (len(right) + 1) + j)
+    partner = _heaviest_sparse([sorted(w.items()) for w in weights], len(right))
+    return [(part["batch_id"].iloc[0], c, right[j]) for c, j in zip(left, partner, strict=True) if j >= 0]
+
+
+def _each_component(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Solve component after component of rows sorted by component; a component may span frames."""
+    rest: list[pd.DataFrame] = []
+    for frame in frames:
+        runs = frame["component"].ne(frame["component"].shift()).cumsum()
+        out = []
+        for _, part in frame.groupby(runs, sort=True):
+            if rest and part["component"].iloc[0] != rest[0]["component"].iloc[0]:
+                out += _solved(pd.concat(rest))
+                rest = []
+            rest.append(part)
+        yield pd.DataFrame(out, columns=["batch_id", "claim_id", "row_id"])
+    if rest:
+        yield pd.DataFrame(_solved(pd.concat(rest)), columns=["batch_id", "claim_id", "row_id"])
 
 
 def assign(edges: DataFrame) -> DataFrame:
     """One-to-one assignment of greatest weight: batch_id, claim_id, row_id.
 
-    Weight: (4 - tier) * 10**7 + 1000 * points, ties to smaller ids. Edges join equal amounts only, so (batch, amount)
-    holds whole components. Each is solved exactly, whatever its size.
+    Weight: (4 - tier) * 10**7 + 1000 * points, ties to smaller ids. An edge whose claim and row have no other is taken as
+    it is. The rest is cut into connected components by joins; a task then solves its components one after another,
+    each exactly. One component's edges are one task's work, a batch's or an amount's are not.
     """
+    edges = settle(edges.select("batch_id", "claim_id", "row_id", "tier", "points"))
+    degree = lambda c: F.count("*").over(Window.partitionBy("batch_id", c))
+    counted = settle(edges.withColumn("_c", degree("claim_id")).withColumn("_r", degree("row_id")))
+    alone = (F.col("_c") == 1) & (F.col("_r") == 1)
+    node = lambda kind, c: F.concat_ws("|", F.lit(kind), F.col("batch_id").cast("string"), F.col(c))
+    rest = counted.where(~alone).drop("_c", "_r").withColumn("u", node("c", "claim_id"))
+    labels = components(rest.select("u", node("r", "row_id").alias("v")))
+    placed = rest.join(labels, rest["u"] == labels["node"]).select("component", "batch_id", "claim_id", "row_id", "tier", "points")
     schema = f"batch_id {edges.schema['batch_id'].dataType.simpleString()}, claim_id string, row_id string"
-    return edges.select("batch_id", "c_paise", "claim_id", "row_id", "tier", "points").groupBy("batch_id", "c_paise").applyInPandas(_assigned, schema)
+    solved = placed.repartition("component").sortWithinPartitions("component").mapInPandas(_each_component, schema)
+    return counted.where(alone).select("batch_id", "claim_id", "row_id").unionByName(solved)
 
 
 def verified_confidence(cfg: MatchConfig = DEFAULT) -> Column:
@@ -282,7 +301,7 @@ def verified_confidence(cfg: MatchConfig = DEFAULT) -> Column:
 
 def likely_confidence(cfg: MatchConfig = DEFAULT) -> Column:
     prox = F.when(F.col("delta").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("delta") / (cfg.window_minutes * 60))).otherwise(0.2)
-    part = F.coalesce(F.greatest(F.lit(0.0), (F.least("sim", F.lit(1.0)) - cfg.name_similar) / (1 - cfg.name_similar)), F.lit(0.0))
+    part = F.when(F.col("sim").isNotNull(), F.greatest(F.lit(0.0), (F.least("sim", F.lit(1.0)) - cfg.name_similar) / (1 - cfg.name_similar))).otherwise(0.0)
     second = F.least(F.lit(0.89), 0.65 + 0.15 * part + 0.04 * prox + F.when(F.col("upi"), 0.05).otherwise(0.0))
     third = F.least(F.lit(0.60), 0.40 + 0.14 * prox + F.coalesce(0.04 * F.col("sim"), F.lit(0.0)))
     read = least_known("conf_amount", "conf_ts")
@@ -327,59 +346,76 @@ def not_found_confidence() -> Column:
     return F.bround(F.when(F.col("c_ref").isNull(), 0.70).otherwise(0.75) * F.coalesce(0.5 + 0.5 * F.col("parse_confidence"), F.lit(1.0)), 4)
 
 
+def _near_classes(hashed: DataFrame, most: int) -> DataFrame:
+    """batch_id, h1 < h2 of distinct hashes of a batch that differ in at most ``most`` bits.
+
+    Hashes that differ in 6 bits at most agree in two of eight words: they meet on (word number, word), and a pair is kept
+    where its first equal word lets it meet.
+    """
+    one = hashed.select("batch_id", "h").distinct()
+    words = F.array(*(F.substring("h", 8 * k + 1, 8) for k in range(8)))
+    each = settle(one.withColumn("words", words)).select("batch_id", "h", "words", F.posexplode("words").alias("k", "word"))
+    a, b = each.alias("a"), each.alias("b")
+    pairs = a.join(b, [*(F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("batch_id", "k", "word")), F.col("a.h") < F.col("b.h")])
+    equal = F.zip_with("a.words", "b.words", lambda x, y: x == y)
+    met = (F.array_position(equal, True) == F.col("a.k") + 1) & (hamming256(F.col("a.h"), F.col("b.h")) <= most)
+    return pairs.where(met).select("a.batch_id", F.col("a.h").alias("h1"), F.col("b.h").alias("h2"))
+
+
 def claim_links(claims: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """Linked claim pairs (a < b) of a batch with their evidence: same reference, same file hash, near image hash.
+    """Linked claims (a < b) of a batch with their evidence: same reference, same file hash, identical or near image hash.
 
-    Near hashes meet by pigeonhole: hashes that differ in at most 6 bits agree in two of eight words, so an equi-join on
-    (word number, word) finds them all. Equal references and hashes link each claim to the first of its group and
-    neighbours in order, which joins the same groups as all pairs would.
+    Image links need the same reference, or the same amount within a minute. Links join the same groups as all pairs
+    would, and each linked claim has a link of each kind that it has in any pair: of equal references, files and images
+    each is linked to the first, in time each to the one before; of near images each to the first of the other image, and
+    in time to the next ones of the other image on both sides. So n copies of one image give n links and not n * n.
     """
     c = claims.select("batch_id", "claim_id", "c_ref", "c_image", "c_paise", "c_ts")
-    first = Window.partitionBy("batch_id", "key").orderBy("claim_id")
-
-    def chained(key: Column, kind: str) -> DataFrame:
-        rows = c.withColumn("key", key).where("key is not null")
-        rows = rows.withColumn("a", F.first("claim_id").over(first)).where("a <> claim_id")
-        return rows.select("batch_id", "a", F.col("claim_id").alias("b"), F.lit(kind).alias("kind"))
-
-    exact = chained(F.col("c_ref"), "reference").unionByName(chained(F.when(F.col("c_image").startswith("sha256:"), F.col("c_image")), "file"))
-    hashed = c.where(F.col("c_image").rlike("^dhash256:[0-9a-f]{64}$")).withColumn("h", F.substring("c_image", 10, 64))
-    words = hashed.select("*", F.posexplode(F.array(*(F.substring("h", 8 * k + 1, 8) for k in range(8)))).alias("k", "word"))
-    from proofrecon.functions.references import hamming256
-
-    a, b = words.alias("a"), words.alias("b")
-    on = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("batch_id", "k", "word")]
-    pairs = a.join(b, [*on, F.col("a.claim_id") < F.col("b.claim_id")])
-    bits = hamming256(F.col("a.h"), F.col("b.h"))
-    backed = (F.col("a.c_ref") == F.col("b.c_ref")) | ((F.col("a.c_paise") == F.col("b.c_paise")) & (seconds_between(F.col("a.c_ts"), F.col("b.c_ts")) <= cfg.corroboration_seconds))
-    near = pairs.where((bits <= cfg.near_hash_bits) & F.coalesce(backed, F.lit(False))).select(
-        F.col("a.batch_id").alias("batch_id"), F.col("a.claim_id").alias("a"), F.col("b.claim_id").alias("b"), F.when(bits == 0, "image_identical").otherwise("image_near").alias("kind")
-    )
-    return exact.unionByName(near.distinct())
+    hashed = settle(c.where(F.col("c_image").rlike("^dhash256:[0-9a-f]{64}$")).withColumn("h", F.substring("c_image", 10, 64)))
+
+    def link(rows: DataFrame, kind: str, *evidence: Column) -> DataFrame:
+        found = rows.select("batch_id", "claim_id", F.explode(F.array_compact(F.array(*evidence))).alias("o"))
+        return found.where("o <> claim_id").select("batch_id", F.least("claim_id", "o").alias("a"), F.greatest("claim_id", "o").alias("b"), F.lit(kind).alias("kind"))
+
+    def chained(rows: DataFrame, kind: str, *keys: str) -> DataFrame:
+        first = F.min("claim_id").over(Window.partitionBy("batch_id", *keys))
+        return link(rows.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("_f", first), kind, F.col("_f"))
+
+    def close(at: str) -> Column:
+        gap = seconds_between(F.col("c_ts"), F.col(f"{at}.c_ts"))
+        return F.when(gap <= cfg.corroboration_seconds, F.col(f"{at}.claim_id"))
+
+    timed = hashed.where("c_paise is not null and c_ts is not null")
+    who = F.struct("c_ts", "claim_id")
+    before = timed.withColumn("_p", F.lag(who).over(Window.partitionBy("batch_id", "h", "c_paise").orderBy("c_ts", "claim_id")))
+    same = chained(hashed, "image_identical", "h", "c_ref").unionByName(link(before, "image_identical", close("_p")))
+
+    pairs = settle(_near_classes(hashed, cfg.near_hash_bits))
+    member = lambda side: pairs.withColumn("h", F.col(f"h{side}")).join(hashed, ["batch_id", "h"]).withColumn("side", F.lit(side))
+    members = settle(member(1).unionByName(member(2)).drop("h", "c_image"))
+    pair = ["batch_id", "h1", "h2"]
+    firsts = Window.partitionBy(*pair, "c_ref")
+    other = lambda side: F.min(F.when(F.col("side") == side, F.col("claim_id"))).over(firsts)
+    named = members.where("c_ref is not null").withColumn("_o", F.when(F.col("side") == 1, other(2)).otherwise(other(1)))
+    by_ref = link(named, "image_near", F.col("_o"))
+    order = Window.partitionBy(*pair, "c_paise").orderBy("c_ts", "claim_id")
+    past, future = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    opposite = lambda f, w: F.when(F.col("side") == 1, f(F.when(F.col("side") == 2, who), True).over(w)).otherwise(f(F.when(F.col("side") == 1, who), True).over(w))
+    near = members.where("c_paise is not null and c_ts is not null").withColumn("_p", opposite(F.last, past)).withColumn("_n", opposite(F.first, future))
+    by_time = link(near, "image_near", close("_p"), close("_n"))
+    files = c.withColumn("file", F.when(F.col("c_image").startswith("sha256:"), F.col("c_image")))
+    exact = chained(c, "reference", "c_ref").unionByName(chained(files, "file", "file"))
+    return exact.unionByName(same.unionByName(by_ref).unionByName(by_time).distinct())
 
 
 #: How strong each kind of duplicate evidence is.
 STRENGTH = {"file": 0.95, "reference": 0.85, "image_identical": 0.80, "image_near": 0.70}
 
 
-def _grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in zip(pdf["a"], pdf["b"], strict=True):
-        ra, rb = root(a), root(b)
-        parent[max(ra, rb)] = min(ra, rb)
-    return pd.DataFrame({"batch_id": pdf["batch_id"].iloc[0], "claim_id": list(parent), "group_id": [root(x) for x in list(parent)]})
-
-
 def duplicate_groups(links: DataFrame) -> DataFrame:
-    """batch_id, claim_id, group_id (the first claim of the group). A batch is one submission, so its links fit a task."""
-    schema = f"batch_id {links.schema['batch_id'].dataType.simpleString()}, claim_id string, group_id string"
-    return links.select("batch_id", "a", "b").groupBy("batch_id").applyInPandas(_grouped, schema)
+    """batch_id, claim_id, group_id (the first claim of the group) of linked claims, whatever a group's size."""
+    end = lambda c: F.struct("batch_id", F.col(c).alias("claim_id"))
+    return components(links.select(end("a").alias("u"), end("b").alias("v"))).select("node.batch_id", "node.claim_id", F.col("component.claim_id").alias("group_id"))
 
 
 def verify(claims: DataFrame, rows: DataFrame, meta: DataFrame, cfg: MatchConfig = DEFAULT, *, names: bool = True, duplicates: bool = True) -> DataFrame:

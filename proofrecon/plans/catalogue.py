@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from proofrecon.functions import amounts, dates, names, references, screens, text
-from proofrecon.operators import claims, followup, intake, ledger, matching, tables
-from proofrecon.plans import rendered
+from proofrecon.operators import claims, evidence, followup, intake, ledger, matching, tables
+from proofrecon.plans import readers, rendered
 from proofrecon.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,7 +319,7 @@ def q37c_near_prints(spark, sf_dir):
 
 @query("SELECT doc_id, concat('sha256:', sha256(text)) AS image_hash FROM documents")
 def q38_file_hash(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("image_hash"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", claims.file_hash(F.col("text")).alias("image_hash"))
 
 
 @query()
@@ -341,9 +342,7 @@ _HITS = "FROM v_claims c JOIN v_stmt r ON r.batch_id = c.batch_id AND r.ref = c.
 
 @query("SELECT claim_id, CASE WHEN currency <> 'INR' THEN 'currency' WHEN amount IS NULL OR amount <= 0 THEN 'no_amount' WHEN status_shown = 'failed' THEN 'reference_only' ELSE 'all' END AS route FROM v_claims")
 def q40_eligibility(spark, sf_dir):
-    c, _ = _prepared(spark, sf_dir)
-    route = F.when(F.col("c_currency") != "INR", "currency").when(F.col("c_paise").isNull(), "no_amount").when(F.col("c_status").isin(*matching.FAILED), "reference_only").otherwise("all")
-    return c.select("claim_id", route.alias("route"))
+    return _prepared(spark, sf_dir)[0].select("claim_id", matching.route().alias("route"))
 
 
 @query(f"SELECT c.claim_id, r.row_id, 'field' AS ref_source {_HITS}")
@@ -400,15 +399,13 @@ def q53_ambiguity(spark, sf_dir):
 
 @query()
 def q54_assignment(spark, sf_dir):
-    return matching.assign(_soft(spark, sf_dir)).select("claim_id", "row_id", F.lit(False).alias("too_large"))
+    return matching.assign(_soft(spark, sf_dir)).select("batch_id", "claim_id", "row_id")
 
 
 @query(f"""
 WITH e AS ({_POINTS}), d AS (SELECT *, count(*) OVER (PARTITION BY claim_id) AS nc, count(*) OVER (PARTITION BY row_id) AS nr FROM e)
 SELECT claim_id, row_id FROM d WHERE nc = 1 AND nr = 1""")
 def q54b_forced_assignment(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     edges = _soft(spark, sf_dir)
     alone = edges.withColumn("nc", F.count("*").over(Window.partitionBy("batch_id", "claim_id"))).withColumn("nr", F.count("*").over(Window.partitionBy("batch_id", "row_id")))
     return matching.assign(edges).join(alone.where("nc = 1 and nr = 1").select("claim_id"), "claim_id", "left_semi").select("claim_id", "row_id")
@@ -451,7 +448,7 @@ def verify_claims(spark, sf_dir):
 
 
 def _copied(spark, sf_dir) -> DataFrame:
-    """Claims that share references in threes, and file hashes in fives within a batch."""
+    """Claims of which twelve rows' worth share a reference, and none an image."""
     c = view(spark, sf_dir, "v_claims")
     group = F.floor(F.col("k") / 12)
     return matching.prepared_claims(c.withColumn("reference", F.format_string("7%011d", group)).withColumn("image_hash", F.lit(None).cast("string")))
@@ -560,15 +557,13 @@ def q60_export(spark, sf_dir):
 
 @query("SELECT concat('st-', row_id) AS row_id, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, strftime(dt, '%Y-%m-%dT%H:%M:%S') AS dt FROM v_stmt")
 def q62_adapter(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_stmt")
-    return rows.select(F.concat(F.lit("st-"), "row_id").alias("row_id"), F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"), F.date_format("dt", "yyyy-MM-dd'T'HH:mm:ss").alias("dt"))
+    return evidence.adapted_rows(view(spark, sf_dir, "v_stmt"))
 
 
 @query(f"SELECT status, count(*) AS n, count(r.row_id) AS on_statement FROM (SELECT *, {_OLD} AS status FROM v_claims) c LEFT JOIN v_stmt r ON r.batch_id = c.batch_id AND r.ref = c.reference GROUP BY status")
 def q61_report(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_stmt").select("batch_id", F.col("ref").alias("reference"), "row_id")
     told = view(spark, sf_dir, "v_claims").select("claim_id", "reference")
-    return _verdicts(spark, sf_dir).join(told, "claim_id").join(rows, ["batch_id", "reference"], "left").groupBy("status").agg(F.count("*").alias("n"), F.count("row_id").alias("on_statement"))
+    return evidence.status_report(_verdicts(spark, sf_dir).join(told, "claim_id"), view(spark, sf_dir, "v_stmt"))
 
 
 @query("SELECT claim_id, CASE " + " ".join(f"WHEN status = '{k.replace(chr(39), chr(39) * 2)}' THEN '{v} Many thanks!'" for k, v in followup.REPLIES.items()) + f" END AS reply FROM (SELECT *, {_OLD} AS status FROM v_claims) c")
@@ -584,9 +579,7 @@ def q80_money_cards(spark, sf_dir):
 
 @query("SELECT CAST(cls AS INT) AS cls, count(*) AS n, count(CASE WHEN pos % 6 = 0 THEN 1 END) AS n_verified, round(count(CASE WHEN pos % 6 = 0 THEN 1 END) / count(*), 4) AS share FROM v_claims GROUP BY cls")
 def q83_accuracy(spark, sf_dir):
-    rows = _verdicts(spark, sf_dir).join(view(spark, sf_dir, "v_claims").select("claim_id", "cls"), "claim_id")
-    good = F.count_if(F.col("status") == "Verified")
-    return rows.groupBy("cls").agg(F.count("*").alias("n"), good.alias("n_verified"), F.round(good / F.count("*"), 4).alias("share"))
+    return evidence.verified_share(_verdicts(spark, sf_dir).join(view(spark, sf_dir, "v_claims").select("claim_id", "cls"), "claim_id"), "cls")
 
 
 @query(f"""
@@ -607,10 +600,7 @@ def q84_follow_up_order(spark, sf_dir):
 SELECT batch_id, count(*) AS n_refs, count(CASE WHEN claimed THEN 1 END) AS n_claimed, round(count(CASE WHEN claimed THEN 1 END) / count(*), 4) AS recall
 FROM (SELECT DISTINCT r.batch_id, r.ref, EXISTS (SELECT 1 FROM v_claims c WHERE c.batch_id = r.batch_id AND c.reference = r.ref) AS claimed FROM v_stmt r WHERE r.ref IS NOT NULL AND r.credit IS NOT NULL) x GROUP BY batch_id""")
 def q82_reference_recall(spark, sf_dir):
-    told = view(spark, sf_dir, "v_stmt").where("ref is not null and credit is not null").select("batch_id", "ref").distinct()
-    claimed = view(spark, sf_dir, "v_claims").select("batch_id", F.col("reference").alias("ref")).distinct().withColumn("claimed", F.lit(True))
-    out = told.join(claimed, ["batch_id", "ref"], "left").groupBy("batch_id").agg(F.count("*").alias("n_refs"), F.count("claimed").alias("n_claimed"))
-    return out.withColumn("recall", F.round(F.col("n_claimed") / F.col("n_refs"), 4))
+    return evidence.reference_recall(view(spark, sf_dir, "v_stmt"), view(spark, sf_dir, "v_claims"))
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'signup'")
@@ -643,8 +633,8 @@ def q42_attachment_class(spark, sf_dir):
 
 @query("SELECT claim_id, concat_ws(',', CASE WHEN conf_amount < 0.7 THEN 'amount' END, CASE WHEN reference IS NULL OR conf_ref < 0.7 THEN 'reference' END) AS fields FROM v_claims WHERE conf_amount < 0.7 OR reference IS NULL OR conf_ref < 0.7")
 def q43_needs_edit(spark, sf_dir):
-    bad = F.array_compact(F.array(F.when(F.col("conf_amount") < 0.7, "amount"), F.when(F.col("reference").isNull() | (F.col("conf_ref") < 0.7), "reference")))
-    return view(spark, sf_dir, "v_claims").select("claim_id", bad.alias("f")).where(F.size("f") > 0).select("claim_id", F.array_join("f", ",").alias("fields"))
+    rows = view(spark, sf_dir, "v_claims").select("claim_id", claims.needs_edit().alias("f"))
+    return rows.where(F.size("f") > 0).select("claim_id", F.array_join("f", ",").alias("fields"))
 
 
 @query("""
@@ -803,5 +793,5 @@ def q68_display_signals(spark, sf_dir):
     return rows.select("claim_id", F.array_join(shown, ",").alias("signals"))
 
 
-for _name, (_read, _sql) in rendered.QUERIES.items():
+for _name, (_read, _sql) in (rendered.QUERIES | readers.QUERIES).items():
     QUERIES[_name], ORACLES[_name] = _read, with_views(_sql.strip())

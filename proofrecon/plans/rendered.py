@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from proofrecon.functions.text import indian_grouping
 from proofrecon.operators import matching
-from proofrecon.operators.statements import chain_wording, read_flow, scanned_rows
+from proofrecon.operators.statements import chain_wording, mappings_of, read_flow, scanned_rows
+from proofrecon.operators.tables import find_header
 from proofrecon.plans.views import view
+from proofrecon.storage import settle
 
 LAYOUTS = ("standard", "marked", "signed", "timed", "currency", "junk", "wrapped", "decimal_comma", "newest_first", "inverted", "no_balance", "no_header", "above", "paged")
 #: Lines between the rows of a statement, so that a layout can put some above, between and below them.
@@ -129,10 +131,6 @@ UNION ALL SELECT file, kind, m FROM s, (VALUES ('opening', 1), ('footer', 1), ('
 
 def q72b_row_kinds(spark, sf_dir) -> DataFrame:
     """How many rows of each kind the scan finds in each statement."""
-    from proofrecon.operators.statements import mappings_of
-    from proofrecon.operators.tables import find_header
-    from proofrecon.storage import settle
-
     cells = settle(rendered_cells(view(spark, sf_dir, "v_stmt")))
     return scanned_rows(cells, settle(mappings_of(cells, settle(find_header(cells))))).groupBy("file", "kind").agg(F.count("*").alias("n"))
 
