@@ -38,8 +38,8 @@ _WORD = re.compile(rb"\.[^,]*,|..", re.DOTALL)
 #: First bytes of the codes of hot words.
 _HOT_BYTES = 8
 HOT = _HOT_BYTES * len(_SECOND)
-#: Bytes of text in a block, words for each bucket of pairs, and the fewest and most buckets.
-BLOCK, BUCKET_WORDS, BUCKETS = 1 << 20, 50_000, (256, 1 << 16)
+#: Bytes of text in a block, and buckets of pairs: a block ships at most so many rows, and at most so many tasks count.
+BLOCK, BUCKETS = 1 << 20, 4096
 #: Distinct words that a task counts before it hands them on, and parts of a language when its best phrases are chosen.
 WORDS, SHARES = 400_000, 64
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -254,7 +254,7 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, l
     return rows.mapInArrow(run, "lang string, phrase string, words int, a long")
 
 
-def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: int = 2000, buckets: int = BUCKETS) -> DataFrame:
     """lang, rank, phrase, words, a, l, r, n, score, at: each language's ``best`` phrases of 2 to ``longest`` words.
 
     ``docs`` has lang and text. Pieces end at ``. , ; : ! ?`` and \\x0A-\\x0D; words are ``[^\\x20\\x09]+``, A-Z in lower
@@ -262,7 +262,7 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     a counts all occurrences of a phrase, n those of all words of the language. A phrase cut after ``at`` words has l and r,
     the counts of its parts, and score floor(1000 * a * n / (l * r)); the lowest cut counts, then the first. A phrase
     inside a longer one that occurs as often is left out. Ranks go by score, a (descending) and phrase (bytes). Repeated
-    rows count each; other columns are left out.
+    rows count each; other columns are left out. More ``buckets`` give a larger cluster more tasks, and shorter shipped rows.
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = cut(word_counts(docs))
@@ -272,8 +272,6 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     names = (bytes([x, y]) for x in _FIRST for y in _SECOND)
     codes = dict(zip(encoded(top.column("word").combine_chunks()), names, strict=False))
 
-    n_words = words.agg(F.sum("f")).first()[0] or 0
-    buckets = min(max(n_words // BUCKET_WORDS, BUCKETS[0]), BUCKETS[1])
     blocks = shipped_suffixes(docs, codes, longest, buckets).repartition("bucket")
     dealt = unpacked_suffixes(blocks).sortWithinPartitions(F.desc("suffix"))
     parts = counted_prefixes(dealt, codes, longest, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))

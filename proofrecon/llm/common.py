@@ -39,11 +39,6 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A written table of a few numbers a row, marked for broadcast if it has at most ``most`` rows; else as it is."""
-    return F.broadcast(table) if table.count() <= most else table
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices whose ``text`` column has about ``most`` bytes; no row is split or lost."""
     for batch in batches:

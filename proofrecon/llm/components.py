@@ -11,9 +11,9 @@ from proofrecon.llm.common import cut
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v); component is the smallest node that can be reached.
 
-    A round maps each vertex to the least of itself and its neighbours, which at least halves the vertices that still
-    have edges. A hub's edges meet only in partial aggregates and in joins that adaptive execution can split. Nothing
-    is collected but whether edges are left.
+    A round maps each vertex to the least of itself and its neighbours: groups of near-duplicates fall together in a few
+    rounds, a chain whose nodes ascend takes a round a node. A hub's edges meet only in partial aggregates and in joins
+    that adaptive execution can split. Nothing is collected but whether edges are left.
     """
     edges = cut(edges.where("u <> v").select("u", "v").distinct())
     labels = None
