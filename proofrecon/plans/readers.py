@@ -201,7 +201,7 @@ def q60b_export(spark, sf_dir) -> DataFrame:
 
 
 REPORT_SQL = f"""
-SELECT c.claim_id, concat('<tr><td>', c.claim_id, '</td><td>', coalesce(replace(concat(payer_name, ' <&>'), ' <&>', ' &lt;&amp;&gt;'), '—'), '</td><td>', CAST(c.amount AS VARCHAR), '</td><td>', replace(c.status, '''', '&#39;'), '</td><td>', coalesce(r.narration, '—'), '</td></tr>') AS html
+SELECT c.claim_id, concat('<tr><td>', c.claim_id, '</td><td>', coalesce(replace(payer_name || ' <&>', ' <&>', ' &lt;&amp;&gt;'), '—'), '</td><td>', CAST(c.amount AS VARCHAR), '</td><td>', replace(c.status, '''', '&#39;'), '</td><td>', coalesce(r.narration, '—'), '</td></tr>') AS html
 FROM ({_TOLD}) c LEFT JOIN v_stmt r ON r.batch_id = c.batch_id AND r.pos = c.pos AND c.row_id IS NOT NULL"""
 
 
