@@ -31,7 +31,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Gram codes of all texts, lower-cased, words padded with one gap each side, and where each text's codes begin.
 
     A symbol is a code point + 2, a gap 1; a code has 21 bits for each symbol, so grams of all lengths differ. Grams
-    that are a gap or have one in the middle are left out.
+    that are a gap or have one in the middle are left out, and a letter between two gaps is no gram of three.
     """
     low = [(t or "").lower() for t in texts]
     size = np.cumsum([0, *(len(t) + 1 for t in low)])

@@ -228,7 +228,7 @@ def test_languages_by_plain_distances(spark):
         for word in re.findall(r"[^\W\d_]+", text.lower()):
             padded = "\1" + word + "\1"
             for n in (1, 2, 3):
-                out.update(padded[s : s + n] for s in range(len(padded) - n + 1) if padded[s : s + n].strip("\1") and "\1" not in padded[s + 1 : s + n - 1])
+                out.update(padded[s : s + n] for s in range(len(padded) - n + 1) if padded[s : s + n].strip("\1") and "\1" not in padded[s + 1 : s + n - 1] and not (n == 3 and padded[s] == padded[s + 2] == "\1"))
         return out
 
     def ranked(counts):
