@@ -7,12 +7,14 @@ without a mandatory trigram scan every text.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofrecon.functions.text import let
 from proofrecon.llm.common import cut
 from proofrecon.llm.trigrams import trigram_query
 
@@ -76,16 +78,27 @@ def prefix_sums(numbers: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), bits), numbers, doubled)
 
 
+def searched(rule: Rule) -> str:
+    """The pattern to search with: of a lone character class only runs that are long enough, as text is full of shorter ones."""
+    if rule.group == 0 and rule.least and re.fullmatch(r"\[[^\[\]\\]+\]\+", rule.pattern):
+        return rule.pattern[:-1] + f"{{{rule.least},}}"
+    return rule.pattern
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """All matches of a rule in a text: array of (start, end) in code points, end exclusive."""
-    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), groups.alias("group"))
-    sizes = F.transform(
-        pieces, lambda p: F.struct((F.char_length(p["gap"]) + F.coalesce(F.char_length(p["hit"]), F.lit(0))).alias("all"), F.char_length(p["hit"]).alias("hit"), F.char_length(p["group"]).alias("group"))
-    )
-    ends = prefix_sums(F.transform(sizes, lambda p: p["all"]))
-    spans = F.zip_with(sizes, ends, lambda p, end: F.when(p["group"] >= rule.least, F.struct((end - p["hit"]).alias("start"), end.alias("end"))))
+    pattern = searched(rule)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else hits
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), groups.alias("group"))
+
+    def sized(p: Column) -> Column:
+        return F.struct((F.char_length(p["gap"]) + F.coalesce(F.char_length(p["hit"]), F.lit(0))).alias("all"), F.char_length(p["hit"]).alias("hit"), F.char_length(p["group"]).alias("group"))
+
+    def placed(p: Column, end: Column) -> Column:
+        return F.when(p["group"] >= rule.least, F.struct((end - p["hit"]).alias("start"), end.alias("end")))
+
+    spans = let(F.transform(pieces, sized), lambda sizes: F.zip_with(sizes, prefix_sums(F.transform(sizes, lambda p: p["all"])), placed))
     return F.array_compact(spans)
 
 
@@ -114,9 +127,7 @@ def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFra
         if rule.kind in indexed:
             wanted = F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False))
         else:
-            wanted = text.rlike(f"(?:{rule.pattern})")
-            if rule.group == 0 and rule.least and rule.pattern.endswith("]+") and rule.pattern.startswith("["):
-                wanted = text.rlike(rule.pattern[:-1] + f"{{{rule.least}}}")
+            wanted = text.rlike(f"(?:{searched(rule)})")
         spans = F.when(wanted, matches(text, rule)).otherwise(empty)
         parts.append(_tagged(spans, rank, rule.kind))
     return docs.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("_id", "_rules")
