@@ -76,13 +76,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def _headed(lang: str) -> bytes:
-    """A language as what stands before its suffixes: no line feed but the one at its end."""
-    return lang.encode().replace(b"\x01", b"\x01\x02").replace(b"\n", b"\x01\x01") + b"\n"
+def _heads(langs: list[str]) -> dict[str, bytes]:
+    """What stands before the suffixes of each language: one byte, or \\xff and four more; no head begins another."""
+    return {lang: bytes([n]) if n < 255 else b"\xff" + n.to_bytes(4, "big") for n, lang in enumerate(langs)}
 
 
-def _unheaded(head: bytes) -> str:
-    return head[:-1].replace(b"\x01\x01", b"\n").replace(b"\x01\x02", b"\x01").decode()
+def _held(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where each value begins, and at last where they end."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] else np.zeros(0, np.uint8), at - at[0]
+
+
+def _numbers(column: pa.Array, width: np.ndarray) -> np.ndarray:
+    """The numbers of all rows, each of its row's ``width`` bytes."""
+    data, at = _held(column)
+    each = np.diff(at) // width
+    w = np.repeat(width, each)
+    place = np.repeat(at[:-1], each) + w * (np.arange(len(w)) - np.repeat(np.cumsum(each) - each, each))
+    out = data[place].astype(np.int32)
+    for k in range(1, int(width.max(initial=1))):
+        wide = np.flatnonzero(w > k)
+        out[wide] |= data[place[wide] + k].astype(np.int32) << np.int32(8 * k)
+    return out
 
 
 def _distinct(key: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +119,14 @@ def _gathered(head: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray)
     return both[np.where(within < lead, within, within + np.repeat(start, size))]
 
 
-def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int, buckets: int) -> DataFrame:
-    """bucket, lead, width, data, sizes, heads, counts: the suffixes of two words and more of a block of text whose pairs fall into one bucket.
+def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], heads: dict[str, bytes], longest: int, buckets: int) -> DataFrame:
+    """bucket, width, data, sizes, counts: the suffixes of two words and more of a block of text whose pairs fall into one bucket.
 
-    data is all suffixes joined, each behind its language and a line feed, which are ``lead`` bytes. sizes, heads and counts
-    have each suffix's bytes, the bytes up to its pair's end, and how often it occurs, in numbers of ``width`` bytes.
+    data is all suffixes joined, each behind its language's head. sizes and counts have each suffix's bytes and how often
+    it occurs, in numbers of ``width`` bytes.
     """
     shared = docs.sparkSession.sparkContext.broadcast({**codes, b".": b""})
+    languages = docs.sparkSession.sparkContext.broadcast(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value.get
@@ -133,39 +151,36 @@ def shipped_suffixes(docs: DataFrame, codes: dict[bytes, bytes], longest: int, b
                     dealt = spans(sums[0], start, np.where(hot, place[np.minimum(at + 3, end[at])], pair)) ^ np.uint64(crc32(lang.encode()))
                     bucket = mix(dealt) % np.uint64(buckets)
                     own, counts = _distinct(bucket << np.uint64(48) | whole[0] >> np.uint64(16), *whole)
-                    start, pair, last, bucket = start[own], pair[own], last[own], bucket[own].astype(np.int32)
+                    start, last, bucket = start[own], last[own], bucket[own].astype(np.int32)
                     new = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(own))
-                    head = _headed(lang)
+                    head = languages.value[lang]
                     size, n = last - start + len(head), len(new) - 1
                     width = next(w for w in (1, 2, 4) if max(size.max(), counts.max()) < 256**w)
                     cut_up = lambda data, edges: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])  # noqa: B023, E731
                     number = lambda x: cut_up(x.astype(f"<u{width}"), new * width)  # noqa: B023, E731
                     data = cut_up(_gathered(head, buf, start, last), np.append(0, np.cumsum(size))[new])
-                    constant = lambda x: pa.array(np.full(n, x, np.int32))  # noqa: B023, E731
-                    columns = [pa.array(bucket[new[:-1]]), constant(len(head)), constant(width), data, number(size), number(pair - start + len(head)), number(counts)]
-                    whole_batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "lead", "width", "data", "sizes", "heads", "counts"])
+                    columns = [pa.array(bucket[new[:-1]]), pa.array(np.full(n, width, np.int32)), data, number(size), number(counts)]
+                    whole_batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "width", "data", "sizes", "counts"])
                     for k in range(0, n, 5_000):
                         yield whole_batch.slice(k, 5_000)
 
-    return docs.select("lang", "text").mapInArrow(run, "bucket int, lead int, width int, data binary, sizes binary, heads binary, counts binary")
+    return docs.select("lang", "text").mapInArrow(run, "bucket int, width int, data binary, sizes binary, counts binary")
 
 
 def unpacked_suffixes(blocks: DataFrame) -> DataFrame:
-    """suffix, lead, head, n of shipped blocks, a row for each suffix."""
+    """suffix, n of shipped blocks, a row for each suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 300):
-                part = batch.slice(k, 300)
-                data = b"".join(part.column("data").to_pylist())
-                width, lead = part.column("width").to_pylist(), part.column("lead").to_numpy()
-                sizes, heads, counts = ([np.frombuffer(x, f"<u{w}").astype(np.int32) for x, w in zip(part.column(c).to_pylist(), width, strict=True)] for c in ("sizes", "heads", "counts"))
-                leads = np.repeat(lead, [len(x) for x in sizes])
-                offsets = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
-                suffix = pa.Array.from_buffers(pa.binary(), len(leads), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([suffix, pa.array(leads), pa.array(np.concatenate(heads)), pa.array(np.concatenate(counts))], names=["suffix", "lead", "head", "n"])
+            for k in range(0, batch.num_rows, 1_000):
+                part = batch.slice(k, 1_000)
+                width = part.column("width").to_numpy().astype(np.int64)
+                sizes, counts = (_numbers(part.column(c), width) for c in ("sizes", "counts"))
+                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                suffix = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(_held(part.column("data"))[0])])
+                yield pa.RecordBatch.from_arrays([suffix, pa.array(counts)], names=["suffix", "n"])
 
-    return blocks.mapInArrow(run, "suffix binary, lead int, head int, n int")
+    return blocks.mapInArrow(run, "suffix binary, n int")
 
 
 class _Depth:
@@ -188,22 +203,23 @@ class _Depth:
         self.key = None
 
 
-def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, least: int) -> DataFrame:
+def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], heads: dict[str, bytes], longest: int, least: int) -> DataFrame:
     """lang, phrase (spaces between words), words, a of all prefixes of two words and more that occur ``least`` times.
 
     ``rows`` are sorted within partitions, descending, so that the rows of a language and a prefix are one run. The runs that are open, one
     for each number of words, are the stack: a batch adds to them, closes those that have ended, and opens others. A run
     that stays below ``least`` isn't looked into. Pairs of hot words come with whatever count this task has.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(codes)
+    shared, languages = (rows.sparkSession.sparkContext.broadcast(x) for x in (codes, heads))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = {c: w.decode() for w, c in shared.value.items()}
+        named = {head: lang for lang, head in languages.value.items()}
         depths = [_Depth(n) for n in range(2, longest + 1)]
         out: list[tuple[str, str, int, int]] = []
 
         def tell(key: tuple, total: int, n: int) -> None:
-            lang, code = _unheaded(key[0]), key[1]
+            lang, code = named[key[0]], key[1]
             hot = n == 2 and len(code) == 4 and code[0] <= _HOT_BYTES and code[2] <= _HOT_BYTES
             if total >= least or hot:
                 out.append((lang, " ".join([words.get(t) or t[1:-1].decode() for t in _WORD.findall(code)]), n, total))
@@ -215,20 +231,26 @@ def counted_prefixes(rows: DataFrame, codes: dict[bytes, bytes], longest: int, l
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column("suffix")
-            raw = b"".join(column.to_pylist())
-            buf = np.frombuffer(raw + b"\0", np.uint8)
-            size = pc.binary_length(column).to_numpy().astype(np.int64)
-            end = np.cumsum(size)
-            start, n = end - size, batch.column("n").to_numpy().astype(np.int64)
+            data, edge = _held(batch.column("suffix"))
+            buf = np.append(data, np.zeros(1, np.uint8))
+            raw = data.tobytes()
+            start, end, n = edge[:-1], edge[1:], batch.column("n").to_numpy().astype(np.int64)
             sums, commas = prefix(buf), np.append(np.flatnonzero(buf == ord(",")), len(buf))
-            lead = batch.column("lead").to_numpy()
-            at, upto, codes_at = np.arange(len(size)), start + batch.column("head").to_numpy(), start + lead
+            lead = np.where(buf[start] == 255, 5, 1)
+            at, upto, codes_at = np.arange(len(start)), start + lead, start + lead
+
+            def word_end(place: np.ndarray) -> np.ndarray:
+                out = place + 2
+                spelled = np.flatnonzero(buf[place] == ord("."))  # noqa: B023
+                out[spelled] = commas[np.searchsorted(commas, place[spelled])] + 1  # noqa: B023
+                return out
+
+            upto = word_end(upto)
             for depth in depths:
-                if depth.words > 2:  # the end of one more word, for rows that have one
-                    more = upto < end[at]
+                more = upto < end[at]  # the end of one more word, for rows that have one
+                if not more.all():
                     at, upto = at[more], upto[more]
-                    upto = np.where(buf[upto] == ord("."), commas[np.searchsorted(commas, upto)] + 1, upto + 2)
+                upto = word_end(upto)
                 if not len(at):
                     break
                 key = spans(sums, start[at], upto)
@@ -266,15 +288,17 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, best: i
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = cut(word_counts(docs))
-    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    total = cut(words.groupBy("lang").agg(F.sum("f").alias("n")))
     often = cut(words.where(F.col("f") >= least))
     top = often.groupBy("word").agg(F.sum("f").alias("f")).orderBy(F.desc("f"), "word").limit(CODED).select("word").toArrow()
     names = (bytes([x, y]) for x in _FIRST for y in _SECOND)
     codes = dict(zip(encoded(top.column("word").combine_chunks()), names, strict=False))
 
-    blocks = shipped_suffixes(docs, codes, longest, buckets).repartition("bucket")
+    heads = _heads(total.orderBy("lang").select("lang").toArrow().column(0).to_pylist())
+
+    blocks = shipped_suffixes(docs, codes, heads, longest, buckets).repartition("bucket")
     dealt = unpacked_suffixes(blocks).sortWithinPartitions(F.desc("suffix"))
-    parts = counted_prefixes(dealt, codes, longest, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
+    parts = counted_prefixes(dealt, codes, heads, longest, least).groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     found = cut(parts.where(F.col("a") >= least))
 
     cuts = found.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("at"))
