@@ -40,9 +40,10 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload"))
     meta = rows.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.length("payload").cast("long").alias("size"))
-    owners = cut(meta.groupBy("sha256").agg(F.min("page_id").alias("owner"), F.count("*").alias("records"), F.first("size").alias("size")))
-    shared = owners.where((F.col("records") > 1) & (F.col("size") >= least)).select("sha256", "owner")
-    keyed = meta.join(shared, "sha256", "left")
+    # only payloads of several records are listed, so that where few repeat no page is shuffled
+    copied = meta.groupBy("sha256").agg(F.min("page_id").alias("owner"), F.count("*").alias("records"), F.first("size").alias("size"))
+    copied = cut(copied.where("records > 1").drop("records"))
+    keyed = meta.join(copied.where(F.col("size") >= least).select("sha256", "owner"), "sha256", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     crlf = F.lit("\r\n")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, crlf)
@@ -65,11 +66,14 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0) -> None:
     headers = keyed.select("page_id", "sha256", record.cast("binary").alias("record_header"), http.cast("binary").alias("http_header"), F.when(revisit, F.col("owner")).alias("owner"))
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
     # each payload comes from the rows of its smallest page_id; a payload that only rows without page_id have, from those
+    owns = F.col("page_id").eqNullSafe(F.col("first"))
+    written = pages.sparkSession.read.schema("page_id long, sha256 string").parquet(f"{path}/headers")
+    listed = cut(written.join(copied.select("sha256", F.col("owner").alias("first")), "sha256").select("page_id", "sha256", owns.alias("owns")))
+    others = listed.where("not owns").select(F.col("page_id").alias("_id"), F.col("sha256").alias("_sha"))
     stored = rows.withColumn("sha256", F.sha2("payload", 256))
-    mine = owners.select(F.col("owner").alias("page_id"), F.col("sha256").alias("_sha"))
-    stored = stored.join(mine, stored["page_id"].eqNullSafe(mine["page_id"]) & (stored["sha256"] == mine["_sha"]), "left_semi")
+    stored = stored.join(others, stored["page_id"].eqNullSafe(others["_id"]) & (stored["sha256"] == others["_sha"]), "left_anti")
     stored = stored.select("sha256", "payload")
-    if not stored.groupBy("sha256").count().where("count > 1").isEmpty():  # rows that repeat an owner
+    if not listed.where("owns").groupBy("sha256").count().where("count > 1").isEmpty():  # rows that repeat an owner
         stored = stored.dropDuplicates(["sha256"])
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
